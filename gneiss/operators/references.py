@@ -14,9 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A key is hot when more than this share of all references name it; so at most 200 keys are.
-HOT_SHARE = 0.005
-
+from gneiss.operators.skew import HOT_SHARE, lookup
 
 def parent_intervals(df: DataFrame, key: str, arrived: str, deleted: str | None) -> DataFrame:
     """(ref_key, arrived, deleted): one row per key.
@@ -29,15 +27,6 @@ def parent_intervals(df: DataFrame, key: str, arrived: str, deleted: str | None)
     return df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("ref_key")).agg(F.min(arrived).alias("arrived"), gone.alias("deleted"))
 
 
-def hot_keys(refs: DataFrame, share: float = HOT_SHARE) -> list[str]:
-    """Keys that more than ``share`` of the references name; at most 1/share, which bounds the driver's list."""
-    counts = refs.groupBy("ref_key").agg(F.count(F.lit(1)).alias("n"))
-    whole = refs.sparkSession.createDataFrame([(share,)], "share double")
-    total = counts.agg(F.sum("n").alias("total"))
-    heavy = counts.crossJoin(F.broadcast(total.crossJoin(whole))).filter(F.col("n") > F.col("total") * F.col("share"))
-    return [r[0] for r in heavy.select("ref_key").collect()]
-
-
 def _kind() -> F.Column:
     return (
         F.when(F.col("p_key").isNull(), "missing")
@@ -56,13 +45,7 @@ def orphans(refs: DataFrame, parents: DataFrame, share: float = HOT_SHARE) -> Da
     """
     refs = refs.filter(F.col("ref_key").isNotNull())
     parents = parents.select(F.col("ref_key").alias("p_key"), F.col("arrived").alias("p_arrived"), "deleted")
-    hot = hot_keys(refs, share)
-    on = F.col("ref_key") == F.col("p_key")
-    cold = refs if not hot else refs.filter(~F.col("ref_key").isin(hot))
-    merged = cold.join(parents.hint("merge"), on, "left")
-    if hot:
-        # The filter on the literal list reaches both scans; the broadcast side has at most 1/share rows.
-        merged = merged.unionByName(refs.filter(F.col("ref_key").isin(hot)).join(F.broadcast(parents.filter(F.col("p_key").isin(hot))), on, "left"))
+    merged = lookup(refs, parents, "ref_key", "p_key", "left", share)
     kind = merged.withColumn("kind", _kind()).filter(F.col("kind").isNotNull())
     return kind.select("inquiry_id", "ref_key", "kind", F.date_format("ref_created", "yyyy-MM").alias("period"))
 
