@@ -5,12 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm import dedup, packing, tokenize
-from gneiss.tables import table
+from gneiss.llm import dedup, neighbours, packing, splitting, tokenize
+from gneiss.tables import one_per_key, table
 
 CAPACITY = 2048
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of clauses of which one is among the other's 5 most similar: (id_a, id_b)."""
+    vectors = neighbours.usable_vectors(table(spark, folder, "policy_chunks"), "id", "embedding", "embedding_model", 96, "embedding_dimensions")
+    return neighbours.pairs(neighbours.neighbours(vectors, 5))
+
+
+def _chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return one_per_key(table(spark, folder, "policy_chunks").select("id", "article", "content", "loaded_at"), ["id"], "loaded_at", ["loaded_at", "article", "content"])
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Articles of every chunk that is cut: (id, article)."""
+    return splitting.split_rows(_chunks(spark, folder), "id", "content", "article", with_text=False).select("id", "article").distinct()
+
+
+def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces of every chunk of more than 600 characters."""
+    return splitting.split_rows(_chunks(spark, folder), "id", "content", "article")
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Copies of a message within one table: (src, first_id, copy_id)."""
     found = None
@@ -45,6 +65,9 @@ def p9_fill(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p3_found": p3_found,
+    "p3_pieces": p3_pieces,
     "p7_found": p7_found,
     "p7_messages": p7_messages,
     "p8_ids": p8_ids,
