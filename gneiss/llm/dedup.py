@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.operators.skew import lookup
+from gneiss.session import cut_lineage
 
 #: A label counts as known when at least this share of all forms uses it, so the list is bounded by the data's form.
 LABEL_SHARE = 0.002
@@ -35,6 +36,11 @@ def marked_fields(text: Column) -> Column:
     return F.regexp_replace(text, _FIELD, f"$1$2{MARK}")
 
 
+def opens_labelled(text: Column) -> Column:
+    """Does the text begin with a label and its sign? A cheap test: most texts don't and need no marking."""
+    return text.rlike(rf"^[^\p{{L}}\p{{N}}]{{0,8}}{_LABEL}\s{{0,3}}{_SIGN}")
+
+
 def is_form(marked: Column) -> Column:
     """Does the text begin with a labelled field and have another?"""
     return marked.rlike(rf"^[^\p{{L}}\p{{N}}{MARK}]*{MARK}[^{MARK}]+{MARK}")
@@ -45,8 +51,7 @@ def known_labels(df: DataFrame, text: str, share: float = LABEL_SHARE) -> list[s
 
     Counts cover all rows; only the labels themselves come to the driver.
     """
-    marked = marked_fields(F.col(text))
-    forms = df.filter(F.col(text).isNotNull()).select(marked.alias("m")).filter(is_form(F.col("m")))
+    forms = df.filter(opens_labelled(F.col(text))).select(marked_fields(F.col(text)).alias("m")).filter(is_form(F.col("m")))
     labels = F.array_distinct(F.transform(F.regexp_extract_all("m", F.lit(rf"{MARK}({_LABEL})"), F.lit(1)), squeezed))
     # One row counts the forms: every form holds the empty label once.
     counted = forms.select(F.explode(F.array_union(F.array(F.lit("")), labels)).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
@@ -60,7 +65,7 @@ def canonical(text: Column, labels: list[str]) -> Column:
     A form, also one that has lost its separators, begins with a label and holds another: its fields,
     each with its label, are sorted. Everything else is the squeezed text.
     """
-    flat = squeezed(marked_fields(text), MARK)
+    flat = squeezed(F.when(opens_labelled(text), marked_fields(text)).otherwise(text), MARK)
     if labels:
         alternatives = "|".join(re.escape(x) for x in labels)
         flat = F.regexp_replace(flat, f"{MARK}?({alternatives})", f"{MARK}$1")
@@ -75,8 +80,9 @@ def keyed(df: DataFrame, record_id: str, text: str, labels: list[str]) -> DataFr
     A record is an id, not a row: rows loaded again are merged (the smallest key, should they differ).
     Texts that are null, empty or without letters and digits have nothing to compare and are left out.
     """
+    # Checkpointed: the canonical text is the costly part, and counting hot keys, the ledger and the copies all read it.
     canon = df.select(F.col(record_id).cast("string").alias("record_id"), canonical(F.col(text), labels).alias("c")).filter((F.col("c") != "") & F.col("record_id").isNotNull())
-    return canon.select("record_id", F.unhex(F.md5("c")).alias("key")).groupBy("record_id").agg(F.min("key").alias("key"))
+    return cut_lineage(canon.select("record_id", F.unhex(F.md5("c")).alias("key")).groupBy("record_id").agg(F.min("key").alias("key")))
 
 
 def ledger_of(keys: DataFrame) -> DataFrame:
