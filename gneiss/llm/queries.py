@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm import dedup, neighbours, packing, splitting, tokenize
+from gneiss.llm import dedup, neighbours, packing, pairs, splitting, tokenize
 from gneiss.tables import one_per_key, table
 
 CAPACITY = 2048
@@ -31,6 +31,12 @@ def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_rows(_chunks(spark, folder), "id", "content", "article")
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Defective pairs among answered inquiries: (id, defect)."""
+    answered = table(spark, folder, "inquiries").filter(F.col("status") == "answered")
+    return pairs.pair_defects(answered, "id", "content", "answer", version="loaded_at")
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Copies of a message within one table: (src, first_id, copy_id)."""
     found = None
@@ -68,6 +74,7 @@ QUERIES = {
     "p1_found": p1_found,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
+    "p4_found": p4_found,
     "p7_found": p7_found,
     "p7_messages": p7_messages,
     "p8_ids": p8_ids,
