@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm import dedup, neighbours, packing, pairs, splitting, tokenize
+from gneiss.llm import dedup, neighbours, packing, pairs, sentences, splitting, tokenize
 from gneiss.tables import one_per_key, table
 
 CAPACITY = 2048
@@ -70,6 +70,16 @@ def p9_fill(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill_report(p9_packing(spark, folder), CAPACITY)
 
 
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Where the sentences of every document start: (doc_id, start_pos)."""
+    return sentences.sentence_starts(table(spark, folder, "documents"), "doc_id", "text")
+
+
+def p10_sentences(spark: SparkSession, folder: str) -> DataFrame:
+    """The sentences themselves, numbered within their document."""
+    return sentences.sentence_starts(table(spark, folder, "documents"), "doc_id", "text", with_text=True)
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p3_found": p3_found,
@@ -80,6 +90,8 @@ QUERIES = {
     "p8_ids": p8_ids,
     "p9_packing": p9_packing,
     "p9_fill": p9_fill,
+    "p10_found": p10_found,
+    "p10_sentences": p10_sentences,
 }
 
 ORACLE: dict[str, str] = {}
