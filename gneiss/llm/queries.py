@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm import dedup, neighbours, packing, pairs, sentences, splitting, tokenize
+from gneiss.llm import dedup, neighbours, packing, pairs, pii, sentences, splitting, tokenize
 from gneiss.tables import one_per_key, table
 
 CAPACITY = 2048
@@ -37,6 +37,23 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.pair_defects(answered, "id", "content", "answer", version="loaded_at")
 
 
+def _pii(spark: SparkSession, folder: str) -> tuple[DataFrame, pii.Finder]:
+    src = table(spark, folder, "inquiries").select("id", "content", "answer")
+    return src, pii.finder(src, ["content", "answer"], table(spark, folder, "shop_orders"), "customer_name")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in both texts of an inquiry: (id, field, pii_type, start_pos)."""
+    src, who = _pii(spark, folder)
+    return pii.found_rows(src, "id", ["content", "answer"], who).select("id", "field", "pii_type", "start_pos")
+
+
+def p6_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """Both texts of every inquiry with personal data replaced by its type: (id, content, answer)."""
+    src, who = _pii(spark, folder)
+    return pii.redacted(src, "id", ["content", "answer"], who).distinct()
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Copies of a message within one table: (src, first_id, copy_id)."""
     found = None
@@ -85,6 +102,8 @@ QUERIES = {
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
     "p4_found": p4_found,
+    "p6_found": p6_found,
+    "p6_redacted": p6_redacted,
     "p7_found": p7_found,
     "p7_messages": p7_messages,
     "p8_ids": p8_ids,
