@@ -26,8 +26,9 @@ STRING, NUMBER, BOOLEAN, NULL, OBJECT, ARRAY, INVALID = "string", "number", "boo
 
 
 def escape_name(name: str) -> str:
-    """A field name as part of a path: the characters with a meaning in paths get a backslash."""
-    return re.sub(r"([\\.\[\]])", r"\\\1", name)
+    """A field name as part of a path: the characters with a meaning in paths get a backslash, and the
+    empty name is written as one before an ``e``."""
+    return re.sub(r"([\\.\[\]])", r"\\\1", name) if name else "\\e"
 
 
 def child_path(path: str, name: str) -> str:
