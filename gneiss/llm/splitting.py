@@ -79,7 +79,7 @@ def _cut(text: str, lo: int, hi: int, at: list[int], strength: list[int]) -> int
     """Where to divide text[lo:hi]: the strongest boundary in the middle half, nearest to the middle;
     else the nearest boundary at all; else a hard cut."""
     mid, quarter = (lo + hi) / 2, (hi - lo) // 4
-    i, j = bisect_left(at, lo + quarter), bisect_right(at, hi - quarter)
+    i, j = max(bisect_left(at, lo + quarter), bisect_right(at, lo)), min(bisect_right(at, hi - quarter), bisect_left(at, hi))
     if i < j:
         return at[min(range(i, j), key=lambda k: (-strength[k], abs(at[k] - mid), at[k]))]
     i, j = bisect_right(at, lo), bisect_left(at, hi)
