@@ -36,7 +36,7 @@ _SPOKEN = str.maketrans("공영일이삼사오육칠팔구", "00123456789")
 _SEP = r"[ ]?[-.·–][ ]?|[ ]"
 #: Phone numbers on text with plain digits; look-arounds keep parts of longer numbers out.
 _PHONE = re.compile(
-    rf"""(?<![\d*\w+-])(?<![\d][.,])(?:
+    rf"""(?<![0-9A-Za-z_*+-])(?<![0-9][.,])(?:
         \+82(?:[ -]?\(?0\)?)?(?:{_SEP})?(?:1[016789]|2|[3-6]\d|70)(?:{_SEP})?\d{{3,4}}(?:{_SEP})?\d{{4}}
       | 0082(?:{_SEP})?(?:1[016789]|2|[3-6]\d|70)(?:{_SEP})?\d{{3,4}}(?:{_SEP})?\d{{4}}
       | \((?:01[016789]|02|0[3-6]\d|070)\)(?:{_SEP})?\d{{3,4}}(?:{_SEP})?\d{{4}}
@@ -49,7 +49,7 @@ _PHONE = re.compile(
 )
 _SPOKEN_PHONE = re.compile(r"(?<![가-힣\d])공일[공일육칠팔구][\s.-]{0,2}[공영일이삼사오육칠팔구]{3,4}[\s.-]{0,2}[공영일이삼사오육칠팔구]{4}(?![공영일이삼사오육칠팔구]{2})")
 _ID = re.compile(
-    r"(?<![\w*-])(?:(?P<rrn>\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])(?:[ ]?[-–][ ]?|[ ])?[1-8]\d{6})|(?P<licence>\d{2}-\d{2}-\d{6}-\d{2})|(?P<passport>[MSRGD][A-Z0-9]?\d{7,8}))(?![\d*]|-\d)"
+    r"(?<![0-9A-Za-z_*-])(?:(?P<rrn>\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])(?:[ ]?[-–][ ]?|[ ])?[1-8]\d{6})|(?P<licence>\d{2}-\d{2}-\d{6}-\d{2})|(?P<passport>[MSRGD][A-Z0-9]?\d{7,8}))(?![\d*]|-\d)"
 )
 
 #: Words that end like a district but aren't one.
@@ -65,7 +65,7 @@ _KO_ADDRESS = re.compile(
 #: A road without its district counts after a word for addresses, or before a building.
 _KO_ROAD = re.compile(rf"(?:(?<=주소: )|(?<=주소는 )|(?<=배송지: )|(?<=배송지를 )|(?<=배송지는 ))(?:{_ROAD}|{_VILLAGE})\s+{_LOT}|(?<![가-힣])(?!\S*으로\s){_ROAD}\s+{_LOT},?\s+[가-힣]{{2,10}}(?:아파트|빌라|빌딩|타워|오피스텔|맨션|주택)")
 _EN_ADDRESS = re.compile(
-    r"(?<![\w-])\d{1,5}(?:-\d{1,4})?[ ]+(?:[A-Z][a-z]+(?:[0-9]*beon)?-(?:ro|gil|daero)(?:[ ]\d+(?:beon)?-gil)?|(?:[A-Z][a-z]+[ ]){1,3}(?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Dr|Boulevard|Blvd)\b)(?:,[ ]*[A-Z][a-z]+(?:-(?:dong|eup|myeon|gu|gun|si|do))?){0,4}",
+    r"(?<![\w-])\d{1,5}(?:-\d{1,4})?[ ]+(?:[A-Z][a-z]+(?:[0-9]*beon)?-(?:ro|gil|daero)(?:[ ]\d+(?:beon)?-gil)?|(?:[A-Z][a-z]+[ ]){1,3}(?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Dr|Boulevard|Blvd)\b)(?:,[ ]*[A-Z][a-z]+(?:-(?:dong|eup|myeon|gun|gu|si|do))?){0,4}",
     re.IGNORECASE,
 )
 _JA_ADDRESS = re.compile(r"(?<![一-鿿々])(?:[一-鿿々]{1,4}[都道府県])?(?:[一-鿿々ヶケノ]{1,5}[市区町村郡]){1,3}[一-鿿々ぁ-んァ-ヶー]{1,8}\d{1,3}(?:丁目\d{1,4}番(?:地|\d{1,4}号)?|-\d{1,4}(?:-\d{1,4})?|番地)")

@@ -137,7 +137,7 @@ def test_pair_defects(spark, small):
 SHAPES = [
     ("메일은 a.b+c1@mail.example.net 입니다", [("email", 4)]), ("moss1 (at) example.com으로", [("email", 0)]), ("tel 010 0593 2158입니다", [("phone", 4)]), ("전화(010-0274-2760)가", [("phone", 3)]), ("번호 (010) 0643-1936", [("phone", 3)]),
     ("휴대폰 +8210-0433-7715", [("phone", 4)]), ("1552-0674에서", [("phone", 0)]), ("공일공-일이육사-이오공오입니다", [("phone", 0)]), ("０１０－００３１－９８７１", [("phone", 0)]), ("주민번호 990223 5557708 맞나요", [("id_number", 5)]), ("M93164579", [("id_number", 0)]), ("27-76-934928-51", [("id_number", 0)]),
-    ("주문 ORD-20240613-0004, 송장 642259641426, 승인 99144807, 010-****-2587", []), ("지금은 마루도 해오름구 구름다리길 119에 살아요", [("address", 4)]), ("가람특별시에만 있나요? 101동 앞", []), ("Ship it to 178 Solhyang-gil, Haeoreum-gu, Noeul-si.", [("address", 11)]), ("露野県朝凪市若草4丁目32番8号に", [("address", 0)]),
+    ("주문 ORD-20240613-0004, 송장 642259641426, 승인 99144807, 010-****-2587", []), ("지금은 마루도 해오름구 구름다리길 119에 살아요", [("address", 4)]), ("가람특별시에만 있나요? 101동 앞", []), ("Ship it to 178 Solhyang-gil, Haeoreum-gu, Noeul-si.", [("address", 11)]), ("露野県朝凪市若草4丁目32番8号に", [("address", 0)]), ("電話は０１０－１３１４－９７２４です", [("phone", 3)]), ("電話は+82 10-1216-3440です", [("phone", 3)]), ("身分証番号は810510 - 6919740です", [("id_number", 6)]), ("주민번호는990223-5557708", [("id_number", 5)]),
 ]
 
 
