@@ -27,6 +27,8 @@ ROUNDS = 3
 LIKELY = 1.5
 #: A pattern is trusted only if it meets at least this share of all different (pattern, instance) pairs, so at most 1/share are.
 PATTERN_SHARE = 2e-5
+#: Of what a pattern meets, no single instance is more than this share: what names fill varies, a fixed phrase doesn't.
+ONE_INSTANCE = 0.3
 
 # --- shapes ------------------------------------------------------------------------------------
 
@@ -269,14 +271,15 @@ def bootstrap(graph: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, share: f
     Each round scores instances and patterns by each other. An instance is known if it is a seed, if
     trusted patterns meet most of its occurrences, or if its syllables are those of known names rather
     than of other words. A pattern is trusted if most of the different
-    instances it meets are known, if they are many for its occurrences (what names fill varies) and if
-    it has words of its own. Words met often, and mostly not by trusted patterns, are never names. Both
+    instances it meets, and most of their occurrences, are known, if no single one prevails (what names
+    fill varies) and if it has words of its own. These are shares, so they stay as a corpus grows or is
+    loaded again. Words met often, and mostly not by trusted patterns, are never names. Both
     results are bounded: every entry has at least ``share`` of all pairs, or of all occurrences.
     """
     edges = cut_lineage(graph)
     whole = edges.agg(F.count(F.lit(1)).alias("pairs"), F.sum(F.when(F.col("pattern").startswith("L|"), F.col("n")).otherwise(0)).alias("met")).first()
     least, often = max(3, int(share * whole["pairs"])), max(20, int(share * (whole["met"] or 0)))
-    sizes = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("different"), F.sum("n").alias("total")).filter((F.col("different") >= least) & (F.col("different") >= 0.3 * F.col("total")))
+    sizes = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("different"), F.sum("n").alias("total"), F.max("n").alias("largest")).filter((F.col("different") >= least) & (F.col("largest") <= F.greatest(F.lit(1), ONE_INSTANCE * F.col("total"))))
     common = cut_lineage(edges.join(sizes, "pattern"))
     seeded = [r[0] for r in edges.select("pattern").distinct().filter(_seed_filter()).collect()]
     trusted = {x for x in seeded if _is_seed(x)}
@@ -291,8 +294,8 @@ def bootstrap(graph: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, share: f
         if turn == rounds - 1:
             break
         known = _name_like(occurrences, reliable.unionByName(seeds.select("instance")).distinct()).withColumn("is_known", F.lit(1))
-        scored = common.join(known, "instance", "left").groupBy("pattern").agg(F.first("different").alias("different"), F.sum(F.coalesce("is_known", F.lit(0))).alias("known"))
-        new = scored.filter((F.col("known") >= 5) & (F.col("known") >= 0.8 * F.col("different"))).select("pattern").collect()
+        scored = common.join(known, "instance", "left").groupBy("pattern").agg(F.first("different").alias("different"), F.first("total").alias("total"), F.sum(F.coalesce("is_known", F.lit(0))).alias("known"), F.sum(F.coalesce("is_known", F.lit(0)) * F.col("n")).alias("known_n"))
+        new = scored.filter((F.col("known") >= 5) & (F.col("known") >= 0.8 * F.col("different")) & (F.col("known_n") >= 0.8 * F.col("total"))).select("pattern").collect()
         trusted |= {r[0] for r in new if informative(r[0])}
     never = {r[0] for r in frequent.join(reliable, "instance", "left_anti").join(seeds, "instance", "left_anti").select("instance").collect()}
     return trusted, never

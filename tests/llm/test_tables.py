@@ -165,6 +165,17 @@ def test_names_by_bootstrap(spark):
     assert pii.found_rows(df.limit(0), "id", ["content", "answer"], empty).count() == 0
 
 
+def test_patterns_are_learned_whatever_the_size(spark):
+    given = [a + b for a in "리채람소미별" for b in "온현솔해담"]
+    people = [f + g for f in "김표육맹" for g in given]
+    rows = [f"제 이름은 {n}입니다. 확인 부탁드려요." for n in people[:60]] + [f"어제 오신 {n} 씨께 전했습니다." for n in people[50:90]]
+    df = spark.createDataFrame([(f"{k}-{i}", t) for k in range(12) for i, t in enumerate(rows)], "id string, content string")
+    persons = spark.createDataFrame([(n,) for n in people[:20]], "who string")
+    once = pii.finder(df.filter(F.col("id").startswith("0-")), ["content"], persons, "who")
+    often = pii.finder(df, ["content"], persons, "who")
+    assert any("씨께" in p for p in often.trusted) and once.trusted == often.trusted
+
+
 def test_sentence_table(spark, small):
     d = spark.read.parquet(f"{small}/documents.parquet").withColumn("start_pos", F.lit(1))
     starts = sentences.sentence_starts(d, "doc_id", "text")
