@@ -146,6 +146,16 @@ def test_shapes(text, want):
     assert [(k, a) for a, _, k in pii.shaped(text)] == want
 
 
+HINTED = [
+    ("住所は露野県朝凪市若草1-2-3です", [("address", 3)]), ("朝凪市若草12-3", [("address", 0)]), ("市内は通常3-5日で届きます", []), ("Ship to 12 Green Street, please 🙂", [("address", 8)]), ("I’m at 12 Green Street", [("address", 7)]), ("주소 178 SOLHYANG-GIL 입니다", [("address", 3)]), ("moss1 [at) example.com", [("email", 0)]),
+]
+
+
+@pytest.mark.parametrize("text, want", HINTED)
+def test_hints_drop_no_match(text, want):
+    assert [(k, a) for a, _, k in pii.shaped(text)] == want
+
+
 def test_names_by_bootstrap(spark):
     given = [a + b for a in "리채람소미별" for b in "온현솔해담"]
     people = [f + g for f in "김표육맹" for g in given]
