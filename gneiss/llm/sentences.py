@@ -10,7 +10,8 @@ list items can begin a sentence; what never does, though it often follows an end
 middle, cannot. Places before either are the training labels. Beside them, list items and one-sentence
 paragraphs are strung together as running text, where the places between them are boundaries and those
 within them are not; a share of them loses its end mark, which teaches the boundaries of scripts that
-are written without. The training sample is bounded; decoding covers all.
+are written without. The rows that the field is fitted on are a bounded sample, drawn evenly over scripts;
+the counts behind their labels and decoding cover all documents.
 """
 
 from __future__ import annotations
@@ -21,12 +22,12 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.llm import crf
 
-#: Documents that training units are taken from, at most, of each of three kinds; drawn in hash order of the id.
+#: Documents that training units are taken from, at most, of each of three kinds; drawn evenly over scripts, in hash order of the id.
 TRAINING_DOCUMENTS = 1_200
 #: Units taken per script, at most.
 TRAINING_UNITS = 900
@@ -50,6 +51,8 @@ _WORD = re.compile(r"[^\s]+")
 _LAST_WORD = re.compile(r"[^\s]{2,}$")
 _THAI = re.compile(r"[฀-๿຀-໿က-႟ក-៿]")
 _DIGITS = re.compile(r"\d+")
+#: Letters of the scripts that the draw for training tells apart, besides kana and latin.
+_LETTERS = {"hangul": r"\p{IsHangul}", "han": r"\p{IsHan}", "thai": r"\p{IsThai}\p{IsLao}\p{IsMyanmar}\p{IsKhmer}", "deva": r"\p{IsDevanagari}", "cyrillic": r"\p{IsCyrillic}", "arabic": r"\p{IsArabic}"}
 #: Particles that tie a quotation to the sentence around it.
 _QUOTATIVE = re.compile("と|って|라고|이라고|하고|라며|이라며|라는|이라는|라고|하고|이라고")
 _NUMBERED = re.compile(r"(?:^|\s)\d{1,4}\.$")
@@ -125,10 +128,10 @@ def _kind(c: str) -> str:
     return f"mark{c}"
 
 
-def places(text: str) -> tuple[int | None, list[int], list[tuple[int, list[str]]]]:
+def places(text: str, with_features: bool = True) -> tuple[int | None, list[int], list[tuple[int, list[str]]]]:
     """(first start, sure starts, open places): where sentences of ``text`` may start.
 
-    Of a place left open come its position and its features. The first start is None for a text
+    Of a place left open come its position and its features (none without ``with_features``). The first start is None for a text
     without any character but white space.
     """
     stripped = len(text) - len(text.lstrip())
@@ -197,7 +200,7 @@ def places(text: str) -> tuple[int | None, list[int], list[tuple[int, list[str]]
                 continue
         elif not (white and (_THAI.match(right) or _THAI.match(text[a - 1 : a]) or b in starts_at and _THAI.search(text, max(0, a - 40), a))):
             continue
-        open_.append((b, _features(text, a, b, end_marks, closed, starts_at.get(b))))
+        open_.append((b, _features(text, a, b, end_marks, closed, starts_at.get(b)) if with_features else []))
     return stripped, sure, open_
 
 
@@ -361,38 +364,42 @@ def _key(text: str, at: int) -> str:
 
 
 class StartCounts:
-    """How often what stands at a place also opens texts, paragraphs and list items."""
+    """How often what stands at a place also opens texts, paragraphs and list items; of ``wanted`` keys, or of all."""
 
-    def __init__(self, documents: list[str]):
+    def __init__(self, documents: list[str], wanted: set[str] | None = None):
         self.opens: dict[str, int] = {}
         self.open_places: dict[str, int] = {}
         self.middle: dict[str, int] = {}
+        self.wanted = wanted
         for text in documents:
-            first, sure, open_ = places(text)
-            if first is None:
-                continue
-            items = list_items(text)
-            begins = set()
-            for p in (first, *sure):
-                p = items.get(p, p)
-                while p < len(text) and text[p].isspace():
-                    p += 1
-                if p < len(text):
-                    begins.add(p)
-            at_open = {at for at, _ in open_}
-            script = _script(text)
-            for p in begins:
-                self._add(self.opens, script, text, p)
-            for p in at_open:
-                self._add(self.open_places, script, text, p)
-            for m in re.finditer(r"(?<=[^\s.!?…。！？｡।])[^\S\n](?=\S)", text):
-                if m.end() not in begins and m.end() not in at_open:
-                    self._add(self.middle, script, text, m.end())
-
-    @staticmethod
-    def _add(to: dict[str, int], script: str, text: str, at: int) -> None:
+            self.add(text)
+
+    def add(self, text: str) -> None:
+        first, sure, open_ = places(text, with_features=False)
+        if first is None:
+            return
+        items = list_items(text)
+        begins = set()
+        for p in (first, *sure):
+            p = items.get(p, p)
+            while p < len(text) and text[p].isspace():
+                p += 1
+            if p < len(text):
+                begins.add(p)
+        at_open = {at for at, _ in open_}
+        script = _script(text)
+        for p in begins:
+            self._add(self.opens, script, text, p)
+        for p in at_open:
+            self._add(self.open_places, script, text, p)
+        for m in re.finditer(r"(?<=[^\s.!?…。！？｡।])[^\S\n](?=\S)", text):
+            if m.end() not in begins and m.end() not in at_open:
+                self._add(self.middle, script, text, m.end())
+
+    def _add(self, to: dict[str, int], script: str, text: str, at: int) -> None:
         k = script + ":" + _key(text, at)
-        to[k] = to.get(k, 0) + 1
+        if self.wanted is None or k in self.wanted:
+            to[k] = to.get(k, 0) + 1
 
     def verdict(self, script: str, text: str, at: int) -> str | None:
         """START, INSIDE, or None where the counts don't tell."""
@@ -400,13 +407,39 @@ class StartCounts:
         opens, places_, middle = self.opens.get(k, 0), self.open_places.get(k, 0), self.middle.get(k, 0)
         if opens >= 2 and opens >= 0.02 * (opens + places_) and opens >= 0.2 * (opens + middle):
             return START
-        if not opens and (middle >= 2 or places_ >= 12):
+        if opens <= 0.001 * (middle + places_) and (middle >= 2 or places_ >= 12):  # stray starts don't grow into a sign
             return INSIDE
         return None
 
 
-def train(documents: list[str]) -> crf.ChainCRF:
-    """The model from a sample of documents; the same documents give the same model."""
+def asked_keys(documents: list[str]) -> set[str]:
+    """The keys whose counts label the training places: at most ``TRAINING_PLACES`` a document."""
+    return {_script(text) + ":" + _key(text, at) for text in documents for at, _ in places(text, with_features=False)[2][:TRAINING_PLACES]}
+
+
+def corpus_counts(df: DataFrame, text: str, wanted: set[str]) -> StartCounts:
+    """The counts of the wanted keys over all rows, added up within each task before the shuffle."""
+    shared = df.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = StartCounts([], shared.value)
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                if t:
+                    mine.add(t)
+        rows = [(kind, k, n) for kind in ("opens", "open_places", "middle") for k, n in getattr(mine, kind).items()]
+        kinds, keys, ns = zip(*rows) if rows else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(keys, pa.string()), pa.array(ns, pa.int64())], names=["kind", "key", "n"])
+
+    counts = StartCounts([], wanted)
+    for r in df.select(text).mapInArrow(run, "kind string, key string, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n")).collect():
+        getattr(counts, r["kind"])[r["key"]] = r["n"]
+    return counts
+
+
+def train(documents: list[str], counts: StartCounts | None = None) -> crf.ChainCRF:
+    """The model from a sample of documents, labelled by the counts (by default those of the sample itself);
+    the same documents and counts give the same model."""
     by_script: dict[str, list[tuple[int, str]]] = {}
     for text in documents:
         for u in dict.fromkeys(sure_units(text)):
@@ -424,7 +457,7 @@ def train(documents: list[str]) -> crf.ChainCRF:
                 features.append(fs)
                 gold.append(START if at in starts else INSIDE)
             lengths.append(len(open_))
-    counts = StartCounts(documents)
+    counts = counts or StartCounts(documents)
     for text in documents:
         _, _, open_ = places(text)
         script, run = _script(text), 0
@@ -460,14 +493,28 @@ def starts_of(model: crf.ChainCRF, texts: list[str | None]) -> list[list[int]]:
     return out
 
 
+def _script_column(t: Column) -> Column:
+    """About ``_script``, for the draw: kana, the script of most letters of the beginning, or latin."""
+    head = F.substring(t, 1, 200)
+    many = [F.when(F.regexp_count(head, F.lit(f"[{letters}]")) * 2 > F.regexp_count(head, F.lit(r"[\p{L}]")), F.lit(name)) for name, letters in _LETTERS.items()]
+    return F.coalesce(F.when(head.rlike("[\u3040-\u30ff]"), F.lit("kana")), *many, F.lit("latin"))
+
+
 def training_sample(df: DataFrame, key: str, text: str, most: int = TRAINING_DOCUMENTS) -> list[str]:
-    """Texts to train on: those with list items, with paragraphs and with neither, ``most`` of each at most."""
+    """Texts to train on: those with list items, with paragraphs and with neither, ``most`` of each at most.
+
+    Of each kind the scripts take turns, so a rare one is drawn whole before a frequent one fills the rest.
+    """
     t = F.col(text)
     short = df.filter(t.isNotNull() & (F.length(t) <= TRAINING_LENGTH)).select(F.col(key).alias("k"), t.alias("t"))
     listed = F.col("t").rlike(r"(?m)^\s*1[.)]\s") & F.col("t").rlike(r"(?m)^\s*2[.)]\s")
-    parts = F.col("t").contains("\n\n") & ~listed
-    plain = ~F.col("t").contains("\n\n") & ~listed
-    return [r[0] for kind in (listed, parts, plain) for r in short.filter(kind).orderBy(F.xxhash64("k", F.lit(29)), "k", "t").limit(most).select("t").collect()]
+    kind = F.when(listed, 0).when(F.col("t").contains("\n\n"), 1).otherwise(2)
+    keyed = short.select("k", "t", kind.alias("kind"), _script_column(F.col("t")).alias("script"), F.xxhash64("k", F.lit(29)).alias("h"))
+    turn = F.row_number().over(Window.partitionBy("kind", "script").orderBy("h", "k", "t"))
+    drawn = keyed.withColumn("turn", turn).filter(F.col("turn") <= most)
+    place = F.row_number().over(Window.partitionBy("kind").orderBy("turn", "script"))
+    rows = drawn.withColumn("place", place).filter(F.col("place") <= most).select("kind", "place", "t").collect()
+    return [r["t"] for r in sorted(rows, key=lambda r: (r["kind"], r["place"]))]
 
 
 def sentence_starts(df: DataFrame, key: str, text: str, with_text: bool = False) -> DataFrame:
@@ -477,7 +524,8 @@ def sentence_starts(df: DataFrame, key: str, text: str, with_text: bool = False)
     empty and blank texts have no rows.
     """
     kind = dict(df.dtypes)[key]
-    shared = df.sparkSession.sparkContext.broadcast(train(training_sample(df, key, text)))
+    drawn = training_sample(df, key, text)
+    shared = df.sparkSession.sparkContext.broadcast(train(drawn, corpus_counts(df, text, asked_keys(drawn))))
     schema = f"`{key}` {kind}, start_pos bigint" + (", sentence_no int, end_pos bigint, sentence string" if with_text else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

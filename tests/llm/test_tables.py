@@ -199,6 +199,18 @@ def test_sentence_table(spark, small):
     assert sentences.sentence_starts(d.limit(0), "doc_id", "text").count() == 0
 
 
+def test_start_counts_cover_documents_that_are_not_drawn(spark):
+    rows = [(i, f"Tomorrow the shop opens at {i}. It is near Zeller street.") for i in range(40)] + [(100, "ร้านเปิดเวลา 9 น. ของทุกวัน"), (101, "दुकान सुबह खुलती है। धन्यवाद")] + [(102, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    drawn = sentences.training_sample(df, "doc_id", "text", 3)
+    assert len(drawn) == 3 and {sentences._script(t) for t in drawn} == {"latin", "thai", "deva"}
+    asked = sentences.asked_keys(drawn)
+    counts = sentences.corpus_counts(df, "text", asked)
+    whole = sentences.StartCounts([t for _, t in rows if t], asked)
+    assert counts.open_places["latin:It"] == 40
+    assert (counts.opens, counts.open_places, counts.middle) == (whole.opens, whole.open_places, whole.middle)
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query_runs(name, spark, small):
     assert queries.QUERIES[name](spark, small).count() >= 0
