@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +28,16 @@ def phone(c: Column) -> Column:
     return F.when(d.startswith("0082"), F.concat(F.lit("0"), F.regexp_replace(F.substring(d, 5, 32), "^0", ""))).when(d.startswith("82"), F.concat(F.lit("0"), F.regexp_replace(F.substring(d, 3, 32), "^0", ""))).otherwise(d)
 
 
+def folded(text: Column) -> Column:
+    """The text as it looks: compatibility characters folded (NFKC), format characters (category Cf) removed."""
+
+    @F.pandas_udf("string")
+    def fold(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t if t is None or t.isascii() else "".join(c for c in unicodedata.normalize("NFKC", t) if unicodedata.category(c) != "Cf"))
+
+    return fold(text)
+
+
 def found(text: Column) -> Column:
     """array<string>: every value the patterns find, normalised, each once; empty for null."""
     lists = []

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.functions.pii import found
+from gneiss.functions.pii import folded, found
 from gneiss.operators import nested
 
 #: The reasons in the order of the report.
@@ -53,11 +53,22 @@ def citations(triples: DataFrame, evidence: DataFrame) -> DataFrame:
     return both.select("record_id", F.coalesce("missing", F.lit(False)).alias("missing"), F.coalesce("invalid", F.lit(False)).alias("invalid"))
 
 
+def draft_texts(triples: DataFrame) -> DataFrame:
+    """(record_id, text): the claim texts of a draft; of one without any, all its strings but ``citation_ids``,
+    and text that is no JSON as it stands."""
+    p, k, v = F.col("path"), F.col("kind"), F.col("value")
+    claim = (p == "claims[].text") & (k == nested.STRING)
+    strings = triples.filter(k.isin(nested.STRING, nested.INVALID) & v.isNotNull() & ~p.rlike(r"(^|\.)citation_ids($|[.\[])"))
+    rows = strings.select("record_id", v.alias("text"), claim.alias("claim"))
+    claimed = rows.filter("claim").select("record_id").distinct()
+    return rows.filter("claim").select("record_id", "text").unionByName(rows.join(claimed, "record_id", "left_anti").select("record_id", "text"))
+
+
 def unsourced(triples: DataFrame, sources: DataFrame) -> DataFrame:
-    """(record_id, values): personal data in a draft's claim texts that no evidence of it holds, compared exactly
-    after normalisation. sources: record_id, text."""
-    texts = triples.filter((F.col("path") == "claims[].text") & (F.col("kind") == nested.STRING)).select("record_id", F.explode(found(F.col("value"))).alias("v")).distinct()
-    known = sources.select("record_id", F.explode(found(F.col("text"))).alias("v")).distinct()
+    """(record_id, values): personal data in a draft's texts that no evidence of it holds, compared exactly
+    after both are folded and their values normalised. sources: record_id, text."""
+    texts = draft_texts(triples).select("record_id", F.explode(found(folded(F.col("text")))).alias("v")).distinct()
+    known = sources.select("record_id", F.explode(found(folded(F.col("text")))).alias("v")).distinct()
     return texts.join(known, ["record_id", "v"], "left_anti").groupBy("record_id").agg(F.array_sort(F.collect_set("v")).alias("values"))
 
 

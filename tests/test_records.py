@@ -3,7 +3,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from gneiss.operators import records, regression
+from gneiss.operators import gate, nested, records, regression
 from gneiss.sources.policies import read_jsonl, read_policies
 from gneiss.streaming.inquiries import arriving, counted, write_batches
 
@@ -87,3 +87,12 @@ def test_stream(spark, tmp_path):
     write_batches(stream, lambda d: d.groupBy("status").count(), out, str(tmp_path / "cp")).awaitTermination()
     assert sorted((r.status, r["count"]) for r in spark.read.parquet(out).collect()) == [("x", 1), ("y", 1)]
     assert counted(stream, "loaded", "1 day", ["status"]).isStreaming
+
+
+def test_gate_folds_texts_and_searches_drafts_without_claims(spark):
+    claim = lambda t: '{"claims": [{"text": "%s", "citation_ids": ["010-9999-8888"]}], "note": "010-7777-6666"}' % t
+    rows = [("wide", claim("０１０－１２３４－５６７８")), ("hidden", claim("010-12\u200b34-5678")), ("echo", claim("０１０－１２３４－５６７８")), ("bare", '"010-1234-5678"'), ("plain", "call 010-1234-5678"), ("other", '{"answer": {"body": ["010-1234-5678"], "citation_ids": ["010-9999-8888"]}}'), ("clean", claim("none")), ("null", None)]
+    drafts = spark.createDataFrame(rows, "record_id string, raw_draft string")
+    evidence = spark.createDataFrame([("echo", "010\u200b-1234-5678")], "record_id string, text string")
+    got = {r.record_id: r["values"] for r in gate.unsourced(nested.json_triples(drafts, "record_id", "raw_draft"), evidence).collect()}
+    assert got == dict.fromkeys(("wide", "hidden", "bare", "plain", "other"), ["01012345678"])
