@@ -39,6 +39,36 @@ _TOKEN = re.compile(
 )
 
 
+#: What the renderer writes: Spark's strings have backslash escapes, its quoted names backticks.
+_RENDERED = re.compile(
+    r"""(?P<space>\s+)
+    | (?P<comment>--|/\*)
+    | (?P<string>'(?:[^'\\]|\\.)*')
+    | (?P<quoted>`(?:[^`]|``)+`)
+    | (?P<number>\d+(?:\.\d*)?(?:[eE][+-]?\d+)?|\.\d+)
+    | (?P<word>[^\W\d]\w*)
+    | (?P<op>\|\||<=>|<>|<=|>=|[-+*/%=<>(),.])""",
+    re.X | re.DOTALL,
+)
+
+
+def rendered_tokens(sql: str) -> list[Token]:
+    """Tokens of a text as Spark reads it, in the parser's own notation; anything else is rejected."""
+    out, at = [], 0
+    while at < len(sql):
+        m = _RENDERED.match(sql, at)
+        if not m or m.lastgroup == "comment":
+            raise Rejected("parse_error", f"rendered at {sql[at:at + 20]!r}")
+        at, text = m.end(), m.group()
+        if m.lastgroup == "string":
+            text = "'" + _unquote(text).replace("'", "''") + "'"
+        elif m.lastgroup == "quoted":
+            text = '"' + text[1:-1].replace("``", "`").replace('"', '""') + '"'
+        if m.lastgroup != "space":
+            out.append(Token(m.lastgroup, text))
+    return out
+
+
 def tokenize(sql: str) -> list[Token]:
     """Tokens of the text. A comment anywhere outside strings is rejected: parsers drop them silently."""
     out, at = [], 0
@@ -194,13 +224,17 @@ class Select:
 
 # --- the parser --------------------------------------------------------------------------------
 
+#: The parts that may be extracted from a date or time.
+EXTRACTED = {"year", "month", "day", "hour", "minute", "second", "quarter", "week", "doy", "dow", "isodow", "dayofweek", "dayofweek_iso"}
 _DML = {"INSERT", "UPDATE", "DELETE", "MERGE", "DROP", "ALTER", "TRUNCATE", "CREATE", "GRANT", "REVOKE", "COPY", "CALL", "DO", "SET", "VACUUM", "ANALYZE", "EXPLAIN", "LOCK", "COMMENT", "BEGIN", "COMMIT", "ROLLBACK", "VALUES", "TABLE", "SHOW"}
 _RESERVED = {"SELECT", "FROM", "WHERE", "GROUP", "HAVING", "ORDER", "LIMIT", "OFFSET", "FETCH", "FOR", "UNION", "INTERSECT", "EXCEPT", "ON", "USING", "JOIN", "INNER", "LEFT", "RIGHT", "FULL", "CROSS", "NATURAL", "OUTER", "AND", "OR", "NOT", "AS", "IN", "IS", "LIKE", "ILIKE", "BETWEEN", "CASE", "WHEN", "THEN", "ELSE", "END", "INTO", "WITH", "DISTINCT", "ASC", "DESC", "NULLS", "SEMI", "ANTI", "WINDOW", "SIMILAR"}
 
 
 class Parser:
-    def __init__(self, tokens: list[Token]):
-        self.tokens, self.at = [*tokens, Token("end", "")], 0
+    """``rendered`` adds the two operators that only the renderer writes."""
+
+    def __init__(self, tokens: list[Token], rendered: bool = False):
+        self.tokens, self.at, self.rendered = [*tokens, Token("end", "")], 0, rendered
 
     @property
     def now(self) -> Token:
@@ -446,7 +480,7 @@ class Parser:
     def comparison(self) -> Node:
         e = self.sum()
         while True:
-            for op in ("=", "<>", "!=", "<=", ">=", "<", ">"):
+            for op in ("=", "<>", "!=", "<=", ">=", "<", ">", *(["<=>"] if self.rendered else [])):
                 if self.now.kind == "op" and self.now.text == op:
                     self.take()
                     e = Op("<>" if op == "!=" else op, [e, self.sum()])
@@ -498,6 +532,8 @@ class Parser:
         e = self.unary()
         while self.now.kind == "op" and self.now.text in ("*", "/", "%"):
             e = Op(self.take().text, [e, self.unary()])
+        while self.rendered and self.skip("DIV"):
+            e = Op("DIV", [e, self.unary()])
         return e
 
     def unary(self) -> Node:
@@ -559,11 +595,14 @@ class Parser:
                 return Cast(e, kind)
             if w == "EXTRACT" and self.tokens[self.at + 1].text == "(":
                 self.take(), self.take()
-                part = self.take().text.strip("'")
+                t = self.take()
+                part = (_string(t.text) if t.kind == "string" else t.text).lower()
+                if t.kind not in ("word", "string") or part not in EXTRACTED:
+                    raise Rejected("parse_error", f"extract {t.text!r}")
                 self.need("FROM")
                 e = self.expr()
                 self.need(")")
-                return Extract(part.lower(), e)
+                return Extract(part, e)
             if w == "INTERVAL" and self.tokens[self.at + 1].kind == "string":
                 self.take()
                 v = _string(self.take().text)
@@ -633,4 +672,9 @@ def _string(text: str) -> str:
 
 
 def _quote(v: str) -> str:
-    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    """A literal of Spark: quotes, backslashes and everything that isn't a plain character are escaped."""
+    return "'" + re.sub(r"[\x00-\x1f\x7f-\x9f\u2028\u2029\ufeff'\\]", lambda m: "\\" + m.group() if m.group() in "'\\" else f"\\u{ord(m.group()):04x}", v) + "'"
+
+
+def _unquote(text: str) -> str:
+    return re.sub(r"\\(u[0-9a-f]{4}|.)", lambda m: chr(int(m.group(1)[1:], 16)) if len(m.group(1)) == 5 else m.group(1), text[1:-1], flags=re.DOTALL)
