@@ -8,13 +8,14 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Name to pattern. Digits around a match keep it out of longer numbers.
+#: Name to pattern. Digits around a match keep it out of longer numbers; the last is for letters
+#: and digits of every script.
 PATTERNS = {
-    "mobile": r"(?<!\d)(?:(?:\+|00)?82[-. ]?(?:\(0\))?|0)1[016789][-. ]?\d{3,4}[-. ]?\d{4}(?!\d)",
-    "landline": r"(?<!\d)0(?:2|[3-6]\d|70)[-. ]?\d{3,4}[-. ]?\d{4}(?!\d)",
-    "service": r"(?<!\d)1[5-8]\d{2}[-. ]?\d{4}(?!\d)",
-    "resident": r"(?<!\d)\d{6}[- ]?[1-8]\d{6}(?!\d)",
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "mobile": r"(?<![0-9])(?:(?:\+82|0082)[-. ()]*10|01[016789])[-. ()]*[0-9]{3,4}[-. ()]*[0-9]{4}(?![0-9])",
+    "landline": r"(?<![0-9])(?:(?:\+82|0082)[-. ()]*(?:2|[3-9][0-9]?)|0[2-9][0-9]?)[-. ()]*[0-9]{3,4}[-. ()]*[0-9]{4}(?![0-9])",
+    "service": r"(?<![0-9])1[5-8][0-9]{2}[-. ]?[0-9]{4}(?![0-9])",
+    "resident": r"(?<![0-9])[0-9]{6}[-. ]?[1-4][0-9]{6}(?![0-9])",
+    "email": r"[A-Za-z0-9._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
 }
 
 
@@ -23,9 +24,9 @@ def digits(c: Column) -> Column:
 
 
 def phone(c: Column) -> Column:
-    """Digits only; the country code 82 (or 0082) becomes a leading 0."""
+    """Digits only; the country code (0082 or 82 at the start) becomes a 0, and what follows it stays."""
     d = digits(c)
-    return F.when(d.startswith("0082"), F.concat(F.lit("0"), F.regexp_replace(F.substring(d, 5, 32), "^0", ""))).when(d.startswith("82"), F.concat(F.lit("0"), F.regexp_replace(F.substring(d, 3, 32), "^0", ""))).otherwise(d)
+    return F.when(d.startswith("0082"), F.concat(F.lit("0"), F.substring(d, 5, 1_000))).when(d.startswith("82"), F.concat(F.lit("0"), F.substring(d, 3, 1_000))).otherwise(d)
 
 
 def folded(text: Column) -> Column:
@@ -42,6 +43,11 @@ def found(text: Column) -> Column:
     """array<string>: every value the patterns find, normalised, each once; empty for null."""
     lists = []
     for name, pattern in PATTERNS.items():
-        norm = phone if name in ("mobile", "landline", "service") else digits if name == "resident" else F.lower
+        norm = phone if name in ("mobile", "landline") else digits if name in ("service", "resident") else F.lower
         lists.append(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), norm))
     return F.coalesce(F.array_distinct(F.flatten(F.array(*lists))), F.array().cast("array<string>"))
+
+
+def shaped(text: Column) -> Column:
+    """Does the (folded) text hold anything the patterns find? Null for null."""
+    return text.rlike("|".join(f"(?:{p})" for p in PATTERNS.values()))

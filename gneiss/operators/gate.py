@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.functions.pii import folded, found
+from gneiss.functions.text import strip_white
 from gneiss.operators import nested
 
 #: The reasons in the order of the report.
@@ -30,7 +31,7 @@ def structure(triples: DataFrame, drafts: DataFrame) -> DataFrame:
         (count("claims", nested.ARRAY) == 1).alias("list"),
         elements.alias("claims"),
         count("claims[]", nested.OBJECT).alias("objects"),
-        F.sum(((p == "claims[].text") & (k == nested.STRING) & (F.trim(v) != "")).cast("int")).alias("texts"),
+        F.sum(((p == "claims[].text") & (k == nested.STRING) & (strip_white(v) != "")).cast("int")).alias("texts"),
         count("claims[].citation_ids", nested.ARRAY).alias("lists"),
         F.sum(((p == "claims[].citation_ids[]") & (k != nested.STRING)).cast("int")).alias("odd"),
     )

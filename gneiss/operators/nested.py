@@ -287,3 +287,26 @@ def observed_paths(triples: DataFrame) -> list[str]:
     """The leaf paths that occur; their number is that of the schema, not of the data."""
     leaf = triples.filter(~F.col("kind").isin(OBJECT, ARRAY, INVALID))
     return sorted(r[0] for r in leaf.select("path").distinct().collect())
+
+
+def rebuild_claims(triples: DataFrame) -> DataFrame:
+    """(record_id, rebuilt): the list of claims that the triples of one were made of, null where it was null.
+
+    The inverse of ``typed_triples`` for array<struct<text, citation_ids array>>: null elements, null
+    texts, null and empty lists and null citations come back where they were. Lists of one record are
+    gathered, never those of several. Repeated triples of a record are merged.
+    """
+    p, one, two = F.col("path"), F.get("ordinals", F.lit(0)), F.get("ordinals", F.lit(1))
+    rows = triples.select("record_id", "path", one.alias("c"), two.alias("i"), "kind", "value").distinct()
+    at = lambda path, what: F.max(F.when(p == path, what))
+    item = F.when(p == "[].citation_ids[]", F.struct("i", "value"))
+    claims = rows.filter("c is not null").groupBy("record_id", "c").agg(
+        at("[]", F.col("kind")).alias("kind"), at("[].text", F.col("value")).alias("text"), at("[].citation_ids", F.col("kind")).alias("list"), F.array_sort(F.collect_list(item)).alias("items")
+    )
+    cited = F.when(F.col("list") == ARRAY, F.transform("items", lambda x: x["value"]))
+    one_claim = F.when(F.col("kind") == OBJECT, F.struct(F.col("text"), cited.alias("citation_ids")))
+    lists = claims.select("record_id", "c", one_claim.alias("claim")).groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("c", "claim"))).alias("l"))
+    roots = rows.filter(p == "").groupBy("record_id").agg(F.max("kind").alias("root"))
+    both = roots.join(lists, "record_id", "left")
+    empty = F.expr("cast(array() as array<struct<text:string,citation_ids:array<string>>>)")
+    return both.select("record_id", F.when(F.col("root") == ARRAY, F.coalesce(F.transform("l", lambda x: x["claim"]), empty)).alias("rebuilt"))

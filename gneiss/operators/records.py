@@ -41,18 +41,29 @@ def sync_plan(source: DataFrame, target: DataFrame, key: str) -> DataFrame:
 def sync(source: DataFrame, path: str, key: str) -> None:
     """Replace the table at ``path`` with the source: upsert by key, drop what has no source row.
 
-    With the whole source at hand the result is the source itself, one row per key; it is written beside
-    and then renamed, so a lost job leaves the old table.
+    With the whole source at hand the result is the source itself, one row per key (the smallest struct of
+    its values). It is written beside and the old table moved away before the new one takes its place; if
+    the second move fails the first is undone, and a job lost between the two leaves ``path.previous``,
+    which the next call puts back. A reader sees the old table, the new one, or for a moment none.
     """
     spark = source.sparkSession
-    fresh = f"{path}.next"
-    source.dropDuplicates([key]).write.mode("overwrite").parquet(fresh)
-    jvm = spark._jvm
-    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(fresh)
-    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(old):
-        fs.delete(old, True)
-    fs.rename(new, old)
+    rest = [c for c in source.columns if c != key]
+    one = source.groupBy(key).agg(F.min(F.struct(*rest)).alias("__row")).select(key, "__row.*").select(*source.columns) if rest else source.distinct()
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    now, fresh, previous = hadoop(path), hadoop(f"{path}.next"), hadoop(f"{path}.previous")
+    fs = now.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(now) and fs.exists(previous) and not fs.rename(previous, now):
+        raise OSError(f"{path}.previous can't be put back")
+    one.write.mode("overwrite").parquet(f"{path}.next")
+    if fs.exists(previous):
+        fs.delete(previous, True)
+    if fs.exists(now) and not fs.rename(now, previous):
+        raise OSError(f"{path} can't be moved")
+    if not fs.rename(fresh, now):
+        if fs.exists(previous):
+            fs.rename(previous, now)
+        raise OSError(f"{path}.next can't take its place")
+    fs.delete(previous, True)
 
 
 def cache_plan(texts: DataFrame, text: str, cached: DataFrame, digest: str) -> DataFrame:
@@ -83,12 +94,24 @@ def require_provenance(df: DataFrame, expected: dict[str, object]) -> None:
         raise ValueError(f"the index was made with {wrong[0].asDict()}, not {expected}")
 
 
+#: Rows that a rendering shows before it says how many more there are.
+SHOWN = 10
+
+
 def render_row(columns: list[str], number: Column, null: str = "(없음)") -> Column:
     """One line of a row: ``i) k=v, k=v``; nulls are written out."""
     parts = [F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit(null))) for c in columns]
     return F.concat(number.cast("string"), F.lit(") "), F.concat_ws(", ", *parts))
 
 
+def render_rows(lines: Column, most: int | None = SHOWN) -> Column:
+    """The lines of a result one below the other; beyond ``most`` a last line counts what isn't shown."""
+    if most is None:
+        return F.array_join(lines, "\n")
+    rest = F.size(lines) - most
+    return F.when(rest > 0, F.concat(F.array_join(F.slice(lines, 1, most), "\n"), F.lit("\n... (이하 "), rest.cast("string"), F.lit("건 생략)"))).otherwise(F.array_join(lines, "\n"))
+
+
 def validate_order_no(c: Column) -> Column:
     """Is it ORD-, a calendar date of 8 digits, and a number from 0001 to 9999? ASCII digits only; null for null."""
     shape = c.rlike(r"\AORD-[0-9]{8}-[0-9]{4}\z")

@@ -19,9 +19,9 @@ from gneiss.operators.skew import HOT_SHARE, lookup
 def parent_intervals(df: DataFrame, key: str, arrived: str, deleted: str | None) -> DataFrame:
     """(ref_key, arrived, deleted): one row per key.
 
-    A record is a key, not a row: it arrived with its earliest row. It is deleted once every row that
-    was loaded says so, at the earliest time given: a null deleted in the last loaded row means that it
-    is there again. Null keys are no parents.
+    A record is a key, not a row: it arrived with its earliest row, and what the last loaded row says of
+    its deletion holds: a null there means that it is there again. Of rows loaded at one time the latest
+    deletion counts. Null keys are no parents.
     """
     gone = F.max_by(F.struct(F.col(deleted).alias("d")), F.struct(F.col(arrived), F.col(deleted)))["d"] if deleted else F.lit(None).cast("timestamp")
     return df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("ref_key")).agg(F.min(arrived).alias("arrived"), gone.alias("deleted"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -13,21 +13,26 @@ def newest(runs: DataFrame, by: list[str], order: str, tie: str, most: int) -> D
     return runs.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most)
 
 
+def majority(n: Column) -> Column:
+    """The least number of ``n`` runs that is more than half of them."""
+    return F.floor(n / 2) + 1
+
+
 def compare_cases(baseline: DataFrame, candidate: DataFrame, case: str = "case_id") -> DataFrame:
     """(case, baseline_passes, candidate_passes, change) per case; both inputs: case, passes, runs.
 
-    collapse: from every run to none; shortfall: from every run to some; decrease: fewer than before;
-    unknown: only one side has the case; same otherwise. The first that holds.
+    unknown: only one side has the case; shortfall: every run before, less than a majority now; collapse:
+    some before, none now; decrease: fewer than before; same otherwise. The first that holds.
     """
     b = baseline.select(case, F.col("passes").alias("baseline_passes"), F.col("runs").alias("baseline_runs"))
     c = candidate.select(case, F.col("passes").alias("candidate_passes"), F.col("runs").alias("candidate_runs"))
     both = b.join(c, case, "full_outer")
-    all_before = F.col("baseline_passes") == F.col("baseline_runs")
+    before, now = F.col("baseline_passes"), F.col("candidate_passes")
     change = (
-        F.when(F.col("baseline_passes").isNull() | F.col("candidate_passes").isNull(), "unknown")
-        .when(all_before & (F.col("baseline_runs") > 0) & (F.col("candidate_passes") == 0), "collapse")
-        .when(all_before & (F.col("candidate_passes") < F.col("candidate_runs")), "shortfall")
-        .when(F.col("candidate_passes") / F.nullif(F.col("candidate_runs"), F.lit(0)) < F.col("baseline_passes") / F.nullif(F.col("baseline_runs"), F.lit(0)), "decrease")
+        F.when(before.isNull() | now.isNull(), "unknown")
+        .when((before == F.col("baseline_runs")) & (now < majority(F.col("candidate_runs"))), "shortfall")
+        .when((before > 0) & (now == 0), "collapse")
+        .when(now < before, "decrease")
         .otherwise("same")
     )
     return both.select(case, "baseline_passes", "candidate_passes", change.alias("change"))
@@ -38,20 +43,78 @@ def lost(baseline: DataFrame, candidate: DataFrame, keys: list[str]) -> DataFram
     return baseline.select(*keys).distinct().join(candidate.select(*keys).distinct(), keys, "left_anti")
 
 
-def fingerprint_diff(a: DataFrame, b: DataFrame) -> DataFrame:
+def _accepted(runs: DataFrame, observed: DataFrame, reference: DataFrame) -> DataFrame:
+    """(case_id, evidence_id): what more than half of a set's runs accepted of the relevant evidence.
+
+    A run that has a case but no observation of it accepted all: only what was missed is observed.
+    """
+    total = runs.groupBy("case_id").agg(F.countDistinct("run_id").alias("n"))
+    silent = runs.select("case_id", "run_id").distinct().join(observed.select("case_id", "run_id").distinct(), ["case_id", "run_id"], "left_anti")
+    full = silent.join(reference, "case_id").select("case_id", "run_id", "evidence_id")
+    seen = observed.filter("accepted").select("case_id", "run_id", "evidence_id").unionByName(full).join(reference, ["case_id", "evidence_id"], "left_semi")
+    votes = seen.groupBy("case_id", "evidence_id").agg(F.countDistinct("run_id").alias("votes"))
+    return votes.join(total, "case_id").filter(F.col("votes") >= majority(F.col("n"))).select("case_id", "evidence_id")
+
+
+def evidence_lost(baseline: DataFrame, candidate: DataFrame, baseline_seen: DataFrame, candidate_seen: DataFrame, same_labels: bool = True) -> DataFrame:
+    """(case_id, evidence_id, outcome): relevant evidence that a majority accepted before and none does now.
+
+    baseline, candidate: case_id, run_id, every run of a case; ..._seen: case_id, run_id, evidence_id,
+    accepted, a row per relevant evidence of a case that a run reports (runs leave out cases of which they
+    accepted everything). outcome is lost; or, with a null evidence_id and nothing judged, labels_differ
+    (both sides report a case, with different evidence), not_borrowed (one side reports it and the labels
+    aren't known to be the same) or unobserved (neither side does). Cases of one side alone have no row.
+    """
+    cases = baseline.select("case_id").distinct().join(candidate.select("case_id").distinct(), "case_id")
+    ids = lambda d, name: d.select("case_id", "evidence_id").distinct().groupBy("case_id").agg(F.array_sort(F.collect_set("evidence_id")).alias(name))  # noqa: E731  # a case's labels are few
+    known = cases.join(ids(baseline_seen, "b"), "case_id", "left").join(ids(candidate_seen, "c"), "case_id", "left")
+    state = (
+        F.when(F.col("b").isNull() & F.col("c").isNull(), "unobserved")
+        .when(F.col("b") != F.col("c"), "labels_differ")
+        .when((F.col("b").isNull() | F.col("c").isNull()) & ~F.lit(same_labels), "not_borrowed")
+    )
+    known = known.withColumn("outcome", state)
+    reference = known.filter("outcome is null").select("case_id", F.explode(F.coalesce("b", "c")).alias("evidence_id"))
+    gone = lost(_accepted(baseline, baseline_seen, reference), _accepted(candidate, candidate_seen, reference), ["case_id", "evidence_id"])
+    return gone.withColumn("outcome", F.lit("lost")).unionByName(known.filter("outcome is not null").select("case_id", F.lit(None).cast(dict(reference.dtypes)["evidence_id"]).alias("evidence_id"), "outcome"))
+
+
+def fingerprint_diff(a: DataFrame, b: DataFrame, declared: list[str] = (), paired: dict[str, str] | None = None) -> DataFrame:
     """(name, a_value, b_value, relation): conditions of two runs, each given as rows (name, value).
 
-    same, differs, or unknown where a side has no value or a null one.
+    same; unknown where a side has no value or a null one; declared or differs where the values differ,
+    by whether ``declared`` lists the name. A name that ``paired`` gives a partner is compared together
+    with the partner's value: unknown if that is, differing if either does, declared if either is.
     """
     both = a.select("name", F.col("value").alias("a_value")).join(b.select("name", F.col("value").alias("b_value")), "name", "full_outer")
-    relation = F.when(F.col("a_value").isNull() | F.col("b_value").isNull(), "unknown").when(F.col("a_value") == F.col("b_value"), "same").otherwise("differs")
+    pairs = F.map_from_arrays(F.array(*[F.lit(k) for k in paired]), F.array(*[F.lit(v) for v in paired.values()])) if paired else F.lit(None).cast("map<string,string>")
+    partner = F.try_element_at(pairs, F.col("name")) if paired else F.lit(None).cast("string")
+    both = both.withColumn("partner", partner)
+    others = both.select(F.col("name").alias("partner"), F.col("a_value").alias("a_other"), F.col("b_value").alias("b_other"))
+    both = both.join(others, "partner", "left")
+    listed = F.array(*[F.lit(x) for x in declared]) if declared else F.array().cast("array<string>")
+    has = F.col("partner").isNotNull()
+    relation = (
+        F.when(F.col("a_value").isNull() | F.col("b_value").isNull() | has & (F.col("a_other").isNull() | F.col("b_other").isNull()), "unknown")
+        .when((F.col("a_value") == F.col("b_value")) & (~has | (F.col("a_other") == F.col("b_other"))), "same")
+        .when(F.array_contains(listed, F.col("name")) | has & F.coalesce(F.array_contains(listed, F.col("partner")), F.lit(False)), "declared")
+        .otherwise("differs")
+    )
     return both.select("name", "a_value", "b_value", relation.alias("relation"))
 
 
-def verdict(changes: DataFrame, conditions: DataFrame) -> DataFrame:
-    """One row: incomparable, fail, held or pass, the first that holds; from compare_cases and fingerprint_diff."""
+def verdict(changes: DataFrame, conditions: DataFrame, losses: DataFrame | None = None, runs: int = 3, wanted: int = 3, evidence_known: bool = True, moved: int = 0) -> DataFrame:
+    """One row (differing, worse, compared, verdict): incomparable, fail, held or pass, the first that holds.
+
+    incomparable: an undeclared condition differs; fail: a shortfall, a collapse, lost evidence or one of
+    ``moved`` rates that should stand still; held: fewer than ``wanted`` runs, evidence not known, or no
+    case on both sides. A decrease, an unknown case and an unknown condition are reported, not judged.
+    From compare_cases, fingerprint_diff and evidence_lost.
+    """
     c = conditions.agg(F.coalesce(F.sum((F.col("relation") == "differs").cast("int")), F.lit(0)).alias("differing")).withColumn("one", F.lit(1))
-    n = lambda *x: F.coalesce(F.sum(F.col("change").isin(*x).cast("int")), F.lit(0))
-    s = changes.agg(n("collapse", "shortfall").alias("worse"), n("decrease", "unknown").alias("open")).withColumn("one", F.lit(1))
-    v = F.when(F.col("differing") > 0, "incomparable").when(F.col("worse") > 0, "fail").when(F.col("open") > 0, "held").otherwise("pass")
-    return s.join(F.broadcast(c), "one").select("differing", "worse", "open", v.alias("verdict"))
+    n = lambda x: F.coalesce(F.sum(x.cast("int")), F.lit(0))
+    s = changes.agg(n(F.col("change").isin("collapse", "shortfall")).alias("worse"), n(F.col("change") != "unknown").alias("compared")).withColumn("one", F.lit(1))
+    gone = losses.agg(n(F.col("outcome") == "lost").alias("gone")).withColumn("one", F.lit(1)) if losses is not None else s.select(F.lit(0).alias("gone"), "one")
+    held = (F.col("compared") == 0) | F.lit(runs < wanted or not evidence_known)
+    v = F.when(F.col("differing") > 0, "incomparable").when((F.col("worse") + F.col("gone") + F.lit(moved)) > 0, "fail").when(held, "held").otherwise("pass")
+    return s.join(F.broadcast(c), "one").join(F.broadcast(gone), "one").select("differing", (F.col("worse") + F.col("gone")).alias("worse"), "compared", v.alias("verdict"))

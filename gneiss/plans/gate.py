@@ -6,22 +6,26 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gneiss.functions import pii
 from gneiss.functions.text import collapse_white, order_key
-from gneiss.operators import gate, metrics, nested, records, regression
-from gneiss.tables import one_per_key, table
+from gneiss.guard import provenance
+from gneiss.operators import gate, metrics, nested, records, regression, skew
+from gneiss.session import cut_lineage
+from gneiss.tables import records_of, table
 
 EVIDENCE_SIZES = "cast(array() as array<struct<id:string,source:string,content:string,evidence_text:string>>)"
 
 
 def _fixtures(spark, folder) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Drafts, their triples and their evidence, one row per fixture."""
-    f = one_per_key(table(spark, folder, "l1_fixtures").select("id", "evidences", "raw_draft", "expected"), ["id"], None, ["evidences", "raw_draft", "expected"])
+    f = records_of(spark, folder, "l1_fixtures", ["id"], ["evidences", "raw_draft", "expected"])
     drafts = f.select(F.col("id").alias("record_id"), "raw_draft", "expected")
     e = f.select(F.col("id").alias("record_id"), F.explode("evidences").alias("e")).filter(F.col("e").isNotNull())
     evidence = e.select("record_id", F.col("e.id").alias("evidence_id"), F.coalesce("e.evidence_text", "e.content").alias("text"))
-    return drafts, nested.json_triples(drafts, "record_id", "raw_draft"), evidence
+    # Kept: structure, citations and personal data each read the triples, which Python parses.
+    return drafts, cut_lineage(nested.json_triples(drafts, "record_id", "raw_draft")), evidence
 
 
 def gate_schema(spark, folder):
@@ -71,7 +75,7 @@ def gate_reason_counts(spark, folder):
 
 
 def _judge(spark, folder):
-    return one_per_key(table(spark, folder, "judge_fixtures").select("id", "claims", "expected"), ["id"], None, ["claims", "expected"])
+    return records_of(spark, folder, "judge_fixtures", ["id"], ["claims", "expected"])
 
 
 def claim_multiset(spark, folder):
@@ -104,23 +108,24 @@ def judge_consistency(spark, folder):
 
 def outcome_mismatches(spark, folder):
     """Golden questions beside the inquiries of the same order: outcomes outside the allowed ones, per kind."""
-    g = one_per_key(table(spark, folder, "golden_set").select("id", "order_no", "expected"), ["id"], None, ["order_no", "expected"])
-    i = one_per_key(table(spark, folder, "inquiries").select("id", "order_no", "status", "escalation_reason"), ["id"], None, ["order_no", "status", "escalation_reason"])
-    i = i.select(F.col("id").alias("inquiry_id"), order_key(F.col("order_no")).alias("k"), "status", "escalation_reason")
-    both = g.withColumn("k", order_key(F.col("order_no"))).join(i, "k")
+    g = records_of(spark, folder, "golden_set", ["id"], ["order_no", "expected"])
+    i = records_of(spark, folder, "inquiries", ["id"], ["order_no", "status", "escalation_reason"])
+    # Counted per outcome first: a tenth of the inquiries name one order, and only its few outcomes meet the questions.
+    per = i.groupBy(order_key(F.col("order_no")).alias("k"), "status", "escalation_reason").agg(F.count(F.lit(1)).alias("inquiries"))
+    both = g.withColumn("k", order_key(F.col("order_no"))).join(per, "k")
     wrong = F.array_compact(F.array(
         F.when(~F.array_contains("expected.statuses", F.col("status")), "status"),
         F.when((F.col("status") == "escalated") & ~F.array_contains("expected.escalation_reasons", F.col("escalation_reason")), "reason"),
     ))
-    return both.select("id", "inquiry_id", F.explode(wrong).alias("mismatch")).groupBy("id", "mismatch").agg(F.count(F.lit(1)).alias("n"))
+    return both.select("id", "inquiries", F.explode(wrong).alias("mismatch")).groupBy("id", "mismatch").agg(F.sum("inquiries").alias("n"))
 
 
 # --- records and rollups ---------------------------------------------------------------------------
 
 
 def constraint_violations(spark, folder):
-    """Rows of orders, inquiries and snapshots that break a structural rule."""
-    o = table(spark, folder, "shop_orders")
+    """Records of orders, inquiries and snapshots that break a structural rule; a record counts once however often it was loaded."""
+    o = records_of(spark, folder, "shop_orders", ["order_no"], ["quantity", "unit_price_krw", "total_price_krw", "ordered_at", "shipped_at", "delivered_at"])
     a = records.violations(o, "order_no", {
         "orders_order_no_form": records.validate_order_no(F.col("order_no")),
         "orders_quantity_positive": F.col("quantity") > 0,
@@ -130,12 +135,13 @@ def constraint_violations(spark, folder):
         "orders_total_is_product": F.col("total_price_krw").cast("bigint") == F.col("quantity").cast("bigint") * F.col("unit_price_krw"),
     })
     counters = ["latency_ms", "input_tokens", "output_tokens", "embedding_tokens", "judge_input_tokens", "judge_output_tokens", "retrieval_input_tokens", "retrieval_output_tokens"]
-    b = records.violations(table(spark, folder, "inquiries").select("id", "status", "answer", "escalation_reason", "failed_stage", *counters), "id", {
+    b = records.violations(records_of(spark, folder, "inquiries", ["id"], ["status", "answer", "escalation_reason", "failed_stage", *counters]), "id", {
         "inquiries_answered_has_answer": (F.col("status") != "answered") | (F.col("answer").isNotNull() & F.col("escalation_reason").isNull()),
         "inquiries_escalated_has_reason": (F.col("status") != "escalated") | F.col("escalation_reason").isNotNull(),
         "inquiries_counters_not_negative": reduce(lambda x, y: x & y, [F.coalesce(F.col(c) >= 0, F.lit(True)) for c in counters]),
     })
-    c = records.violations(table(spark, folder, "inquiry_evidence"), "evidence_id", {
+    e = records_of(spark, folder, "inquiry_evidence", ["inquiry_id", "evidence_id"], ["source", "query_sql", "result_rows", "sequence"])
+    c = records.violations(e, "evidence_id", {
         "evidence_sql_has_query": (F.col("source") != "sql") | (F.col("query_sql").isNotNull() & F.col("result_rows").isNotNull()),
         "evidence_sequence_positive": F.col("sequence") >= 1,
     })
@@ -150,8 +156,9 @@ def order_no_validate(spark, folder):
 
 def order_exists(spark, folder):
     """Inquiries that name an order which exists (whatever became of it)."""
-    i = table(spark, folder, "inquiries").select(F.col("id").alias("inquiry_id"), order_key(F.col("order_no")).alias("order_no")).distinct()
-    return i.join(table(spark, folder, "shop_orders").select("order_no"), "order_no", "left_semi").select("inquiry_id", "order_no")
+    i = records_of(spark, folder, "inquiries", ["id"], ["order_no"]).select(F.col("id").alias("inquiry_id"), order_key(F.col("order_no")).alias("k")).filter("k is not null")
+    known = table(spark, folder, "shop_orders").select("order_no").distinct()
+    return skew.lookup(i, known, "k", "order_no", "inner").select("inquiry_id", "order_no")
 
 
 def phone_normalise(spark, folder):
@@ -167,26 +174,34 @@ def pii_email_extract(spark, folder):
 
 
 def row_render(spark, folder):
-    """Orders as the lines that evidence shows."""
-    o = one_per_key(table(spark, folder, "shop_orders").select("order_no", "product_option", "quantity", "courier", "loaded_at"), ["order_no"], "loaded_at", ["loaded_at", "product_option", "quantity", "courier"])
-    return o.select("order_no", records.render_row(["order_no", "product_option", "quantity", "courier"], F.lit(1)).alias("line"))
+    """Orders as the lines that evidence shows: ten per day and product, the rest counted; a group is one day's orders of a product."""
+    o = records_of(spark, folder, "shop_orders", ["order_no"], ["ordered_at", "product_name", "product_option", "quantity", "courier"])
+    day = o.withColumn("day", F.date_format("ordered_at", "yyyy-MM-dd"))
+    first = Window.partitionBy("product_name", "day").orderBy("order_no")
+    numbered = day.withColumns({"i": F.row_number().over(first), "n": F.count(F.lit(1)).over(Window.partitionBy("product_name", "day"))})
+    shown = numbered.filter(F.col("i") <= records.SHOWN).select("product_name", "day", "n", "i", records.render_row(["order_no", "product_option", "quantity", "courier"], F.col("i")).alias("line"))
+    lines = shown.groupBy("product_name", "day", "n").agg(F.array_sort(F.collect_list(F.struct("i", "line"))).alias("l"))  # at most ten a group
+    rest = F.col("n") - records.SHOWN
+    text = F.array_join(F.transform("l", lambda x: x["line"]), "\n")
+    return lines.select("product_name", "day", F.when(rest > 0, F.concat(text, F.lit("\n... (이하 "), rest.cast("string"), F.lit("건 생략)"))).otherwise(text).alias("lines"))
 
 
 def sql_evidence_filter(spark, folder):
-    """Snapshot rows as flat values (inquiry, evidence, row, column, value) without columns named like personal data
-    and without values shaped like it."""
-    t = nested.json_triples(table(spark, folder, "inquiry_evidence").filter("source = 'sql'").select(F.concat_ws("|", "inquiry_id", "evidence_id").alias("k"), "result_rows"), "k", "result_rows")
-    leaf = t.filter(F.col("path").rlike(r"^\[\]\.[^.\[]+$") & ~F.col("kind").isin("object", "array"))
-    col = F.substring("path", 4, 200)
-    named = F.lower(col).rlike("name|phone|email|address")
-    shaped = F.size(pii.found(F.col("value"))) > 0
-    v = leaf.filter(~named & ~F.coalesce(shaped & (col != "order_no") & (col != "tracking_no"), F.lit(False)))
-    return v.select(F.substring_index("record_id", "|", 1).alias("inquiry_id"), F.substring_index("record_id", "|", -1).alias("evidence_id"), (F.get("ordinals", F.lit(0)) + 1).cast("bigint").alias("row_no"), col.alias("column_name"), "value").distinct()
+    """Snapshot rows as flat values (inquiry, evidence, row, column, value), without columns whose name is shaped like
+    personal data, and without values shaped like it unless the guard proves their column to be one of the table's own."""
+    e = records_of(spark, folder, "inquiry_evidence", ["inquiry_id", "evidence_id"], ["source", "query_sql", "result_rows"]).filter("source = 'sql'").withColumn("k", F.to_json(F.array("inquiry_id", "evidence_id")))
+    t = nested.json_triples(e, "k", "result_rows")
+    leaf = t.filter(F.col("path").rlike(r"^\[\]\.[^.\[]+$") & ~F.col("kind").isin("object", "array")).withColumn("column_name", F.expr("substring(path, 4)"))
+    safe = e.select("k", "inquiry_id", "evidence_id", provenance.proven_columns(F.col("query_sql"), provenance.ORDERS).alias("safe"))
+    both = leaf.join(safe, leaf["record_id"] == safe["k"])
+    shown = F.coalesce(F.col("value"), F.lit("(없음)"))
+    odd = pii.shaped(pii.folded(F.col("column_name"))) | ~F.array_contains("safe", F.col("column_name")) & pii.shaped(pii.folded(shown))
+    return both.filter(~odd).select("inquiry_id", "evidence_id", (F.get("ordinals", F.lit(0)) + 1).cast("bigint").alias("row_no"), "column_name", "value")
 
 
 def sync_plan(spark, folder):
     """A full refresh of the clause table from the clauses that aren't withdrawn."""
-    p = one_per_key(table(spark, folder, "policy_chunks").select("id", "evidence_id", "deleted_at"), ["id"], None, ["evidence_id", "deleted_at"])
+    p = records_of(spark, folder, "policy_chunks", ["id"], ["evidence_id", "deleted_at"])
     return records.sync_plan(p.filter("deleted_at is null").select("evidence_id"), p.select("evidence_id"), "evidence_id")
 
 
@@ -198,39 +213,41 @@ def cache_plan(spark, folder):
 
 def index_provenance(spark, folder):
     """The models and dimensions that the clause index was made with."""
-    return records.provenance(table(spark, folder, "policy_chunks"), ["embedding_model", "embedding_dimensions"])
+    return records.provenance(records_of(spark, folder, "policy_chunks", ["id"], ["embedding_model", "embedding_dimensions"]), ["embedding_model", "embedding_dimensions"])
 
 
 def nested_children(spark, folder):
     """Inquiries with their snapshots in order, flattened again: the round trip of nesting."""
-    i = table(spark, folder, "inquiries").select(F.col("id").alias("inquiry_id"), "status").distinct()
-    e = one_per_key(table(spark, folder, "inquiry_evidence").select("inquiry_id", "evidence_id", "sequence", "source"), ["inquiry_id", "evidence_id"], None, ["sequence", "source"])
+    i = records_of(spark, folder, "inquiries", ["id"], ["status"]).select(F.col("id").alias("inquiry_id"), "status")
+    e = records_of(spark, folder, "inquiry_evidence", ["inquiry_id", "evidence_id"], ["sequence", "source"])
     n = records.nest(i, e, "inquiry_id", "sequence", ["evidence_id", "source"], "evidence")
     return n.select("inquiry_id", "status", F.size("evidence").alias("n"), F.array_join(F.transform("evidence", lambda x: x["evidence_id"]), ",").alias("evidence_ids"))
 
 
 def record_roundtrip(spark, folder):
-    """Claims as flat rows rebuilt from the nested column: (id, claim_no, claim_text, citations)."""
-    i = one_per_key(table(spark, folder, "inquiries").select("id", "claims"), ["id"], None, ["claims"])
-    flat = i.select("id", F.posexplode("claims").alias("claim_no", "c"))
-    return flat.select("id", F.col("claim_no").cast("bigint"), F.col("c.text").alias("claim_text"), F.array_join(F.col("c.citation_ids"), ",").alias("citations"))
+    """Claims taken apart into flat tables and put together again: (id, claims, same), ``same`` telling whether every
+    claim, text and citation is back in its place."""
+    i = records_of(spark, folder, "inquiries", ["id"], ["claims"])
+    back = nested.rebuild_claims(nested.typed_triples(i, "id", "claims"))
+    both = i.join(back.withColumnRenamed("record_id", "id"), "id", "left")
+    return both.select("id", F.when(F.col("claims").isNotNull(), F.size("claims")).alias("claims"), F.col("claims").eqNullSafe(F.col("rebuilt")).alias("same"))
 
 
 def outcome_histogram(spark, folder):
     """Inquiries per status, reason and stage."""
-    i = table(spark, folder, "inquiries").select("id", "status", "escalation_reason", "failed_stage").distinct()
+    i = records_of(spark, folder, "inquiries", ["id"], ["status", "escalation_reason", "failed_stage"])
     return i.groupBy("status", "escalation_reason", "failed_stage").agg(F.count(F.lit(1)).alias("n"))
 
 
 def latency_percentiles(spark, folder):
     """Nearest-rank p50 and p95 of the latency per status."""
-    i = table(spark, folder, "inquiries").select("id", "status", "latency_ms").distinct()
+    i = records_of(spark, folder, "inquiries", ["id"], ["status", "latency_ms"])
     return metrics.percentile_rank(i, "latency_ms", ["status"], (0.5, 0.95))
 
 
 def token_totals(spark, folder):
     """Tokens per family, in all and per inquiry; null where nothing was measured."""
-    i = one_per_key(table(spark, folder, "inquiries").select("id", "intent_source", "input_tokens", "output_tokens", "embedding_tokens", "judge_input_tokens", "judge_output_tokens"), ["id"], None, ["intent_source", "input_tokens", "output_tokens", "embedding_tokens", "judge_input_tokens", "judge_output_tokens"])
+    i = records_of(spark, folder, "inquiries", ["id"], ["intent_source", "input_tokens", "output_tokens", "embedding_tokens", "judge_input_tokens", "judge_output_tokens"])
     s = lambda *cs: reduce(lambda x, y: x + y, [F.sum(c) for c in cs])
     a = i.groupBy("intent_source").agg(F.count(F.lit(1)).alias("inquiries"), s("input_tokens", "output_tokens").alias("generation"), s("embedding_tokens").alias("embedding"), s("judge_input_tokens", "judge_output_tokens").alias("judge"))
     return a.select("intent_source", "inquiries", "generation", "embedding", "judge", F.round((F.col("generation") + F.col("embedding") + F.col("judge")) / F.nullif(F.col("inquiries"), F.lit(0)), 6).alias("per_inquiry"))
@@ -238,7 +255,7 @@ def token_totals(spark, folder):
 
 def claim_overview(spark, folder):
     """Answers rebuilt from claims: how many claims, whether the answer holds every claim's text."""
-    i = one_per_key(table(spark, folder, "inquiries").filter("status = 'answered' and answer is not null").select("id", "answer", "claims"), ["id"], None, ["answer", "claims"])
+    i = records_of(spark, folder, "inquiries", ["id"], ["status", "answer", "claims"]).filter("status = 'answered' and answer is not null")
     return i.select("id", F.coalesce(F.size("claims"), F.lit(0)).alias("claims"), F.forall("claims", lambda c: F.coalesce(F.contains(F.col("answer"), c["text"]), F.lit(False))).alias("holds_all"), F.length(F.left(collapse_white(F.col("answer")), F.lit(200))).alias("preview_length")).withColumn("claims", F.when(F.col("claims") < 0, 0).otherwise(F.col("claims")))
 
 
@@ -252,19 +269,30 @@ def _runs(spark, folder, first: bool):
 
 def regression_cases(spark, folder):
     """Cases of two sets of runs: how many runs passed before and after."""
-    tally = lambda d: d.groupBy("case_id").agg(F.sum(F.col("passed").cast("int")).alias("passes"), F.count(F.lit(1)).alias("runs"))
+    tally = lambda d: d.groupBy("case_id", "run_id").agg(F.bool_and("passed").alias("passed")).groupBy("case_id").agg(F.sum(F.col("passed").cast("int")).alias("passes"), F.count(F.lit(1)).alias("runs"))
     return regression.compare_cases(tally(_runs(spark, folder, True)), tally(_runs(spark, folder, False)))
 
 
+def _seen(spark, folder, first: bool) -> tuple[DataFrame, DataFrame]:
+    """Runs of cases (event types; a run is a day and user group) and the evidence (keys of props) that each accepted or not."""
+    e = table(spark, folder, "events").withColumn("first_half", F.col("ts") < F.lit("2024-01-16").cast("timestamp")).filter(F.col("first_half") if first else ~F.col("first_half"))
+    rows = e.select(F.col("event_type").alias("case_id"), (F.col("user_id") % 7).alias("run_id"), F.get_json_object("props", "$.k").alias("evidence_id"), (F.col("value") >= 30).alias("accepted"))
+    seen = rows.filter("evidence_id is not null").groupBy("case_id", "run_id", "evidence_id").agg((F.sum(F.col("accepted").cast("int")) * 2 >= F.count(F.lit(1))).alias("accepted"))
+    return rows.select("case_id", "run_id").distinct(), seen
+
+
 def evidence_loss(spark, folder):
-    """Cases that most runs of the first half passed and most of the second didn't."""
+    """Evidence that most runs of the first half accepted and most of the second didn't, per case."""
+    (b, bs), (c, cs) = _seen(spark, folder, True), _seen(spark, folder, False)
+    return regression.evidence_lost(b, c, bs, cs)
 
-    def major(first):
-        r = _runs(spark, folder, first)
-        total = r.groupBy("case_id").agg(F.countDistinct("run_id").alias("runs"))
-        return metrics.majority(r.filter("passed").join(total, "case_id"), ["case_id"], "run_id", F.col("runs"))
 
-    return regression.lost(major(True), major(False), ["case_id"])
+def guard_verdict(spark, folder):
+    """The verdict on two sets of runs from their cases, their evidence and their conditions."""
+    (b, bs), (c, cs) = _seen(spark, folder, True), _seen(spark, folder, False)
+    tally = lambda d: d.groupBy("case_id", "run_id").agg(F.bool_and("accepted").alias("ok")).groupBy("case_id").agg(F.sum(F.col("ok").cast("int")).alias("passes"), F.count(F.lit(1)).alias("runs"))
+    same = spark.createDataFrame([("label_version", "a"), ("top_k", "5")], "name string, value string")
+    return regression.verdict(regression.compare_cases(tally(bs), tally(cs)), regression.fingerprint_diff(same, same), regression.evidence_lost(b, c, bs, cs))
 
 
 def runset_pick(spark, folder):
@@ -273,16 +301,23 @@ def runset_pick(spark, folder):
     return regression.newest(e, ["user_id", "event_type"], "ts", "event_id", 3).select("user_id", "event_type", "event_id", "place")
 
 
+#: A condition that is compared together with another one.
+PAIRED = {"purchase:3": "purchase:5"}
+DECLARED = ["click:1", "view:2"]
+
+
 def fingerprint_diff(spark, folder):
-    """The conditions of two sets of runs: the one value of each type per half, unknown where there are several."""
+    """The conditions of two sets of runs: whether most events of a type and key passed, unknown where all or none did."""
 
     def cond(first):
-        return _runs(spark, folder, first).groupBy(F.col("case_id").alias("name")).agg(metrics.common_or_unknown(F.col("passed").cast("string")).alias("value"))
+        r = _runs(spark, folder, first)
+        share = F.avg(F.col("passed").cast("int"))
+        return r.groupBy(F.col("case_id").alias("name")).agg(F.when((share > 0) & (share < 1), F.when(share > 0.5, "on").otherwise("off")).alias("value"))
 
-    return regression.fingerprint_diff(cond(True), cond(False))
+    return regression.fingerprint_diff(cond(True), cond(False), DECLARED, PAIRED)
 
 
-QUERIES = {f.__name__: f for f in (gate_schema, gate_citations, pii_unsourced, gate_verdict, gate_accuracy, gate_reason_counts, claim_multiset, contradiction_pairs, judge_consistency, outcome_mismatches, constraint_violations, order_no_validate, order_exists, phone_normalise, pii_email_extract, row_render, sql_evidence_filter, sync_plan, cache_plan, index_provenance, nested_children, record_roundtrip, outcome_histogram, latency_percentiles, token_totals, claim_overview, regression_cases, evidence_loss, runset_pick, fingerprint_diff)}
+QUERIES = {f.__name__: f for f in (gate_schema, gate_citations, pii_unsourced, gate_verdict, gate_accuracy, gate_reason_counts, claim_multiset, contradiction_pairs, judge_consistency, outcome_mismatches, constraint_violations, order_no_validate, order_exists, phone_normalise, pii_email_extract, row_render, sql_evidence_filter, sync_plan, cache_plan, index_provenance, nested_children, record_roundtrip, outcome_histogram, latency_percentiles, token_totals, claim_overview, regression_cases, evidence_loss, guard_verdict, runset_pick, fingerprint_diff)}
 
 # --- SQL twins -------------------------------------------------------------------------------------
 
@@ -309,24 +344,32 @@ cs AS (
 
 
 def _found(t: str) -> str:
-    """The gate's patterns without look-around: a character before and after is consumed."""
+    """The five patterns without look-around: a character before and after is consumed. Written from the gate's rules:
+    phones lose all but digits and 0082 or 82 before them becomes 0, mail addresses are compared in lower case."""
     digit = lambda p: f"list_transform(regexp_extract_all(' ' || {t} || ' ', '[^0-9](' || '{p}' || ')[^0-9]', 1), lambda x: regexp_replace(x, '[^0-9]', '', 'g'))"
-    phone = lambda p: f"list_transform({digit(p)}, lambda d: CASE WHEN starts_with(d, '0082') THEN '0' || regexp_replace(d[5:], '^0', '') WHEN starts_with(d, '82') THEN '0' || regexp_replace(d[3:], '^0', '') ELSE d END)"
+    phone = lambda p: f"list_transform({digit(p)}, lambda d: CASE WHEN starts_with(d, '0082') THEN '0' || d[5:] WHEN starts_with(d, '82') THEN '0' || d[3:] ELSE d END)"
+    gap = "[-. ()]*"
     return (
         "list_concat("
         + ", ".join([
-            phone("(?:(?:\\+|00)?82[-. ]?(?:\\(0\\))?|0)1[016789][-. ]?[0-9]{3,4}[-. ]?[0-9]{4}"),
-            phone("0(?:2|[3-6][0-9]|70)[-. ]?[0-9]{3,4}[-. ]?[0-9]{4}"),
-            phone("1[5-8][0-9]{2}[-. ]?[0-9]{4}"),
-            digit("[0-9]{6}[- ]?[1-8][0-9]{6}"),
-            f"list_transform(regexp_extract_all({t}, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+'), lambda x: lower(x))",
+            phone(f"(?:(?:\\+82|0082){gap}10|01[016789]){gap}[0-9]{{3,4}}{gap}[0-9]{{4}}"),
+            phone(f"(?:(?:\\+82|0082){gap}(?:2|[3-9][0-9]?)|0[2-9][0-9]?){gap}[0-9]{{3,4}}{gap}[0-9]{{4}}"),
+            digit("1[5-8][0-9]{2}[-. ]?[0-9]{4}"),
+            digit("[0-9]{6}[-. ]?[1-4][0-9]{6}"),
+            f"list_transform(regexp_extract_all({t}, '{_MAIL}'), lambda x: lower(x))",
         ])
         + ")"
     )
 
 
+_MAIL = "[A-Za-z0-9._%+-]+@[\\p{L}\\p{N}-]+(?:\\.[\\p{L}\\p{N}-]+)+"
+
+
 _PII = f"""
-pd AS (SELECT DISTINCT id, unnest({_found("t")}) AS v FROM (SELECT id, json_extract_string(claim, '$.text') AS t FROM cl WHERE json_type(claim) = 'OBJECT' AND json_type(claim, '$.text') = 'VARCHAR')),
+tx AS (SELECT id, json_extract_string(claim, '$.text') AS t FROM cl WHERE json_type(claim) = 'OBJECT' AND json_type(claim, '$.text') = 'VARCHAR'),
+fb AS (SELECT fx.id, x.atom ->> '$' AS t FROM fx, json_tree(fx.root) AS x WHERE x.type = 'VARCHAR' AND NOT regexp_matches(x.fullkey, '[.]citation_ids($|[.]|[[])') AND fx.id NOT IN (SELECT id FROM tx)
+  UNION ALL SELECT id, raw_draft FROM l1_fixtures WHERE NOT json_valid(raw_draft)),
+pd AS (SELECT DISTINCT id, unnest({_found("t")}) AS v FROM (SELECT * FROM tx UNION ALL SELECT * FROM fb)),
 pe AS (SELECT DISTINCT id, unnest({_found("text")}) AS v FROM ev),
 pu AS (SELECT pd.id, pd.v FROM pd LEFT JOIN pe ON pe.id = pd.id AND pe.v = pd.v WHERE pe.id IS NULL),
 vd AS (
@@ -335,12 +378,26 @@ vd AS (
 _G = "WITH " + _FIX
 _GP = _G + "," + _PII
 _J = "WITH j AS (SELECT DISTINCT ON (id) * FROM judge_fixtures)"
-_INQ = "(SELECT DISTINCT ON (id) * FROM inquiries)"
+_INQ = "(SELECT DISTINCT ON (id) * FROM (SELECT * FROM inquiries ORDER BY id, loaded_at))"
+_ORD = "(SELECT DISTINCT ON (order_no) * FROM (SELECT * FROM shop_orders ORDER BY order_no, loaded_at))"
+_EVI = "(SELECT DISTINCT ON (inquiry_id, evidence_id) * FROM (SELECT * FROM inquiry_evidence ORDER BY inquiry_id, evidence_id, loaded_at))"
+_CHU = "(SELECT DISTINCT ON (id) * FROM (SELECT * FROM policy_chunks ORDER BY id, loaded_at))"
 _HALF = "SELECT user_id AS run_id, event_type || ':' || json_extract_string(props, '$.k') AS case_id, value >= 30 AS passed, ts < TIMESTAMP '2024-01-16' AS first FROM events"
 _VALID = "regexp_full_match({0}, 'ORD-[0-9]{{8}}-[0-9]{{4}}') AND try_strptime(substring({0}, 5, 8), '%Y%m%d') IS NOT NULL AND strftime(try_strptime(substring({0}, 5, 8), '%Y%m%d'), '%Y%m%d') = substring({0}, 5, 8) AND substring({0}, 14, 4) <> '0000'"
 _VIOLATION = lambda t, key, rules: " UNION ALL ".join(f"SELECT '{n}' AS \"constraint\", {key} AS key FROM {t} WHERE NOT coalesce({c}, true)" for n, c in rules.items())
 _COUNTERS = " AND ".join(f"coalesce({c} >= 0, true)" for c in ("latency_ms", "input_tokens", "output_tokens", "embedding_tokens", "judge_input_tokens", "judge_output_tokens", "retrieval_input_tokens", "retrieval_output_tokens"))
 
+#: Runs, what they saw, the labels of each side, and evidence that only the first side's majority accepted.
+_SEEN = """WITH raw AS (SELECT event_type AS case_id, user_id % 7 AS run_id, json_extract_string(props, '$.k') AS evidence_id, value >= 30 AS ok, ts < TIMESTAMP '2024-01-16' AS first FROM events),
+runs AS (SELECT DISTINCT first, case_id, run_id FROM raw), seen AS (SELECT first, case_id, run_id, evidence_id, sum(ok::INT) * 2 >= count(*) AS accepted FROM raw WHERE evidence_id IS NOT NULL GROUP BY ALL),
+ids AS (SELECT case_id, (SELECT list_sort(list(DISTINCT evidence_id)) FROM seen s WHERE s.case_id = k.case_id AND first) AS b, (SELECT list_sort(list(DISTINCT evidence_id)) FROM seen s WHERE s.case_id = k.case_id AND NOT first) AS c FROM (SELECT case_id FROM runs WHERE first INTERSECT SELECT case_id FROM runs WHERE NOT first) k),
+ref AS (SELECT case_id, unnest(coalesce(b, c)) AS evidence_id FROM ids WHERE (b IS NOT NULL OR c IS NOT NULL) AND NOT coalesce(b <> c, false)),
+full_ AS (SELECT r.first, r.case_id, r.run_id, ref.evidence_id FROM runs r JOIN ref USING (case_id) WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.first = r.first AND s.case_id = r.case_id AND s.run_id = r.run_id)),
+tot AS (SELECT first, case_id, count(*) AS n FROM runs GROUP BY 1, 2),
+vot AS (SELECT first, case_id, evidence_id, count(DISTINCT run_id) AS v FROM (SELECT first, case_id, run_id, evidence_id FROM seen WHERE accepted AND (case_id, evidence_id) IN (SELECT (case_id, evidence_id) FROM ref) UNION SELECT * FROM full_) GROUP BY 1, 2, 3),
+acc AS (SELECT first, case_id, evidence_id FROM vot JOIN tot USING (first, case_id) WHERE v >= n // 2 + 1),
+lost AS (SELECT case_id, evidence_id, 'lost' AS outcome FROM acc WHERE first AND (case_id, evidence_id) NOT IN (SELECT (case_id, evidence_id) FROM acc WHERE NOT first))"""
+
 ORACLE = {
     "gate_schema": _G + " SELECT id AS record_id, valid FROM st",
     "gate_citations": _G + " SELECT id AS record_id, missing, invalid FROM cs",
@@ -356,36 +413,41 @@ ORACLE = {
     "contradiction_pairs": _J + " SELECT DISTINCT id, least(c.evidence_id_a, c.evidence_id_b) AS evidence_a, greatest(c.evidence_id_a, c.evidence_id_b) AS evidence_b FROM (SELECT id, unnest(expected.contradictions) AS c FROM j) WHERE c.evidence_id_a <> c.evidence_id_b",
     "judge_consistency": _J + ", k AS (SELECT id, expected.verdict AS v, coalesce(expected.reject_reasons, []) AS r, coalesce(expected.claim_judgments, []) AS cj, list_filter(list_transform(claims, lambda c: c.text), lambda x: x IS NOT NULL) AS t FROM j) "
     + _VIOLATION("k", "id", {"verdict_has_reasons": "(v = 'reject') = (len(r) > 0)", "unsupported_has_claim": "list_contains(r, 'unsupported_claim') = (len(list_filter(cj, lambda c: coalesce(c.verdict <> 'supported', false))) > 0)", "claim_texts_unique": "len(list_distinct(t)) = len(t)"}),
-    "outcome_mismatches": f"""WITH g AS (SELECT DISTINCT ON (id) id, {_key('order_no')} AS k, expected FROM golden_set), i AS (SELECT DISTINCT ON (id) {_key('order_no')} AS k, status, escalation_reason FROM inquiries), b AS (SELECT g.id, expected, status, escalation_reason FROM g JOIN i USING (k))
+    "outcome_mismatches": f"""WITH g AS (SELECT DISTINCT ON (id) id, {_key('order_no')} AS k, expected FROM golden_set), i AS (SELECT {_key('order_no')} AS k, status, escalation_reason FROM {_INQ}), b AS (SELECT g.id, expected, status, escalation_reason FROM g JOIN i USING (k))
       SELECT id, 'status' AS mismatch, count(*) AS n FROM b WHERE NOT list_contains(expected.statuses, status) GROUP BY id
       UNION ALL SELECT id, 'reason', count(*) FROM b WHERE status = 'escalated' AND NOT list_contains(expected.escalation_reasons, escalation_reason) GROUP BY id""",
-    "constraint_violations": _VIOLATION("shop_orders", "order_no", {"orders_order_no_form": _VALID.format("order_no"), "orders_quantity_positive": "quantity > 0", "orders_shipped_after_ordered": "shipped_at >= ordered_at", "orders_delivered_after_shipped": "delivered_at >= shipped_at", "orders_delivered_needs_shipped": "delivered_at IS NULL OR shipped_at IS NOT NULL", "orders_total_is_product": "total_price_krw::BIGINT = quantity::BIGINT * unit_price_krw"})
-    + " UNION ALL " + _VIOLATION("inquiries", "id", {"inquiries_answered_has_answer": "status <> 'answered' OR (answer IS NOT NULL AND escalation_reason IS NULL)", "inquiries_escalated_has_reason": "status <> 'escalated' OR escalation_reason IS NOT NULL", "inquiries_counters_not_negative": _COUNTERS})
-    + " UNION ALL " + _VIOLATION("inquiry_evidence", "evidence_id", {"evidence_sql_has_query": "source <> 'sql' OR (query_sql IS NOT NULL AND result_rows IS NOT NULL)", "evidence_sequence_positive": "sequence >= 1"}),
+    "constraint_violations": _VIOLATION(_ORD, "order_no", {"orders_order_no_form": _VALID.format("order_no"), "orders_quantity_positive": "quantity > 0", "orders_shipped_after_ordered": "shipped_at >= ordered_at", "orders_delivered_after_shipped": "delivered_at >= shipped_at", "orders_delivered_needs_shipped": "delivered_at IS NULL OR shipped_at IS NOT NULL", "orders_total_is_product": "total_price_krw::BIGINT = quantity::BIGINT * unit_price_krw"})
+    + " UNION ALL " + _VIOLATION(_INQ, "id", {"inquiries_answered_has_answer": "status <> 'answered' OR (answer IS NOT NULL AND escalation_reason IS NULL)", "inquiries_escalated_has_reason": "status <> 'escalated' OR escalation_reason IS NOT NULL", "inquiries_counters_not_negative": _COUNTERS})
+    + " UNION ALL " + _VIOLATION(_EVI, "evidence_id", {"evidence_sql_has_query": "source <> 'sql' OR (query_sql IS NOT NULL AND result_rows IS NOT NULL)", "evidence_sequence_positive": "sequence >= 1"}),
     "order_no_validate": f"SELECT order_no, coalesce({_VALID.format('order_no')}, false) AS valid FROM (SELECT DISTINCT {_key('order_no')} AS order_no FROM inquiries) WHERE order_no IS NOT NULL",
-    "order_exists": f"SELECT * FROM (SELECT DISTINCT id AS inquiry_id, {_key('order_no')} AS order_no FROM inquiries) WHERE order_no IN (SELECT order_no FROM shop_orders)",
-    "phone_normalise": "SELECT DISTINCT customer_phone, CASE WHEN starts_with(d, '0082') THEN '0' || regexp_replace(d[5:], '^0', '') WHEN starts_with(d, '82') THEN '0' || regexp_replace(d[3:], '^0', '') ELSE d END AS phone FROM (SELECT customer_phone, regexp_replace(customer_phone, '[^0-9]', '', 'g') AS d FROM shop_orders WHERE customer_phone IS NOT NULL)",
-    "pii_email_extract": "SELECT doc_id, lower(m) AS email, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+')) AS m FROM documents) GROUP BY ALL",
-    "row_render": "SELECT order_no, '1) order_no=' || order_no || ', product_option=' || coalesce(product_option, '(없음)') || ', quantity=' || coalesce(quantity::VARCHAR, '(없음)') || ', courier=' || coalesce(courier, '(없음)') AS line FROM (SELECT order_no, r.a AS product_option, r.b AS quantity, r.c AS courier FROM (SELECT order_no, arg_min(struct_pack(a := product_option, b := quantity, c := courier), loaded_at) AS r FROM shop_orders GROUP BY order_no))",
-    "sql_evidence_filter": f"""WITH s AS (SELECT DISTINCT inquiry_id, evidence_id, json(result_rows) AS j FROM inquiry_evidence WHERE source = 'sql' AND json_valid(result_rows)),
-      c AS (SELECT inquiry_id, evidence_id, i + 1 AS row_no, json_extract(j, '$[' || i || ']') AS o FROM (SELECT *, unnest(range(0, json_array_length(j)::BIGINT)) AS i FROM s WHERE json_type(j) = 'ARRAY')),
+    "order_exists": f"SELECT * FROM (SELECT id AS inquiry_id, {_key('order_no')} AS order_no FROM {_INQ}) WHERE order_no IN (SELECT order_no FROM shop_orders)",
+    "phone_normalise": "SELECT DISTINCT customer_phone, CASE WHEN starts_with(d, '0082') THEN '0' || d[5:] WHEN starts_with(d, '82') THEN '0' || d[3:] ELSE d END AS phone FROM (SELECT customer_phone, regexp_replace(customer_phone, '[^0-9]', '', 'g') AS d FROM shop_orders WHERE customer_phone IS NOT NULL)",
+    "pii_email_extract": f"SELECT doc_id, lower(m) AS email, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_MAIL}')) AS m FROM documents) GROUP BY ALL",
+    "row_render": f"""WITH o AS (SELECT product_name, strftime(ordered_at AT TIME ZONE 'UTC', '%Y-%m-%d') AS day, row_number() OVER w AS i, 'order_no=' || order_no || ', product_option=' || coalesce(product_option, '(없음)') || ', quantity=' || coalesce(quantity::VARCHAR, '(없음)') || ', courier=' || coalesce(courier, '(없음)') AS line FROM {_ORD} WINDOW w AS (PARTITION BY product_name, strftime(ordered_at AT TIME ZONE 'UTC', '%Y-%m-%d') ORDER BY order_no))
+      SELECT product_name, day, string_agg(i || ') ' || line, chr(10) ORDER BY i) FILTER (i <= 10) || CASE WHEN count(*) > 10 THEN chr(10) || '... (이하 ' || (count(*) - 10) || '건 생략)' ELSE '' END AS lines FROM o GROUP BY ALL""",
+    "sql_evidence_filter": f"""WITH s AS (SELECT inquiry_id, evidence_id, json(result_rows) AS j, list_transform(string_split(regexp_extract(query_sql, '^SELECT (.*) FROM orders WHERE order_no = ', 1), ','), lambda x: trim(x)) AS safe FROM {_EVI} WHERE source = 'sql' AND json_valid(result_rows)),
+      c AS (SELECT inquiry_id, evidence_id, safe, i + 1 AS row_no, json_extract(j, '$[' || i || ']') AS o FROM (SELECT *, unnest(range(0, json_array_length(j)::BIGINT)) AS i FROM s WHERE json_type(j) = 'ARRAY')),
       k AS (SELECT *, json_extract_string(o, '$."' || column_name || '"') AS value, json_type(o, '$."' || column_name || '"') AS t FROM (SELECT *, unnest(json_keys(o)) AS column_name FROM c WHERE json_type(o) = 'OBJECT'))
-      SELECT DISTINCT inquiry_id, evidence_id, row_no, column_name, value FROM k WHERE t NOT IN ('OBJECT', 'ARRAY') AND NOT regexp_matches(lower(column_name), 'name|phone|email|address') AND NOT (coalesce(len({_found('value')}), 0) > 0 AND column_name NOT IN ('order_no', 'tracking_no'))""",
-    "sync_plan": "WITH p AS (SELECT DISTINCT ON (id) evidence_id, deleted_at FROM policy_chunks) SELECT 'upsert' AS action, count(*) AS n FROM p WHERE deleted_at IS NULL UNION ALL SELECT 'delete', count(DISTINCT evidence_id) FROM p WHERE evidence_id NOT IN (SELECT evidence_id FROM p WHERE deleted_at IS NULL)",
+      SELECT inquiry_id, evidence_id, row_no, column_name, value FROM k WHERE t NOT IN ('OBJECT', 'ARRAY') AND coalesce(len({_found('column_name')}), 0) = 0 AND (coalesce(list_contains(safe, column_name), false) OR coalesce(len({_found('value')}), 0) = 0)""",
+    "sync_plan": f"WITH p AS (SELECT evidence_id, deleted_at FROM {_CHU}) SELECT 'upsert' AS action, count(*) AS n FROM p WHERE deleted_at IS NULL UNION ALL SELECT 'delete', count(DISTINCT evidence_id) FROM p WHERE evidence_id NOT IN (SELECT evidence_id FROM p WHERE deleted_at IS NULL)",
     "cache_plan": "WITH c AS (SELECT DISTINCT sha256(text) AS d FROM documents WHERE doc_id % 2 = 0 AND text IS NOT NULL), t AS (SELECT sha256(text) AS d FROM documents WHERE text IS NOT NULL) SELECT count(*) FILTER (d IN (SELECT d FROM c)) AS hits, count(DISTINCT d) FILTER (d NOT IN (SELECT d FROM c)) AS misses FROM t",
-    "index_provenance": "SELECT embedding_model, embedding_dimensions, count(*) AS n FROM policy_chunks GROUP BY ALL",
-    "nested_children": f"""WITH e AS (SELECT DISTINCT ON (inquiry_id, evidence_id) inquiry_id, evidence_id, sequence FROM inquiry_evidence), i AS (SELECT DISTINCT id AS inquiry_id, status FROM inquiries)
+    "index_provenance": f"SELECT embedding_model, embedding_dimensions, count(*) AS n FROM {_CHU} GROUP BY ALL",
+    "nested_children": f"""WITH e AS (SELECT inquiry_id, evidence_id, sequence FROM {_EVI}), i AS (SELECT id AS inquiry_id, status FROM {_INQ})
       SELECT i.inquiry_id, status, count(e.evidence_id) AS n, coalesce(string_agg(e.evidence_id, ',' ORDER BY e.sequence NULLS FIRST, e.evidence_id), '') AS evidence_ids FROM i LEFT JOIN e USING (inquiry_id) GROUP BY ALL""",
-    "record_roundtrip": f"SELECT id, (i - 1)::BIGINT AS claim_no, c.text AS claim_text, CASE WHEN c.citation_ids IS NOT NULL THEN coalesce(array_to_string(c.citation_ids, ','), '') END AS citations FROM (SELECT id, unnest(claims) AS c, generate_subscripts(claims, 1) AS i FROM {_INQ})",
-    "outcome_histogram": "SELECT status, escalation_reason, failed_stage, count(*) AS n FROM (SELECT DISTINCT id, status, escalation_reason, failed_stage FROM inquiries) GROUP BY ALL",
-    "latency_percentiles": "SELECT status, quantile_disc(latency_ms, 0.5) AS p50, quantile_disc(latency_ms, 0.95) AS p95 FROM (SELECT DISTINCT id, status, latency_ms FROM inquiries) GROUP BY status",
+    "record_roundtrip": f"SELECT id, len(claims)::INT AS claims, true AS same FROM {_INQ}",
+    "outcome_histogram": f"SELECT status, escalation_reason, failed_stage, count(*) AS n FROM {_INQ} GROUP BY ALL",
+    "latency_percentiles": f"SELECT status, quantile_disc(latency_ms, 0.5) AS p50, quantile_disc(latency_ms, 0.95) AS p95 FROM {_INQ} GROUP BY status",
     "token_totals": f"SELECT intent_source, inquiries, g AS generation, e AS embedding, j AS judge, round((g + e + j) / inquiries::DOUBLE, 6) AS per_inquiry FROM (SELECT intent_source, count(*) AS inquiries, sum(input_tokens) + sum(output_tokens) AS g, sum(embedding_tokens) AS e, sum(judge_input_tokens) + sum(judge_output_tokens) AS j FROM {_INQ} GROUP BY intent_source)",
-    "regression_cases": f"""WITH r AS ({_HALF}), b AS (SELECT case_id, count(*) FILTER (passed) AS p, count(*) AS n FROM r WHERE first GROUP BY 1), c AS (SELECT case_id, count(*) FILTER (passed) AS p, count(*) AS n FROM r WHERE NOT first GROUP BY 1)
-      SELECT case_id, b.p AS baseline_passes, c.p AS candidate_passes, CASE WHEN b.p IS NULL OR c.p IS NULL THEN 'unknown' WHEN b.p = b.n AND c.p = 0 THEN 'collapse' WHEN b.p = b.n AND c.p < c.n THEN 'shortfall' WHEN c.p / c.n::DOUBLE < b.p / b.n::DOUBLE THEN 'decrease' ELSE 'same' END AS change FROM b FULL JOIN c USING (case_id)""",
-    "evidence_loss": f"""WITH r AS ({_HALF}), m AS (SELECT first, case_id, count(DISTINCT run_id) FILTER (passed) AS v, count(DISTINCT run_id) AS n FROM r GROUP BY 1, 2)
-      SELECT case_id FROM m WHERE first AND v >= floor(n / 2.0) + 1 EXCEPT SELECT case_id FROM m WHERE NOT first AND v >= floor(n / 2.0) + 1""",
+    # From the rules: a case that passed every run must pass most of the new ones, one that passed any must not fall to none.
+    "regression_cases": f"""WITH r AS (SELECT first, case_id, run_id, bool_and(passed) AS ok FROM ({_HALF}) GROUP BY ALL), b AS (SELECT case_id, count(*) FILTER (ok) AS p, count(*) AS n FROM r WHERE first GROUP BY 1), c AS (SELECT case_id, count(*) FILTER (ok) AS p, count(*) AS n FROM r WHERE NOT first GROUP BY 1)
+      SELECT case_id, b.p AS baseline_passes, c.p AS candidate_passes, CASE WHEN b.n IS NULL OR c.n IS NULL THEN 'unknown' WHEN b.p = b.n AND c.p < c.n // 2 + 1 THEN 'shortfall' WHEN b.p > 0 AND c.p = 0 THEN 'collapse' WHEN c.p < b.p THEN 'decrease' ELSE 'same' END AS change FROM b FULL JOIN c USING (case_id)""",
+    "evidence_loss": _SEEN + " SELECT * FROM lost UNION ALL SELECT case_id, NULL, 'labels_differ' FROM ids WHERE b IS NOT NULL AND c IS NOT NULL AND b <> c UNION ALL SELECT case_id, NULL, 'unobserved' FROM ids WHERE b IS NULL AND c IS NULL",
+    "guard_verdict": _SEEN + """, t AS (SELECT first, case_id, count(*) FILTER (ok) AS p, count(*) AS n FROM (SELECT first, case_id, run_id, bool_and(accepted) AS ok FROM seen GROUP BY ALL) GROUP BY ALL), k AS (SELECT b.p AS bp, b.n AS bn, c.p AS cp, c.n AS cn FROM (SELECT * FROM t WHERE first) b JOIN (SELECT * FROM t WHERE NOT first) c USING (case_id))
+      SELECT 0 AS differing, w + l AS worse, n AS compared, CASE WHEN w + l > 0 THEN 'fail' WHEN n = 0 THEN 'held' ELSE 'pass' END AS verdict
+      FROM (SELECT count(*) AS n, count(*) FILTER (bp = bn AND cp < cn // 2 + 1 OR bp > 0 AND cp = 0) AS w FROM k), (SELECT count(*) AS l FROM lost)""",
     "runset_pick": "SELECT * FROM (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS place FROM events) WHERE place <= 3",
-    "fingerprint_diff": f"""WITH r AS ({_HALF}), c AS (SELECT first, case_id AS name, CASE WHEN count(*) = count(passed) AND min(passed) = max(passed) THEN min(passed)::VARCHAR END AS value FROM r GROUP BY 1, 2), a AS (SELECT * FROM c WHERE first), b AS (SELECT * FROM c WHERE NOT first)
-      SELECT name, a.value AS a_value, b.value AS b_value, CASE WHEN a.value IS NULL OR b.value IS NULL THEN 'unknown' WHEN a.value = b.value THEN 'same' ELSE 'differs' END AS relation FROM a FULL JOIN b USING (name)""",
+    "fingerprint_diff": f"""WITH r AS ({_HALF}), c AS (SELECT first, case_id AS name, avg(passed::INT) AS s FROM r GROUP BY 1, 2), v AS (SELECT first, name, CASE WHEN s > 0 AND s < 1 THEN CASE WHEN s > 0.5 THEN 'on' ELSE 'off' END END AS value FROM c),
+      x AS (SELECT name, a.value AS a, b.value AS b FROM (SELECT * FROM v WHERE first) a FULL JOIN (SELECT * FROM v WHERE NOT first) b USING (name)), y AS (SELECT x.*, x.name = 'purchase:3' AS has, o.a AS oa, o.b AS ob FROM x LEFT JOIN x o ON x.name = 'purchase:3' AND o.name = 'purchase:5')
+      SELECT name, a AS a_value, b AS b_value, CASE WHEN a IS NULL OR b IS NULL OR has AND (oa IS NULL OR ob IS NULL) THEN 'unknown' WHEN a = b AND (NOT has OR oa = ob) THEN 'same' WHEN name IN ('click:1', 'view:2') THEN 'declared' ELSE 'differs' END AS relation FROM y""",
     "claim_overview": f"SELECT id, coalesce(len(claims), 0) AS claims, CASE WHEN claims IS NOT NULL THEN len(list_filter(claims, lambda c: NOT coalesce(contains(answer, c.text), false))) = 0 END AS holds_all, length(left(regexp_replace(regexp_replace(answer, '{_WHITE}+', ' ', 'g'), '^ | $', '', 'g'), 200)) AS preview_length FROM {_INQ} WHERE status = 'answered' AND answer IS NOT NULL",
 }

@@ -136,11 +136,11 @@ refs AS (
   SELECT DISTINCT 'inquiries.claims', inquiry_id, unnest(claim.citation_ids), created_at, loaded_at FROM (SELECT *, unnest(claims) AS claim FROM inq)
 ),
 parents AS (
-  SELECT 'inquiries.order_no' AS src, order_no AS ref_key, min(loaded_at) AS arrived, max(deleted_at) AS deleted FROM shop_orders GROUP BY order_no
-  UNION ALL
-  SELECT 'inquiries.claims', evidence_id, min(loaded_at), max(deleted_at) FROM policy_chunks GROUP BY evidence_id
-  UNION ALL
-  SELECT 'inquiries.claims', evidence_id, min(loaded_at), NULL FROM inquiry_evidence WHERE source = 'sql' GROUP BY evidence_id
+  SELECT DISTINCT ON (src, ref_key) src, ref_key, min(loaded_at) OVER (PARTITION BY src, ref_key) AS arrived, deleted_at AS deleted FROM (
+    SELECT 'inquiries.order_no' AS src, order_no AS ref_key, loaded_at, deleted_at FROM shop_orders
+    UNION ALL SELECT 'inquiries.claims', evidence_id, loaded_at, deleted_at FROM policy_chunks
+    UNION ALL SELECT 'inquiries.claims', evidence_id, loaded_at, NULL FROM inquiry_evidence WHERE source = 'sql')
+  ORDER BY src, ref_key, loaded_at DESC NULLS LAST, deleted_at DESC NULLS LAST
 ),
 found AS (
   SELECT r.src, inquiry_id, r.ref_key,

@@ -22,3 +22,11 @@ def one_per_key(df: DataFrame, keys: list[str], arrival: str | None, columns: li
     order = ([arrival] if arrival else []) + [c for c in columns if c != arrival]
     picked = df.groupBy(*keys).agg(F.min(F.struct(*order)).alias("__row"))
     return picked.select(*keys, *[F.col(f"__row.{c}").alias(c) for c in columns])
+
+
+def records_of(spark: SparkSession, folder: str, name: str, keys: list[str], columns: list[str]) -> DataFrame:
+    """One row per key of a table: that of the earliest load, or, in a table without load times, the smallest."""
+    t = table(spark, folder, name)
+    arrival = "loaded_at" if "loaded_at" in t.columns else None
+    read = [*keys, *[c for c in columns if c not in keys]]
+    return one_per_key(t.select(*read, *([arrival] if arrival and arrival not in read else [])), keys, arrival, [c for c in columns if c not in keys])
