@@ -43,8 +43,8 @@ _ZONE = re.compile(rf"[\s{_END}{_PICTURE}]+")
 _PAIRS = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]", "【": "】", "‘": "’", "‹": "›", "《": "》"}
 _BRACKETS = "(（[【"
 _OPENERS = re.compile("[" + re.escape("".join(_PAIRS)) + '"]')
-#: A quotation or bracket longer than this, or over a blank line, is taken for an unpaired mark.
-_LONGEST_SPAN = 600
+#: Openers whose closer differs from them, with what counts when they are nested.
+_NESTED = {mark: re.compile("[" + re.escape(mark + closers) + "]") for mark, closers in _PAIRS.items() if mark not in "„‘"}
 _LIST = re.compile(r"(?:^|(?<=\n))[ \t　]*(?:(\d{1,4})[.)．、](?=[ \t　])|([-*•‣◦–])[ \t]+(?=\S))")
 _BLANK = re.compile(r"\n[^\S\n]*\n|\r\n?[^\S\n]*\r\n?| ")
 _WORD = re.compile(r"[^\s]+")
@@ -59,19 +59,20 @@ _NUMBERED = re.compile(r"(?:^|\s)\d{1,4}\.$")
 
 
 def spans(text: str) -> list[tuple[int, int]]:
-    """The outermost quotations and brackets, as [start, end) with their marks."""
+    """The outermost quotations and brackets, as [start, end) with their marks.
+
+    One ends at its closing mark (nested ones of its kind are counted) within its paragraph, however long.
+    Speech that isn't closed there breaks off with the paragraph; any other mark without its partner is none.
+    """
     found, at = [], 0
     while m := _OPENERS.search(text, at):
         i = m.start()
         mark = m.group()
-        closers = '"' if mark == '"' else _PAIRS[mark]
-        stop = min(len(text), i + _LONGEST_SPAN)
-        blank = _BLANK.search(text, i, stop)
-        if blank:
-            stop = blank.start()
-        j = min((p for p in (text.find(c, i + 1, stop) for c in closers) if p >= 0), default=-1)
-        if j < 0 and mark in "“„«「『" and stop - i < 200 and (blank or stop == len(text)):
-            found.append((i, stop))  # speech that breaks off with its paragraph
+        blank = _BLANK.search(text, i)
+        stop = blank.start() if blank else len(text)
+        j = _closer(text, i, mark, stop)
+        if j < 0 and mark in "“„«「『":
+            found.append((i, stop))
             at = stop
         elif j < 0 or mark == "‘" and j == i + 1:
             at = i + 1
@@ -81,6 +82,20 @@ def spans(text: str) -> list[tuple[int, int]]:
     return found
 
 
+def _closer(text: str, i: int, mark: str, stop: int) -> int:
+    """Where what opens at ``i`` is closed before ``stop``, or -1."""
+    closers = '"' if mark == '"' else _PAIRS[mark]
+    first = min((p for p in (text.find(c, i + 1, stop) for c in closers) if p >= 0), default=-1)
+    if first < 0 or mark not in _NESTED or text.find(mark, i + 1, first) < 0:
+        return first
+    depth = 1
+    for m in _NESTED[mark].finditer(text, i + 1, stop):
+        depth += 1 if m.group() == mark else -1
+        if not depth:
+            return m.start()
+    return first
+
+
 def list_items(text: str) -> dict[int, int]:
     """Start of each list item's number or bullet, and where the number ends.
 

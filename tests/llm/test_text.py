@@ -138,3 +138,22 @@ def test_sentence_structure(model):
     assert [text[p : p + 5] for p in got[0]] == ["Title", "One l", "1. Fi", "2. Se", "last "] or [text[p : p + 5] for p in got[0]][:4] == ["Title", "One l", "1. Fi", "2. Se"]
     assert got[1:] == [[], [], []]
     assert sentences.list_items("Am\n3. Mai kam er.") == {}
+
+
+@pytest.mark.parametrize("marks, inner", [("“”", "He waited. "), ("「」", "待っていた。"), ("()", "Someone saw it. "), ('""', "He waited. "), ("«»", "Er wartete. ")])
+@pytest.mark.parametrize("times", [3, 30, 90])
+def test_quotations_of_any_length_stay_one(marks, inner, times):
+    text = f"Ann said: {marks[0]}{inner * times}{marks[1]} and left."
+    a = text.index(marks[0])
+    assert sentences.spans(text) == [(a, text.rindex(marks[1]) + 1)]
+    _, sure, open_ = sentences.places(text)
+    assert not sure and all(p[0] == a or p[0] > text.rindex(marks[1]) for p in open_)
+
+
+def test_nested_and_unclosed_quotations():
+    text = "彼は「彼女が「はい。」と言った。」と言った。"
+    assert sentences.spans(text) == [(2, text.rindex("」") + 1)]
+    broken = "Ann said: “" + "He waited. " * 60 + "\n\nThen it rained."
+    assert sentences.spans(broken) == [(10, broken.index("\n\n"))] or sentences.spans(broken)[0][0] == 10
+    assert sentences.places(broken)[1] == [broken.index("Then")]
+    assert sentences.spans("a (b c d. " + "x " * 400) == []
