@@ -19,8 +19,11 @@ from __future__ import annotations
 import re
 import zlib
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,7 +42,11 @@ TRAINING_LENGTH = 40_000
 START, INSIDE = "start", "inside"
 _END = ".!?…。！？｡।॥"
 _PICTURE = "☀-➿\U0001f1e6-\U0001faff️‍"
-_ZONE = re.compile(rf"[\s{_END}{_PICTURE}]+")
+#: A break zone that can matter by itself: it holds an end mark, a pictograph or a line break. In scripts that leave
+#: white space where a sentence ends every zone can; zones of mere spaces beside a quotation or bracket come with it.
+_ZONE = re.compile(rf"\s*[\n{_END}{_PICTURE}][\s{_END}{_PICTURE}]*")
+_ANY_ZONE = re.compile(rf"[\s{_END}{_PICTURE}]+")
+_SPACES = re.compile(r"\s+")
 _PAIRS = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]", "【": "】", "‘": "’", "‹": "›", "《": "》"}
 _BRACKETS = "(（[【"
 _OPENERS = re.compile("[" + re.escape("".join(_PAIRS)) + '"]')
@@ -51,8 +58,8 @@ _WORD = re.compile(r"[^\s]+")
 _LAST_WORD = re.compile(r"[^\s]{2,}$")
 _THAI = re.compile(r"[฀-๿຀-໿က-႟ក-៿]")
 _DIGITS = re.compile(r"\d+")
-#: Letters of the scripts that the draw for training tells apart, besides kana and latin.
-_LETTERS = {"hangul": r"\p{IsHangul}", "han": r"\p{IsHan}", "thai": r"\p{IsThai}\p{IsLao}\p{IsMyanmar}\p{IsKhmer}", "deva": r"\p{IsDevanagari}", "cyrillic": r"\p{IsCyrillic}", "arabic": r"\p{IsArabic}"}
+#: Letters of the scripts that the draw for training tells apart, besides latin; kana comes before the Han signs it stands with.
+_LETTERS = {"kana": "\u3040-\u30ff", "hangul": "\uac00-\ud7a3", "thai": "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff", "deva": "\u0900-\u097f", "cyrillic": "\u0400-\u04ff", "arabic": "\u0600-\u06ff", "han": "\u4e00-\u9fff"}
 #: Particles that tie a quotation to the sentence around it.
 _QUOTATIVE = re.compile("と|って|라고|이라고|하고|라며|이라며|라는|이라는|라고|하고|이라고")
 _NUMBERED = re.compile(r"(?:^|\s)\d{1,4}\.$")
@@ -119,6 +126,7 @@ def list_items(text: str) -> dict[int, int]:
     return out
 
 
+@lru_cache(maxsize=65_536)
 def _kind(c: str) -> str:
     """A coarse class of a character."""
     if not c:
@@ -143,11 +151,46 @@ def _kind(c: str) -> str:
     return f"mark{c}"
 
 
-def places(text: str, with_features: bool = True) -> tuple[int | None, list[int], list[tuple[int, list[str]]]]:
+@lru_cache(maxsize=4_096)
+def _zone_facts(zone: str) -> tuple[bool, str, bool, str, str, bool]:
+    """Of a break zone: white space in it, its end marks, a blank line, how it separates, its mark, pictographs."""
+    end_marks = "".join(c for c in zone if c in _END)
+    gap = "n" if "\n" in zone else "s" if zone.strip() != zone or zone.isspace() else "0"
+    mark = "none" if not end_marks else "dots" if end_marks.startswith(("..", "…")) else end_marks[0] if len(set(end_marks)) == 1 else "mixed"
+    return any(c.isspace() for c in zone), end_marks, "\n" in zone and bool(_BLANK.search(zone)), gap, mark, any(c not in _END and not c.isspace() for c in zone)
+
+
+def _zones(text: str, first: int, marks: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The break zones after ``first`` that can open a sentence, rising; a mark's closing side may be an empty one."""
+    if _THAI.search(text):
+        zones = [m.span() for m in _ANY_ZONE.finditer(text, first)]
+        taken = {a for a, _ in zones}
+        zones += [(b, b) for _, b in marks if b not in taken and b < len(text)]
+    elif not marks:
+        return [m.span() for m in _ZONE.finditer(text, first)]
+    else:
+        zones = [m.span() for m in _ZONE.finditer(text, first)]
+        taken, stops = {a for a, _ in zones}, {b for _, b in zones}
+        for start, end in marks:
+            if end not in taken and end < len(text):
+                m = _SPACES.match(text, end)
+                zones.append((end, m.end() if m else end))
+                taken.add(end)
+                stops.add(zones[-1][1])
+            if start not in stops and start > first and text[start - 1].isspace():
+                a = len(text[:start].rstrip())
+                if a not in taken:
+                    zones.append((a, start))
+                    taken.add(a)
+    zones.sort()
+    return zones
+
+
+def places(text: str, with_features: bool = True) -> tuple[int | None, list[int], list[tuple]]:
     """(first start, sure starts, open places): where sentences of ``text`` may start.
 
-    Of a place left open come its position and its features (none without ``with_features``). The first start is None for a text
-    without any character but white space.
+    Of a place left open come its position and what is seen around it (nothing without ``with_features``).
+    The first start is None for a text without any character but white space.
     """
     stripped = len(text) - len(text.lstrip())
     if stripped == len(text):
@@ -159,30 +202,27 @@ def places(text: str, with_features: bool = True) -> tuple[int | None, list[int]
     items = list_items(text)
     after_number = set(items.values())
     sure: list[int] = []
-    open_: list[tuple[int, list[str]]] = []
-    zones = [(m.start(), m.end()) for m in _ZONE.finditer(text, stripped)]
-    taken = {a for a, _ in zones}
-    zones += [(b, b) for b in ends if b not in taken and b < len(text)]
-    zones.sort()
-    for a, b in zones:
-        if b >= len(text) or b <= stripped:
+    open_: list[tuple] = []
+    n = len(text)
+    for a, b in _zones(text, stripped, marks):
+        if b >= n or b <= stripped:
             continue
-        k = bisect_right(begins, a) - 1
-        if k >= 0 and marks[k][0] < a < marks[k][1]:
-            continue  # inside a quotation or bracket
+        if begins:
+            k = bisect_right(begins, a) - 1
+            if k >= 0 and marks[k][0] < a < marks[k][1]:
+                continue  # inside a quotation or bracket
         zone = text[a:b]
-        if b in items or "\n" in zone and _BLANK.search(zone):
+        white, end_marks, blank, _, _, _ = _zone_facts(zone)
+        if blank or b in items:
             sure.append(b)
             continue
-        if any(p in after_number for p in range(a, b + 1)) and any(s <= a and e >= a for s, e in items.items() if e in range(a, b + 1)):
+        if after_number and any(p in after_number for p in range(a, b + 1)) and any(s <= a and e >= a for s, e in items.items() if e in range(a, b + 1)):
             continue  # between a list item's number and its text
         right = text[b]
-        white = bool(zone) and any(c.isspace() for c in zone)
         if right.isdigit() and white and _NUMBERED.search(text, max(0, a - 6), a + 1):
             continue  # a date or a numbering in several parts
         if a in ends and not zone and _QUOTATIVE.match(text, b):
             continue
-        end_marks = "".join(c for c in zone if c in _END)
         closed = ends.get(a)
         if right in ",;:)]}，；：、）」』”’»%":
             continue
@@ -215,7 +255,7 @@ def places(text: str, with_features: bool = True) -> tuple[int | None, list[int]
                 continue
         elif not (white and (_THAI.match(right) or _THAI.match(text[a - 1 : a]) or b in starts_at and _THAI.search(text, max(0, a - 40), a))):
             continue
-        open_.append((b, _features(text, a, b, end_marks, closed, starts_at.get(b)) if with_features else []))
+        open_.append((b, _seen(text, a, b, closed, starts_at.get(b)) if with_features else ()))
     return stripped, sure, open_
 
 
@@ -249,21 +289,16 @@ def _own_sentence(text: str, opened: int, end: int, inner: str, first: int, righ
     return before[-1:] in (":", "：") and not (right.islower() and right.isascii())
 
 
-def _features(text: str, a: int, b: int, end_marks: str, closed: int | None, opened: int | None) -> list[str]:
-    """What is seen around the place between text[:a] and text[b:]."""
-    left = text[max(0, a - 24) : a]
-    right = text[b : b + 24]
-    zone = text[a:b]
-    gap = "n" if "\n" in zone else "s" if zone.strip() != zone or zone.isspace() else "0"
-    pictured = any(c not in _END and not c.isspace() for c in zone)
-    mark = "none" if not end_marks else "dots" if end_marks.startswith(("..", "…")) else end_marks[0] if len(set(end_marks)) == 1 else "mixed"
-    words = left.split()
-    lw = _DIGITS.sub("9", words[-1].lower()) if words else ""
-    before = _DIGITS.sub("9", words[-2].lower()) if len(words) > 1 else ""
-    rwords = right.split()
-    rw = _DIGITS.sub("9", rwords[0].lower()) if rwords else ""
-    rw2 = _DIGITS.sub("9", rwords[1].lower()) if len(rwords) > 1 else ""
-    kl, kr = _kind(left[-1:]), _kind(right[:1])
+def _seen(text: str, a: int, b: int, closed: int | None, opened: int | None) -> tuple[tuple, tuple, tuple, tuple]:
+    """What is seen around the place between text[:a] and text[b:], in four parts: the form of the place, what
+    stands left, what stands right, and both."""
+    _, _, _, gap, mark, pictured = _zone_facts(text[a:b])
+    left = _DIGITS.sub("9", text[max(0, a - 24) : a].lower())
+    right = _DIGITS.sub("9", text[b : b + 24].lower())
+    words, rwords = left.split(), right.split()
+    lw = words[-1] if words else ""
+    rw = rwords[0] if rwords else ""
+    kl, kr = _kind(text[a - 1 : a]), _kind(text[b : b + 1])
     if opened is not None:
         kr = "bracket" if text[b] in _BRACKETS else "quote"
     tail = ""
@@ -272,36 +307,91 @@ def _features(text: str, a: int, b: int, end_marks: str, closed: int | None, ope
         outside = text[:closed].rstrip()
         inner = text[max(closed + 1, a - 3) : a - 1].rstrip()
         tail += f"{_kind(outside[-1:]) if outside[-1:] not in tuple(_END) else 'end'}{'.' if inner[-1:] in tuple(_END) else ''}"
-    masked_left = _DIGITS.sub("9", left.lower())
-    masked_right = _DIGITS.sub("9", right.lower())
-    shape = f"{mark}|{gap}|{kl}|{kr}"
-    fs = [
-        "bias", f"shape={shape}", f"mg={mark}{gap}", f"mr={mark}{kr}", f"tail={tail}", f"tailr={tail}{kr}", f"tailw={tail}{rw[:3]}",
-        f"kk={kl}{kr}", f"pic={pictured}{mark}",
-        f"lw={lw}", f"lwm={lw}{mark}", f"lwr={lw}{kr}", f"blw={before} {lw}{mark}", f"rw={rw}", f"rww={rw} {rw2}", f"mrw={mark}{rw}", f"lrw={lw} {rw}",
-        f"short={len(lw) <= 1}{mark}{kr}", f"dotted={'.' in lw}{mark}{kr}",
-    ]
-    fs += [f"l{n}={masked_left[-n:]}{mark}" for n in (1, 2, 3, 4)]
-    fs += [f"r{n}={masked_right[:n]}" for n in (1, 2, 3, 4, 6)]
-    fs += [f"mr{n}={mark}{masked_right[:n]}" for n in (2, 3)]
-    fs += [f"lr={masked_left[-2:]}{masked_right[:2]}"]
-    return fs
+    return (mark, gap, kl, kr, tail, pictured), (lw, words[-2] if len(words) > 1 else "", left[-4:], mark, kr), (rw, rwords[1] if len(rwords) > 1 else "", right[:6], mark), (lw, rw, left[-2:], right[:2], rw[:3], tail)
+
+
+def _form_features(mark, gap, kl, kr, tail, pictured) -> list[str]:
+    return ["bias", f"shape={mark}|{gap}|{kl}|{kr}", f"mg={mark}{gap}", f"mr={mark}{kr}", f"tail={tail}", f"tailr={tail}{kr}", f"kk={kl}{kr}", f"pic={pictured}{mark}"]
+
+
+def _left_features(lw, before, end, mark, kr) -> list[str]:
+    return [f"lw={lw}", f"lwm={lw}{mark}", f"lwr={lw}{kr}", f"blw={before} {lw}{mark}", f"short={len(lw) <= 1}{mark}{kr}", f"dotted={'.' in lw}{mark}{kr}", *(f"l{n}={end[-n:]}{mark}" for n in (1, 2, 3, 4))]
+
+
+def _right_features(rw, rw2, begin, mark) -> list[str]:
+    return [f"rw={rw}", f"rww={rw} {rw2}", f"mrw={mark}{rw}", *(f"r{n}={begin[:n]}" for n in (1, 2, 3, 4, 6)), f"mr2={mark}{begin[:2]}", f"mr3={mark}{begin[:3]}"]
+
+
+def _cross_features(lw, rw, end, begin, rw3, tail) -> list[str]:
+    return [f"lrw={lw} {rw}", f"lr={end}{begin}", f"tailw={tail}{rw3}"]
+
+
+_PARTS = (_form_features, _left_features, _right_features, _cross_features)
+
+
+def features_of(seen: tuple) -> list[str]:
+    """The features of a place, from what is seen around it."""
+    return [f for part, x in zip(_PARTS, seen) for f in part(*x)]
+
+
+class Decoder:
+    """Scores places with a trained model. With two tags the difference of their scores is enough; that of a
+    part of what is seen is remembered, for words and their neighbours recur."""
+
+    #: Parts remembered before they are forgotten; this bounds memory and changes no result.
+    REMEMBERED = 100_000
+
+    def __init__(self, model: crf.ChainCRF):
+        self.model = model
+        start, inside = model.labels.index(START), model.labels.index(INSIDE)
+        self.start, self.inside = start, inside
+        self.weight = {f: float(model.weights[i, start] - model.weights[i, inside]) for f, i in model.vocabulary.items()}
+        self.known: tuple[dict, ...] = tuple({} for _ in _PARTS)
+
+    def __reduce__(self):
+        return Decoder, (self.model,)
+
+    def score(self, seen: tuple) -> float:
+        total = 0.0
+        for known, part, x in zip(self.known, _PARTS, seen):
+            s = known.get(x)
+            if s is None:
+                if len(known) >= self.REMEMBERED:
+                    known.clear()
+                get = self.weight.get
+                s = known[x] = sum(get(f, 0.0) for f in part(*x))
+            total += s
+        return total
+
+    def tags(self, sequences: list[list[tuple]]) -> np.ndarray:
+        """For all places of all sequences, one after the other: does a sentence start there?"""
+        lengths = np.fromiter(map(len, sequences), dtype=np.int64, count=len(sequences))
+        scores = np.zeros((int(lengths.sum()), 2))
+        scores[:, self.start] = np.fromiter((self.score(x) for q in sequences for x in q), dtype=np.float64, count=len(scores))
+        return self.model.viterbi(scores, lengths) == self.start if len(scores) else np.zeros(0, dtype=bool)
 
 
 # --- training ----------------------------------------------------------------------------------
 
 
+_SCRIPTS = (("hangul", re.compile("[가-힣ᄀ-ᇿ]")), ("han", re.compile("[一-鿿]")), ("thai", _THAI), ("deva", re.compile("[ऀ-ॿ]")), ("cyrillic", re.compile("[Ѐ-ӿ]")), ("arabic", re.compile("[؀-ۿ]")))
+_KANA = re.compile("[\u3040-\u30ff]")
+_LATIN = re.compile("[A-Za-z\u00c0-\u024f]")
+
+
 def _script(text: str) -> str:
-    counts: dict[str, int] = {}
-    for c in text[:200]:
-        k = _kind(c)
-        if not k.startswith("mark") and k != "digit":
-            counts[k] = counts.get(k, 0) + 1
-    if counts.get("kana"):
+    """Kana if there is any, else the script of most letters, latin counting half."""
+    if text.isascii():
+        return "latin"
+    if _KANA.search(text):
         return "kana"
-    latin = counts.pop("lower", 0) + counts.pop("upper", 0)
-    best = max(counts, key=lambda k: counts[k], default="latin")
-    return best if counts and counts[best] * 2 > latin else "latin"
+    counts = []
+    for name, p in _SCRIPTS:
+        counts.append((len(p.findall(text)), name))
+        if counts[-1][0] * 2 > len(text):
+            return name
+    most, name = max(counts, key=lambda x: x[0])
+    return name if most * 2 > len(_LATIN.findall(text)) else "latin"
 
 
 def sure_units(text: str) -> list[str]:
@@ -363,6 +453,12 @@ SEED_SENTENCES = (
 )
 
 
+def _word_key(word: str) -> str:
+    """``_key`` of a word in the middle, where a number counts without what follows it."""
+    kind = _kind(word[0])
+    return _DIGITS.sub("9", word[:6] if kind == "thai" else word[:3] if kind in ("han", "kana") else word[:24])
+
+
 def _key(text: str, at: int) -> str:
     """What a sentence starting at ``at`` would begin with: a word, or some characters in scripts without spaces."""
     kind = _kind(text[at])
@@ -378,6 +474,11 @@ def _key(text: str, at: int) -> str:
     return _DIGITS.sub("9", begin)
 
 
+#: A word after a single white space that no end mark precedes.
+_MIDDLE = re.compile(r"(?<=[^\s.!?…。！？｡।])[^\S\n](\S+)")
+_AFTER_WORD = re.compile(r"[^\s.!?…。！？｡।][^\S\n]$")
+
+
 class StartCounts:
     """How often what stands at a place also opens texts, paragraphs and list items; of ``wanted`` keys, or of all."""
 
@@ -386,8 +487,10 @@ class StartCounts:
         self.open_places: dict[str, int] = {}
         self.middle: dict[str, int] = {}
         self.wanted = wanted
+        self.words: dict[str, Counter] = {}  # words in the middle, not yet taken over
         for text in documents:
             self.add(text)
+        self.flush()
 
     def add(self, text: str) -> None:
         first, sure, open_ = places(text, with_features=False)
@@ -401,20 +504,33 @@ class StartCounts:
                 p += 1
             if p < len(text):
                 begins.add(p)
-        at_open = {at for at, _ in open_}
         script = _script(text)
         for p in begins:
-            self._add(self.opens, script, text, p)
+            self._add(self.opens, f"{script}:{_key(text, p)}")
+        at_open = {x[0] for x in open_}
         for p in at_open:
-            self._add(self.open_places, script, text, p)
-        for m in re.finditer(r"(?<=[^\s.!?…。！？｡।])[^\S\n](?=\S)", text):
-            if m.end() not in begins and m.end() not in at_open:
-                self._add(self.middle, script, text, m.end())
-
-    def _add(self, to: dict[str, int], script: str, text: str, at: int) -> None:
-        k = script + ":" + _key(text, at)
-        if self.wanted is None or k in self.wanted:
-            to[k] = to.get(k, 0) + 1
+            self._add(self.open_places, f"{script}:{_key(text, p)}")
+        # Words are counted as they come; what was counted at a begin or an open place is taken back.
+        words = self.words.get(script)
+        if words is None:
+            words = self.words[script] = Counter()
+        words.update(_MIDDLE.findall(text))
+        for p in begins | at_open:
+            if _AFTER_WORD.search(text, max(0, p - 2), p):
+                self._add(self.middle, f"{script}:{_word_key(_WORD.match(text, p).group())}", -1)
+        if len(words) > 200_000:
+            self.flush()
+
+    def flush(self) -> None:
+        """Take the counted words over into the counts of keys."""
+        for script, words in self.words.items():
+            for word, n in words.items():
+                self._add(self.middle, f"{script}:{_word_key(word)}", n)
+        self.words = {}
+
+    def _add(self, to: dict[str, int], key: str, n: int = 1) -> None:
+        if self.wanted is None or key in self.wanted:
+            to[key] = to.get(key, 0) + n
 
     def verdict(self, script: str, text: str, at: int) -> str | None:
         """START, INSIDE, or None where the counts don't tell."""
@@ -429,7 +545,7 @@ class StartCounts:
 
 def asked_keys(documents: list[str]) -> set[str]:
     """The keys whose counts label the training places: at most ``TRAINING_PLACES`` a document."""
-    return {_script(text) + ":" + _key(text, at) for text in documents for at, _ in places(text, with_features=False)[2][:TRAINING_PLACES]}
+    return {f"{script}:{_key(text, at)}" for text in documents for script in [_script(text)] for at, _ in places(text, with_features=False)[2][:TRAINING_PLACES]}
 
 
 def corpus_counts(df: DataFrame, text: str, wanted: set[str]) -> StartCounts:
@@ -442,6 +558,7 @@ def corpus_counts(df: DataFrame, text: str, wanted: set[str]) -> StartCounts:
             for t in b.column(0).to_pylist():
                 if t:
                     mine.add(t)
+        mine.flush()
         rows = [(kind, k, n) for kind in ("opens", "open_places", "middle") for k, n in getattr(mine, kind).items()]
         kinds, keys, ns = zip(*rows) if rows else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(keys, pa.string()), pa.array(ns, pa.int64())], names=["kind", "key", "n"])
@@ -468,21 +585,21 @@ def train(documents: list[str], counts: StartCounts | None = None) -> crf.ChainC
         for seed in (n, n + 100_003):
             text, starts = _strung(group if seed == n else group[::-1], seed)
             _, _, open_ = places(text)
-            for at, fs in open_:
-                features.append(fs)
+            for at, seen in open_:
+                features.append(features_of(seen))
                 gold.append(START if at in starts else INSIDE)
             lengths.append(len(open_))
     counts = counts or StartCounts(documents)
     for text in documents:
         _, _, open_ = places(text)
         script, run = _script(text), 0
-        for at, fs in open_[:TRAINING_PLACES]:
+        for at, seen in open_[:TRAINING_PLACES]:
             label = counts.verdict(script, text, at)
             if label is None:
                 lengths.append(run)
                 run = 0
                 continue
-            features.append(fs)
+            features.append(features_of(seen))
             gold.append(label)
             run += 1
         lengths.append(run)
@@ -492,27 +609,22 @@ def train(documents: list[str], counts: StartCounts | None = None) -> crf.ChainC
 # --- decoding ----------------------------------------------------------------------------------
 
 
-def starts_of(model: crf.ChainCRF, texts: list[str | None]) -> list[list[int]]:
+def starts_of(model: crf.ChainCRF | Decoder, texts: list[str | None]) -> list[list[int]]:
     """The positions at which each text's sentences start, rising; none for null, empty and blank texts."""
-    rows, lengths, found = [], [], []
-    for text in texts:
-        first, sure, open_ = places(text) if text else (None, [], [])
-        found.append((first, sure, [at for at, _ in open_]))
-        rows += [model.numbers(fs) for _, fs in open_]
-        lengths.append(len(open_))
-    tags = iter(model.decode(rows, lengths))
+    decoder = model if isinstance(model, Decoder) else Decoder(model)
+    found = [places(text) if text else (None, [], []) for text in texts]
+    starts = iter(decoder.tags([[x[1] for x in open_] for _, _, open_ in found]).tolist())
     out = []
-    for first, sure, at in found:
-        mine = [p for p in at if next(tags) == START]
+    for first, sure, open_ in found:
+        mine = [x[0] for x in open_ if next(starts)]
         out.append(sorted({first, *sure, *mine}) if first is not None else [])
     return out
 
 
 def _script_column(t: Column) -> Column:
-    """About ``_script``, for the draw: kana, the script of most letters of the beginning, or latin."""
-    head = F.substring(t, 1, 200)
-    many = [F.when(F.regexp_count(head, F.lit(f"[{letters}]")) * 2 > F.regexp_count(head, F.lit(r"[\p{L}]")), F.lit(name)) for name, letters in _LETTERS.items()]
-    return F.coalesce(F.when(head.rlike("[\u3040-\u30ff]"), F.lit("kana")), *many, F.lit("latin"))
+    """A script for the draw: the first of the list that the text has a letter of, or latin."""
+    found = [F.when(t.rlike(f"[{letters}]"), F.lit(name)) for name, letters in _LETTERS.items()]
+    return F.when(F.octet_length(t) == F.length(t), F.lit("latin")).otherwise(F.coalesce(*found, F.lit("latin")))
 
 
 def training_sample(df: DataFrame, key: str, text: str, most: int = TRAINING_DOCUMENTS) -> list[str]:
@@ -522,7 +634,7 @@ def training_sample(df: DataFrame, key: str, text: str, most: int = TRAINING_DOC
     """
     t = F.col(text)
     short = df.filter(t.isNotNull() & (F.length(t) <= TRAINING_LENGTH)).select(F.col(key).alias("k"), t.alias("t"))
-    listed = F.col("t").rlike(r"(?m)^\s*1[.)]\s") & F.col("t").rlike(r"(?m)^\s*2[.)]\s")
+    listed = F.col("t").contains("1") & F.col("t").contains("2") & F.col("t").rlike(r"(?m)^\s*1[.)]\s") & F.col("t").rlike(r"(?m)^\s*2[.)]\s")
     kind = F.when(listed, 0).when(F.col("t").contains("\n\n"), 1).otherwise(2)
     keyed = short.select("k", "t", kind.alias("kind"), _script_column(F.col("t")).alias("script"), F.xxhash64("k", F.lit(29)).alias("h"))
     turn = F.row_number().over(Window.partitionBy("kind", "script").orderBy("h", "k", "t"))
@@ -540,7 +652,7 @@ def sentence_starts(df: DataFrame, key: str, text: str, with_text: bool = False)
     """
     kind = dict(df.dtypes)[key]
     drawn = training_sample(df, key, text)
-    shared = df.sparkSession.sparkContext.broadcast(train(drawn, corpus_counts(df, text, asked_keys(drawn))))
+    shared = df.sparkSession.sparkContext.broadcast(Decoder(train(drawn, corpus_counts(df, text, asked_keys(drawn)))))
     schema = f"`{key}` {kind}, start_pos bigint" + (", sentence_no int, end_pos bigint, sentence string" if with_text else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -157,3 +157,32 @@ def test_nested_and_unclosed_quotations():
     assert sentences.spans(broken) == [(10, broken.index("\n\n"))] or sentences.spans(broken)[0][0] == 10
     assert sentences.places(broken)[1] == [broken.index("Then")]
     assert sentences.spans("a (b c d. " + "x " * 400) == []
+
+
+def test_zones_equal_those_of_every_character(model):
+    """The shortcut over plain spaces finds the places that looking at every break zone finds."""
+    texts = [c.replace("|", "") for c in CASES] + ["A (b.) c. “d.” E f! 3. G", "ก ข “ค ง” จ ฉ (ช.) ซ", "x\n1. a\n2. b\n\n c 🙂 d. e", ' “a.” b “c” d. ', "a  “b. c”  d"]
+    for text in texts:
+        whole = sentences.places(text)
+        marks = sentences.spans(text)
+        every = sorted({m.span() for m in sentences._ANY_ZONE.finditer(text, whole[0])} | {(b, b) for _, b in marks if b < len(text) and not sentences._ANY_ZONE.match(text, b)})
+        kept = sentences._zones
+        try:
+            sentences._zones = lambda *_, z=every: z
+            assert sentences.places(text) == whole
+        finally:
+            sentences._zones = kept
+
+
+def test_scores_by_parts_equal_the_field(model):
+    d = sentences.Decoder(model)
+    d.REMEMBERED = 2
+    text = CASES[0].replace("|", "")
+    for _, seen in sentences.places(text)[2]:
+        w = model.weights[model.numbers(sentences.features_of(seen))].sum(0)
+        assert abs(d.score(seen) - (w[d.start] - w[d.inside])) < 1e-9
+
+
+def test_counts_take_back_what_begins():
+    c = sentences.StartCounts(["Now it rains. Now we go now and Now.", "Now again\n\nNow"])
+    assert c.opens == {"latin:Now": 3} and c.open_places == {"latin:Now": 1} and c.middle["latin:Now."] == 1 and c.middle.get("latin:Now", 0) == 0
