@@ -17,6 +17,7 @@ the counts behind their labels and decoding cover all documents.
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from bisect import bisect_right
 from collections import Counter
@@ -58,8 +59,8 @@ _WORD = re.compile(r"[^\s]+")
 _LAST_WORD = re.compile(r"[^\s]{2,}$")
 _THAI = re.compile(r"[฀-๿຀-໿က-႟ក-៿]")
 _DIGITS = re.compile(r"\d+")
-#: Letters of the scripts that the draw for training tells apart, besides latin; kana comes before the Han signs it stands with.
-_LETTERS = {"kana": "\u3040-\u30ff", "hangul": "\uac00-\ud7a3", "thai": "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff", "deva": "\u0900-\u097f", "cyrillic": "\u0400-\u04ff", "arabic": "\u0600-\u06ff", "han": "\u4e00-\u9fff"}
+#: Letters of the scripts that the draw for training tells apart, besides latin; kana comes before the Han signs it stands with, and Korean in decomposed letters is drawn by itself.
+_LETTERS = {"kana": "\u3040-\u30ff", "jamo": "\u1100-\u11ff", "hangul": "\uac00-\ud7a3", "thai": "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff", "deva": "\u0900-\u097f", "cyrillic": "\u0400-\u04ff", "arabic": "\u0600-\u06ff", "han": "\u4e00-\u9fff"}
 #: Particles that tie a quotation to the sentence around it.
 _QUOTATIVE = re.compile("と|って|라고|이라고|하고|라며|이라며|라는|이라는|라고|하고|이라고")
 _NUMBERED = re.compile(r"(?:^|\s)\d{1,4}\.$")
@@ -289,12 +290,24 @@ def _own_sentence(text: str, opened: int, end: int, inner: str, first: int, righ
     return before[-1:] in (":", "：") and not (right.islower() and right.isascii())
 
 
+_JAMO = re.compile("[\u1100-\u11ff]")
+
+
+def _composed(text: str, most: int = 24) -> str:
+    """Korean in decomposed letters as syllables, so that it shows the same features; at most ``most`` characters from the start."""
+    return unicodedata.normalize("NFC", text)[:most]
+
+
 def _seen(text: str, a: int, b: int, closed: int | None, opened: int | None) -> tuple[tuple, tuple, tuple, tuple]:
     """What is seen around the place between text[:a] and text[b:], in four parts: the form of the place, what
     stands left, what stands right, and both."""
     _, _, _, gap, mark, pictured = _zone_facts(text[a:b])
-    left = _DIGITS.sub("9", text[max(0, a - 24) : a].lower())
-    right = _DIGITS.sub("9", text[b : b + 24].lower())
+    left, right = text[max(0, a - 24) : a], text[b : b + 24]
+    if _JAMO.search(left):
+        left = unicodedata.normalize("NFC", text[max(0, a - 60) : a])[-24:]
+    if _JAMO.search(right):
+        right = _composed(text[b : b + 60])
+    left, right = _DIGITS.sub("9", left.lower()), _DIGITS.sub("9", right.lower())
     words, rwords = left.split(), right.split()
     lw = words[-1] if words else ""
     rw = rwords[0] if rwords else ""
@@ -456,6 +469,8 @@ SEED_SENTENCES = (
 def _word_key(word: str) -> str:
     """``_key`` of a word in the middle, where a number counts without what follows it."""
     kind = _kind(word[0])
+    if kind == "hangul" and _JAMO.search(word):
+        word = _composed(word)
     return _DIGITS.sub("9", word[:6] if kind == "thai" else word[:3] if kind in ("han", "kana") else word[:24])
 
 
@@ -469,6 +484,8 @@ def _key(text: str, at: int) -> str:
     else:
         m = _WORD.match(text, at)
         begin = m.group()[:24] if m else ""
+        if kind == "hangul" and _JAMO.search(begin):
+            begin = _composed(m.group())
         if begin.isdigit() and (after := _WORD.search(text, m.end(), m.end() + 30)):
             begin += " " + after.group()
     return _DIGITS.sub("9", begin)

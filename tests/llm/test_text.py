@@ -186,3 +186,14 @@ def test_scores_by_parts_equal_the_field(model):
 def test_counts_take_back_what_begins():
     c = sentences.StartCounts(["Now it rains. Now we go now and Now.", "Now again\n\nNow"])
     assert c.opens == {"latin:Now": 3} and c.open_places == {"latin:Now": 1} and c.middle["latin:Now."] == 1 and c.middle.get("latin:Now", 0) == 0
+
+
+def test_decomposed_korean_shows_the_same_features():
+    import unicodedata
+
+    text = "가게는 오전 9시에 문을 엽니다. 지금 몇 시예요? 그 책은 여기 있다."
+    nfd = unicodedata.normalize("NFD", text)
+    a, b = sentences.places(text)[2], sentences.places(nfd)[2]
+    assert len(a) == len(b) == 2
+    for (_, x), (_, y) in zip(a, b):
+        assert set(sentences.features_of(x)) == set(sentences.features_of(y))
