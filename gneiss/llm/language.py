@@ -25,7 +25,7 @@ _WORD_LANGUAGE: dict[str, list[str]] = {}
 for _code, _words in FUNCTION_WORDS.items():
     for _w in set(_words.split()):
         _WORD_LANGUAGE.setdefault(_w, []).append(_code)
-_CODES = re.compile(r"\S*@\S+|\S+\s?[(\[]at[)\]]\s?\S+|https?://\S+|www\.\S+|\b[A-Za-z]{1,4}-?\d[\w-]*")
+_CODES = re.compile(r"\S*@\S+|\S+\s?[(\[]at[)\]]\s?\S+|https?://\S+|www\.\S+|(?<![A-Za-z0-9])[A-Za-z]{1,4}-?\d[A-Za-z0-9_-]*")
 _WORD = re.compile(r"[a-zÀ-ɏ]+")
 
 

@@ -29,8 +29,6 @@ from gneiss.llm.language import language, same_language, written_in
 #: others); drawn in hash order of the key.
 TRAINING_PAIRS = 700
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED, COURTESY = "answer", "refusal", "echo", "foreign", "unfinished", "courtesy"
-#: Letters of a label that may stand before a repeated question, at most.
-LABEL_LETTERS = 12
 TAGS = [ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED, COURTESY]
 EMPTY, TRUNCATED, COPY, OTHER_LANGUAGE = "empty", "truncated", "copy", "other_language"
 
@@ -39,9 +37,10 @@ PLACEHOLDERS = {"", "null", "none", "nil", "nan", "na", "nothing", "empty", "und
 #: Set phrases of declining to answer, the seeds from which the field learns.
 REFUSALS = re.compile(
     r"도와\s*드리기\s*(어렵|힘들)|도와\s*드릴\s*수\s*(가\s*)?없(?!었던)|안내해?\s*드릴\s*수\s*(가\s*)?없(?!었던)|답변(을|은)?\s*(드릴|제공할|할)\s*수\s*(가\s*)?없(?!었던)|답(변)?할\s*(권한|수)이?\s*없(?!었던)|답변(이|을)?\s*(드리기\s*)?(어렵|곤란|불가)|말씀드릴\s*수\s*(가\s*)?없(?!었던)"
-    r"|\b(unable|not able|cannot|can't|can not|not possible|must decline|have to decline|not permitted|not allowed)\b[^.]{0,20}\b(assist|help|answer|comment|provide|discuss|respond|information)|\bdecline to (assist|help|answer|comment)|for me to (answer|comment|assist|help|provide)"
-    r"|(お答え|回答|ご案内|対応|お手伝い|お応え)(は|を|も)?(いた|致|し|でき|差し)?[^。]{0,8}(かねます|できません|控え|出来ません)|お役に立てません"
-    r"|无法(回答|提供|协助|回复|处理)|無法(回答|提供)|不便(回答|透露)|恕[^。]{0,4}(无法|不能)|(kann|können|darf) [^.]{0,40}nicht (beantworten|helfen|weiterhelfen)|no (puedo|podemos) (responder|ayudar|ofrecer|proporcionar)",
+    r"|(대답|답변|답|응답|언급|말씀|안내|상담|응대)(을|를|은|는)?\s*(해|하|드리|드려|도와드리)?지\s*(않겠|못\s*(합니다|해|하는|할))|(대답|답변|응답|언급|상담)(을|를|은|는)?\s*(삼가|자제|사양|거절|거부)|(범위|권한|소관|업무)(를|을|에서)?\s*(벗어나|벗어납|벗어난|밖입|밖이라|밖의|아닙|아니라)"
+    r"|\b(unable|not able|cannot|can't|can not|not possible|must decline|have to decline|not permitted|not allowed)\b[^.]{0,20}\b(assist|help|answer|comment|provide|discuss|respond|information)|\bdecline to (assist|help|answer|comment)|for me to (answer|comment|assist|help|provide)|\b(will not|won['’]t) (be able to )?(answer|comment|discuss|respond|assist|help)|\b(outside|beyond) (the scope of )?(what (I|we) can|my (scope|role|authority)|our (scope|role|authority))|\brefrain from (answering|commenting)"
+    r"|(お答え|回答|ご案内|対応|お手伝い|お応え)(は|を|も)?(いた|致|し|でき|差し)?[^。]{0,8}(かねます|できません|控え|出来ません)|お役に立てません|(対応|回答|案内)(できる|可能な)?範囲(を超え|外)|(回答|お答え)(は|を)?(いた|致)?しません"
+    r"|无法(回答|提供|协助|回复|处理)|無法(回答|提供)|不便(回答|透露)|恕[^。]{0,4}(无法|不能)|(不予|不会|拒绝)(回答|回复)|超出[^。]{0,12}范围|(kann|können|darf) [^.]{0,40}nicht (beantworten|helfen|weiterhelfen)|no (puedo|podemos) (responder|ayudar|ofrecer|proporcionar)",
     re.IGNORECASE,
 )
 #: Set phrases that neither answer nor decline.
@@ -100,31 +99,63 @@ def _own(clause: str) -> tuple[tuple[str, ...], str]:
     return tuple(fs), language(clause)
 
 
-def _overlap(s: str, asked: str) -> float:
-    """The share of runs of five letters, taken evenly from ``s``, that the question holds."""
-    if len(s) < 5:
+#: Letters of a run that is looked for in the question.
+_RUN = 5
+
+
+def _runs(s: str) -> set[str]:
+    return {s[i : i + _RUN] for i in range(len(s) - _RUN + 1)}
+
+
+def _overlap(s: str, asked: str, runs: set[str]) -> float:
+    """The share of a clause's runs of five letters that the question holds."""
+    if len(s) < _RUN:
         return float(bool(s) and s in asked)
-    step = max(1, (len(s) - 4) // 12)
-    runs = range(0, len(s) - 4, step)
-    return sum(s[i : i + 5] in asked for i in runs) / len(runs)
+    n = len(s) - _RUN + 1
+    return sum(s[i : i + _RUN] in runs for i in range(n)) / n
+
+
+#: What a label before a repeated question ends with; a word alone may also end with a point or bracket, as in "Q1.".
+_LABEL_SIGN = re.compile(r"[:：=＝>»|\-–—\]】)）\n]\s*$")
+_LABEL_WORD = re.compile(r"^\W*\w+[.)）]\s*$")
+_OPENING = "\"'“‘「『《«„([【（"
+
+
+def repeats(question: str, answer: str) -> bool:
+    """Is the answer nothing but the question, once or more, and at most a label before it? Formatting doesn't count."""
+    asked, said = squeeze(question), squeeze(answer)
+    if not asked or not said.endswith(asked):
+        return False
+    rest = len(said)
+    while rest >= len(asked) and said[rest - len(asked) : rest] == asked:
+        rest -= len(asked)
+    if not rest:
+        return True
+    left = 0
+    for at, c in enumerate(answer):  # where the letters before the question end in the answer as it is written
+        left += len(squeeze(c))
+        if left > rest:
+            break
+    before = answer[:at].rstrip().rstrip(_OPENING)
+    return bool(_LABEL_SIGN.search(before) or _LABEL_WORD.match(before)) and len(clauses(before)) == 1
 
 
 def _pair(question: str, answer: str) -> tuple[list[str], list[list[str]], list[dict]]:
     """Clauses of an answer, the features they have beside their own, and the facts that labels are derived from."""
     parts = clauses(answer)
     asked = squeeze(question)
-    q_lang = language(question)
-    # Nothing but the question, once or more, and at most a label before it: every clause echoes.
-    whole = len(asked) >= 8 and len(squeeze(answer).replace(asked, "")) <= LABEL_LETTERS and asked in squeeze(answer)
+    asked_runs = _runs(asked)
+    q_lang, a_lang = language(question), language(answer)
+    whole = repeats(question, answer)  # then every clause echoes
     features, facts = [], []
     for i, c in enumerate(parts):
         s = squeeze(c)
         own, lang = _own(masked(c))
-        if lang == "zh" and language(answer) == "ja":
+        if lang == "zh" and a_lang == "ja":
             lang = "ja"
         foreign = not same_language(q_lang, lang) and not written_in(c, q_lang)
         contained = whole or len(s) >= 3 and s in asked
-        overlap = 1.0 if contained else _overlap(s, asked)
+        overlap = 1.0 if contained else _overlap(s, asked, asked_runs)
         last = i == len(parts) - 1
         bucket = "all" if contained else str(int(overlap * 5))
         features.append([f"o={bucket}", f"f={foreign}", f"last={last}", f"lastmark={last}{_own_mark(c)}{'ko-final' in own}", f"first={i == 0}", f"of={bucket}{foreign}", f"whole={whole}"])
@@ -222,28 +253,42 @@ def defect(tagged: list[tuple[str, str]], answer: str | None) -> str | None:
     return None
 
 
-def tag_batch(model: crf.ChainCRF, pairs: list[tuple[str | None, str | None]]) -> list[str | None]:
+class Tagger:
+    """Finds the defects of pairs with a trained field. The feature numbers of clauses met before are kept with it,
+    for another field numbers its features otherwise."""
+
+    #: Clauses remembered before they are forgotten; this bounds memory and changes no result.
+    REMEMBERED = 100_000
+
+    def __init__(self, model: crf.ChainCRF):
+        self.model = model
+        self.known: dict[str, list[int]] = {}
+
+    def __reduce__(self):
+        return Tagger, (self.model,)
+
+    def defects(self, pairs: list[tuple[str | None, str | None]]) -> list[str | None]:
+        """The defect of each (question, answer)."""
+        if len(self.known) > self.REMEMBERED:
+            self.known.clear()
+        rows, lengths, parts = [], [], []
+        for question, answer in pairs:
+            p, fs, _ = _pair(question or "", answer) if answer and squeeze(answer) not in PLACEHOLDERS else ([], [], [])
+            for c, extra in zip(p, fs):
+                k = masked(c)
+                own = self.known.get(k)
+                if own is None:
+                    own = self.known[k] = self.model.numbers(_own(k)[0])
+                rows.append(own + self.model.numbers(extra))
+            parts.append(p)
+            lengths.append(len(p))
+        tags = iter(self.model.decode(rows, lengths))
+        return [defect([(c, next(tags)) for c in p], answer) for p, (_, answer) in zip(parts, pairs)]
+
+
+def tag_batch(model: crf.ChainCRF | Tagger, pairs: list[tuple[str | None, str | None]]) -> list[str | None]:
     """The defect of each pair."""
-    known = _KNOWN.setdefault(id(model), {})
-    if len(known) > 100_000:
-        known.clear()
-    rows, lengths, parts = [], [], []
-    for question, answer in pairs:
-        p, fs, _ = _pair(question or "", answer) if answer and squeeze(answer) not in PLACEHOLDERS else ([], [], [])
-        for c, extra in zip(p, fs):
-            k = masked(c)
-            own = known.get(k)
-            if own is None:
-                own = known[k] = model.numbers(_own(k)[0])
-            rows.append(own + model.numbers(extra))
-        parts.append(p)
-        lengths.append(len(p))
-    tags = iter(model.decode(rows, lengths))
-    return [defect([(c, next(tags)) for c in p], answer) for p, (_, answer) in zip(parts, pairs)]
-
-
-#: Feature numbers of clauses met before, per model of this process.
-_KNOWN: dict[int, dict[str, list[int]]] = {}
+    return (model if isinstance(model, Tagger) else Tagger(model)).defects(pairs)
 
 
 def pair_defects(df: DataFrame, key: str, question: str, answer: str, version: str | None = None, training_pairs: int = TRAINING_PAIRS) -> DataFrame:
@@ -261,7 +306,7 @@ def pair_defects(df: DataFrame, key: str, question: str, answer: str, version: s
     numbered = rows.filter(F.col("a").isNotNull()).withColumns({"script": script, "h": F.xxhash64("k", F.lit(23))}).withColumn("n", F.row_number().over(order))
     drawn = numbered.filter(F.col("n") <= training_pairs).select("q", "a", "h", "k").collect()
     model = train([(r[0] or "", r[1]) for r in sorted(drawn, key=lambda r: (r[2], str(r[3]), r[1]))])
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = df.sparkSession.sparkContext.broadcast(Tagger(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

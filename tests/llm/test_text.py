@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from gneiss.llm import crf, language, sentences, splitting, tokenize
+from gneiss.llm import crf, language, pairs, sentences, splitting, tokenize
 
 HAS = os.path.isdir(tokenize.VOCABULARIES)
 MIXED = st.text(alphabet="ab 's't've 가나다\n\t　\xa0é日本。！!?''1２½क्षि🙂‍️I.,-", max_size=60)
@@ -197,3 +197,48 @@ def test_decomposed_korean_shows_the_same_features():
     assert len(a) == len(b) == 2
     for (_, x), (_, y) in zip(a, b):
         assert set(sentences.features_of(x)) == set(sentences.features_of(y))
+
+
+@pytest.mark.parametrize("question, answer, same", [
+    ("배송은 언제 되나요?", "배송은 언제  되나요", True), ("배송은 언제 되나요?", "고객님께서 보내 주신 문의하신 내용은 다음과 같습니다: 배송은 언제 되나요?", True), ("배송은 언제 되나요?", "Q1. 배송은 언제 되나요?", True), ("배송은 언제 되나요?", "[문의 내용]\n『배송은 언제 되나요?』", True),
+    ("되나요?", "되나요?", True), ("배송은 언제 되나요?", "배송은 언제 되나요? 배송은 언제 되나요?", True), ("배송은 언제 되나요?", "내일 출고됩니다. 질문: 배송은 언제 되나요?", False), ("배송은 언제 되나요?", "『배송은 언제 되나요?』 문의 감사합니다. 내일입니다.", False), ("배송은 언제 되나요?", "네 배송은 언제 되나요?", False), ("", "", False), ("?", "내일", False),
+])
+def test_repeated_questions(question, answer, same):
+    assert pairs.repeats(question, answer) is same
+
+
+PAIRS = [(f"{w} 제품을 교환할 수 있나요? 번호는 {i}입니다.", a) for i, (w, a) in enumerate((w, a) for w in ("우산", "시계", "주전자", "가습기") for a in ("수령하신 날부터 7일 안에 교환하실 수 있습니다.", "영업일 기준 3일 안에 환불됩니다. 감사합니다.", "죄송하지만 답변을 드릴 수 없습니다.", "주문 취소는 상품준비중 단계까지만 가능하므로 취소가 어렵습니다."))]
+
+
+def test_two_fields_in_one_process():
+    """Numbers of features belong to the field that gave them, also after another field took its place in memory."""
+    texts = [(q, a) for q, a in PAIRS] + [("언제 오나요?", "수령하신 날부터 7일 안에 교환하실 수")]
+    want = None
+    for turn in range(6):
+        tagger = pairs.Tagger(pairs.train(PAIRS[turn % 2 :] * 3))
+        got = tagger.defects(texts)
+        assert got == tagger.defects(texts) == pairs.Tagger(tagger.model).defects(texts)
+        want = want or got
+        del tagger
+    assert want[2] == "refusal" and want[3] is None
+
+
+def test_overlap_covers_the_whole_clause():
+    asked = pairs.squeeze("x" * 40 + "가나다라마바사아자차카타파하")
+    clause = pairs.squeeze("가나다라마바사아자차카타파하" + "y" * 14)
+    assert abs(pairs._overlap(clause, asked, pairs._runs(asked)) - 10 / 24) < 1e-9
+    assert pairs._overlap("나다", asked, set()) == 1.0 and pairs._overlap("", asked, set()) == 0.0
+
+
+@pytest.mark.parametrize("text", ["그 건에 관해서는 대답하지 않겠습니다.", "제가 처리할 수 있는 범위를 벗어납니다.", "제 권한 밖입니다.", "I won't be able to answer that.", "That is beyond what I can discuss.", "対応できる範囲を超えています。", "回答を差し控えます。", "这超出了我的服务范围。"])
+def test_ways_to_decline(text):
+    assert pairs.REFUSALS.search(text)
+
+
+@pytest.mark.parametrize("text", ["주문 취소가 어렵습니다.", "규정상 환불은 불가합니다.", "앞서 안내해 드릴 수 없었던 부분까지 말씀드립니다.", "Opened items cannot be returned.", "返品できません。", "지역 범위는 안내문과 같습니다."])
+def test_policies_that_forbid_are_answers(text):
+    assert not pairs.REFUSALS.search(text)
+
+
+def test_codes_glued_to_words_hide_no_language():
+    assert language.language("ZP-005705のアロマ加湿器を交換できますか？") == "ja" and language.language("TA-000752가 아직") == "ko"
