@@ -54,20 +54,28 @@ def p6_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return pii.redacted(src, "id", ["content", "answer"], who).distinct()
 
 
+#: The tables of problem 7, and the column that tells when a row was loaded.
+_MESSAGES = (("inquiries", "loaded_at"), ("golden_set", None))
+
+
+def _messages(spark: SparkSession, folder: str, name: str, arrived: str | None) -> DataFrame:
+    return table(spark, folder, name).select("id", "content", *([arrived] if arrived else []))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Copies of a message within one table: (src, first_id, copy_id)."""
     found = None
-    for name in ("inquiries", "golden_set"):
-        src = table(spark, folder, name).select("id", "content")
-        keys = dedup.keyed(src, "id", "content", dedup.known_labels(src, "content"))
-        part = dedup.copies(keys, dedup.ledger_of(keys)).select(F.lit(name).alias("src"), "first_id", "copy_id")
+    for name, arrived in _MESSAGES:
+        src = _messages(spark, folder, name, arrived)
+        keys = dedup.keyed(src, "id", "content", dedup.known_labels(src, "content"), arrived)
+        part = dedup.copies(keys, dedup.merged_ledger(keys)).select(F.lit(name).alias("src"), "first_id", "copy_id")
         found = part if found is None else found.unionByName(part)
     return found
 
 
 def p7_messages(spark: SparkSession, folder: str) -> DataFrame:
-    """One record per message with its number of copies, each table by itself: (src, record_id, copies)."""
-    parts = [dedup.representatives(table(spark, folder, n).select("id", "content"), "id", "content").select(F.lit(n).alias("src"), "record_id", "copies") for n in ("inquiries", "golden_set")]
+    """One record per message, the earliest, with its number of copies, each table by itself: (src, record_id, copies)."""
+    parts = [dedup.representatives(_messages(spark, folder, n, a), "id", "content", a).select(F.lit(n).alias("src"), "record_id", "copies") for n, a in _MESSAGES]
     return parts[0].unionByName(parts[1])
 
 

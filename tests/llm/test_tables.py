@@ -115,14 +115,48 @@ def test_copies(spark):
     assert counts["a1"] == 3 and counts["b1"] == 3 and counts["c1"] == 1
 
 
+def _keys(spark, rows):
+    return dedup.keyed(spark.createDataFrame(rows, "id string, content string, at timestamp"), "id", "content", [], "at")
+
+
 def test_ledger_in_batches_equals_one(spark):
-    df = spark.createDataFrame([(f"{i:03}", f"text {i % 7}") for i in range(200)], "id string, content string")
-    keys = dedup.keyed(df, "id", "content", [])
-    whole = {tuple(r) for r in dedup.ledger_of(keys).select(F.hex("key"), "copies", "first_id").collect()}
-    ledger = dedup.ledger_of(keys.limit(0))
-    for lo, hi in (("100", "999"), ("000", "050"), ("050", "100")):
-        ledger = dedup.update_ledger(ledger, dedup.ledger_of(keys.filter((F.col("record_id") >= lo) & (F.col("record_id") < hi))))
-    assert {tuple(r) for r in ledger.select(F.hex("key"), "copies", "first_id").collect()} == whole
+    from datetime import datetime
+
+    rows = [(f"{i:03}", f"text {i % 7}", datetime(2020 + i * 3 % 4, 1 + i % 12, 1) if i % 11 else None) for i in range(200)]
+    keys = _keys(spark, rows + rows[:20])
+    show = lambda ledger: {tuple(r) for r in ledger.select(F.hex("key"), "copies", "first_id", "earliest.record_id").collect()}
+    assert len(dedup.batches(keys)) == 5
+    assert show(dedup.merged_ledger(keys)) == show(dedup.ledger_of(keys))
+    firsts = {min((a is not None, a, i) for i, t, a in rows if t == f"text {k}")[2] for k in range(7)}
+    assert {r[3] for r in show(dedup.merged_ledger(keys))} == firsts
+    assert dedup.merged_ledger(keys.limit(0)).count() == 0
+
+
+def test_stored_ledger_is_merged_in_its_buckets(spark):
+    from datetime import datetime
+
+    keys = _keys(spark, [(str(i), f"t{i}", datetime(2020 + i % 2, 1, 1)) for i in range(40)])
+    plan = dedup.merged_ledger(keys)._jdf.queryExecution().executedPlan().toString()
+    assert "FullOuter" in plan and plan.count("Exchange hashpartitioning") == 1  # only the batch moves
+
+
+def test_copies_with_rare_labels(spark):
+    """Labels that hardly any form uses are found among the texts of the same letters."""
+    many = [(f"m{i}", f"모델: A{i}\n내용: B{i}") for i in range(2000)]
+    rare = [("r1", "희귀한 라벨: 가나 12 / 다른 이름표: 다라"), ("r2", "다른 이름표 다라 희귀한라벨 가나12"), ("r3", "다른이름표=다라 | 희귀한 라벨=가나12"), ("r4", "희귀한 라벨 다라 다른 이름표 가나12"), ("r5", "가나12다라희귀한라벨다른이름표")]
+    df = spark.createDataFrame(many + rare, "id string, content string")
+    labels = dedup.known_labels(df, "content")
+    assert labels == ["내용", "모델"]
+    keys = dedup.keyed(df, "id", "content", labels)
+    assert {tuple(r) for r in dedup.copies(keys, dedup.ledger_of(keys)).collect()} == {("r1", "r2"), ("r1", "r3")}
+
+
+def test_labels_of_any_length_behind_any_marks(spark):
+    dashes = "-" * 40
+    rows = [("a", f"{dashes}\n고객님 께서 이번에 주문 하신 상품 이름: 우산\n내용: 환불"), ("b", "내용 환불 고객님께서 이번에 주문하신 상품이름 우산"), ("c", "내용: 환불 | 고객님 께서 이번에 주문 하신 상품 이름   = 우산")]
+    df = spark.createDataFrame(rows, "id string, content string")
+    keys = dedup.keyed(df, "id", "content", dedup.known_labels(df, "content"))
+    assert {tuple(r) for r in dedup.copies(keys, dedup.ledger_of(keys)).collect()} == {("a", "b"), ("a", "c")}
 
 
 def test_pair_defects(spark, small):
