@@ -242,3 +242,18 @@ def test_policies_that_forbid_are_answers(text):
 
 def test_codes_glued_to_words_hide_no_language():
     assert language.language("ZP-005705のアロマ加湿器を交換できますか？") == "ja" and language.language("TA-000752가 아직") == "ko"
+
+
+@pytest.mark.parametrize("n", [20, 119, 130, 2000])
+def test_titles_of_any_length(n):
+    title = ("가나다라 " * n)[:n].strip()
+    text = f"첫 조항입니다.\n6-15. {title}\n내용입니다.\n6-16. {title}.\n끝"
+    assert splitting.headings(text) == [(9, "6-15")]
+
+
+def test_long_lines_without_headings_are_quick():
+    import time
+
+    began = time.time()
+    assert splitting.headings(("6-15. " + "word " * 20_000 + ".\n") * 5) == []
+    assert time.time() - began < 5
