@@ -23,7 +23,7 @@ def _chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Articles of every chunk that is cut: (id, article)."""
-    return splitting.split_rows(_chunks(spark, folder), "id", "content", "article", with_text=False).select("id", "article").distinct()
+    return splitting.articles_of(table(spark, folder, "policy_chunks"), "id", "content", "article", "loaded_at")
 
 
 def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:

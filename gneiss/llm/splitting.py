@@ -146,3 +146,24 @@ def split_rows(df: DataFrame, key: str, text: str, own: str, limit: int = LIMIT,
 
     long = df.filter(F.length(text) > limit).select(F.col(key), F.col(own).cast("string").alias("own"), F.col(text).alias("content"))
     return long.mapInArrow(run, schema)
+
+
+def articles_of(df: DataFrame, key: str, text: str, own: str, version: str, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """(key, article): the articles of every text longer than ``limit``, each once.
+
+    Of a key loaded several times the row of the smallest ``version`` counts (ties: the smallest list of
+    articles). The rows of a key meet as lists of articles, so texts are never shuffled.
+    """
+    types = dict(df.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for article, content in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                found.append(None if content is None else list(dict.fromkeys(article if a is None else a for *_, a in split_text(content, limit, overlap))))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.string()))], names=["k", "v", "articles"])
+
+    rows = df.select(F.col(key).alias("k"), F.col(version).alias("v"), F.col(own).cast("string").alias("own"), F.when(F.length(text) > limit, F.col(text)).alias("content"))
+    lists = rows.mapInArrow(run, f"k {types[key]}, v {types[version]}, articles array<string>")
+    one = lists.groupBy("k").agg(F.min(F.struct("v", "articles"))["articles"].alias("articles"))
+    return one.select(F.col("k").alias(key), F.explode("articles").alias("article"))

@@ -52,6 +52,15 @@ def test_pieces_table(spark):
     assert splitting.split_rows(df.limit(0), "id", "content", "article").count() == 0
 
 
+def test_articles_of_the_earliest_load(spark):
+    long = "가. " * 300 + "\n6-15. 제목\n" + "나. " * 10
+    rows = [(1, "1-1", long, 2, "x"), (1, "1-1", "짧음", 3, "x"), (2, "2-1", "짧음", 1, "x"), (2, "2-1", long, 2, "x"), (3, None, long, 1, "x"), (4, "4-1", None, None, "x"), (5, "5-1", long, 1, "x"), (5, "5-1", long, 1, "x")]
+    df = spark.createDataFrame(rows, "id long, article string, content string, v int, articles string")
+    got = sorted((r.id, r.article or "") for r in splitting.articles_of(df, "id", "content", "article", "v").collect())
+    assert got == [(1, "1-1"), (1, "6-15"), (3, ""), (3, "6-15"), (5, "5-1"), (5, "6-15")]
+    assert splitting.articles_of(df.limit(0), "id", "content", "article", "v").count() == 0
+
+
 def test_token_table(spark):
     if not __import__("os").path.isdir(tokenize.VOCABULARIES):
         pytest.skip("no vocabularies here")
