@@ -37,21 +37,22 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.pair_defects(answered, "id", "content", "answer", version="loaded_at")
 
 
-def _pii(spark: SparkSession, folder: str) -> tuple[DataFrame, pii.Finder]:
-    src = table(spark, folder, "inquiries").select("id", "content", "answer")
-    return src, pii.finder(src, ["content", "answer"], table(spark, folder, "shop_orders"), "customer_name")
+def _pii(spark: SparkSession, folder: str) -> tuple[DataFrame, pii.Contexts, DataFrame]:
+    """Inquiries, how candidates are found in them, and the entities of the order table."""
+    src, orders = table(spark, folder, "inquiries").select("id", "content", "answer"), table(spark, folder, "shop_orders")
+    return src, pii.Contexts(pii.family_names(orders, "customer_name")), pii.seed_table(orders, "customer_name", "customer_phone", "customer_email", "shipping_address")
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data in both texts of an inquiry: (id, field, pii_type, start_pos)."""
-    src, who = _pii(spark, folder)
-    return pii.found_rows(src, "id", ["content", "answer"], who).select("id", "field", "pii_type", "start_pos")
+    src, contexts, seeds = _pii(spark, folder)
+    return pii.found_rows(src, "id", ["content", "answer"], contexts, seeds).select("id", "field", "pii_type", "start_pos")
 
 
 def p6_redacted(spark: SparkSession, folder: str) -> DataFrame:
     """Both texts of every inquiry with personal data replaced by its type: (id, content, answer)."""
-    src, who = _pii(spark, folder)
-    return pii.redacted(src, "id", ["content", "answer"], who).distinct()
+    src, contexts, seeds = _pii(spark, folder)
+    return pii.redacted(src, "id", ["content", "answer"], pii.finder(src, "id", ["content", "answer"], contexts, seeds)).distinct()
 
 
 #: The tables of problem 7, and the column that tells when a row was loaded.

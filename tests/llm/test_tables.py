@@ -190,6 +190,7 @@ def test_shapes(text, want):
 
 
 HINTED = [
+    ("Ship to 12 Green Street, Dover, it’s urgent", [("address", 8)]), ("東京都港区芝公園4-2-8です", [("address", 0)]), ("배송지는 솔내시 느티나무길 87, 다래오피스텔 129동", [("address", 5)]), ("느티나무길 87 푸른숲아파트", [("address", 0)]),
     ("住所は露野県朝凪市若草1-2-3です", [("address", 3)]), ("朝凪市若草12-3", [("address", 0)]), ("市内は通常3-5日で届きます", []), ("Ship to 12 Green Street, please 🙂", [("address", 8)]), ("I’m at 12 Green Street", [("address", 7)]), ("주소 178 SOLHYANG-GIL 입니다", [("address", 3)]), ("moss1 [at) example.com", [("email", 0)]),
 ]
 
@@ -199,34 +200,77 @@ def test_hints_drop_no_match(text, want):
     assert [(k, a) for a, _, k in pii.shaped(text)] == want
 
 
-def test_names_by_bootstrap(spark):
-    given = [a + b for a in "리채람소미별" for b in "온현솔해담"]
-    people = [f + g for f in "김표육맹" for g in given]
-    rows = [(str(i), f"제 이름은 {n}입니다. 확인 부탁드려요.", None) for i, n in enumerate(people[:60])]
-    rows += [(f"n{i}", "접이식 캠핑 웨건 주문입니다.", f"어제 오신 {n} 씨께 전했습니다.") for i, n in enumerate(people[50:90])]
-    rows += [("t", "고객님 이름으로 된 쿠폰이라고 떠요.", ""), ("u", None, None)]
-    df = spark.createDataFrame(rows, "id string, content string, answer string").withColumn("start_pos", F.lit(1))
-    persons = spark.createDataFrame([(n[0] + " " + n[1:] if i % 9 == 0 else n,) for i, n in enumerate(people[:20])] + [(None,)], "who string")
-    who = pii.finder(df, ["content", "answer"], persons, "who")
-    assert any("씨께" in p for p in who.trusted)  # learned, not given
-    found = {(r.id, r.field, r.pii_type) for r in pii.found_rows(df, "id", ["content", "answer"], who).collect()}
-    assert {(f"n{i}", "answer", "name") for i in range(40)} <= found and ("0", "content", "name") in found
-    assert not any(i in ("t", "u") for i, _, _ in found)
-    out = {r.id: (r.content, r.answer) for r in pii.redacted(df, "id", ["content", "answer"], who).collect()}
-    assert out["0"][0] == "제 이름은 [name]입니다. 확인 부탁드려요." and out["u"] == (None, None)
-    empty = pii.finder(df.limit(0), ["content", "answer"], persons.limit(0), "who")
-    assert pii.found_rows(df.limit(0), "id", ["content", "answer"], empty).count() == 0
+GIVEN = [a + b for a in "리채람소미별" for b in "온현솔해담"]
+PEOPLE = [f + g for f in "김표육맹" for g in GIVEN]
+
+
+def _persons(spark):
+    rows = [(n[0] + " " + n[1:] if i % 9 == 0 else n, f"010-1234-{5000 + i}", f"user{i}@example.com", f"마루도 해오름구 구름다리길 {i + 1}") for i, n in enumerate(PEOPLE[:20])]
+    return spark.createDataFrame([*rows, (None, None, None, None), ("", " ", "x", "y")], "who string, phone string, mail string, address string")
+
+
+def _bootstrapped(spark, df, texts=("content", "answer")):
+    persons = _persons(spark)
+    contexts, seeds = pii.Contexts(pii.family_names(persons, "who")), pii.seed_table(persons, "who", "phone", "mail", "address")
+    return contexts, seeds, pii.finder(df, "id", list(texts), contexts, seeds)
+
+
+@pytest.fixture(scope="module")
+def corpus(spark):
+    rows = [(str(i), f"제 이름은 {n}입니다. 확인 부탁드려요.", None) for i, n in enumerate(PEOPLE[:60])]
+    rows += [(f"n{i}", "접이식 캠핑 웨건 주문입니다.", f"어제 오신 {n} 씨께 전했습니다.") for i, n in enumerate(PEOPLE[50:90])]
+    rows += [(f"p{i}", f"제 연락처는 010-2222-{1000 + i}입니다.", f"등록된 010-3333-{1000 + i}(으)로 연락드립니다.") for i in range(30)]
+    rows += [(f"s{i}", None, f"등록된 1588-{1000 + i}(으)로 연락드립니다.") for i in range(6)]
+    rows += [(f"r{i}", f"주민번호 9101{i:02}-1{i:02}4567 맞나요?", None) for i in range(10, 30)]
+    rows += [("t", "고객님 이름으로 된 쿠폰이라고 떠요.", ""), ("u", None, None), ("v", "메일은 New.User@Other.example 입니다", "누리도 초롱시 참나무로 12 앞에")]
+    return spark.createDataFrame(rows, "id string, content string, answer string").withColumns({"start_pos": F.lit(1), "k": F.lit("x"), "pii_type": F.lit("y")})
+
+
+def test_all_types_by_bootstrap(spark, corpus):
+    contexts, seeds, who = _bootstrapped(spark, corpus)
+    learned = lambda kind, slot, text: pii.pattern_id(slot, kind, text) in who.trusted
+    assert learned("name", pii.SHORT, "|씨께") and learned("phone", pii.LEFT, "등록된")  # learned, not given
+    assert learned("phone", pii.FORM, "mobile") and learned("phone", pii.FORM, "service")  # the second by what it shares places with
+    rows = {tuple(r) for r in pii.found_rows(corpus, "id", ["content", "answer"], contexts, seeds).collect()}
+    found = {r[:3] for r in rows}
+    assert {(f"n{i}", "answer", "name") for i in range(40)} | {(f"p{i}", f, "phone") for i in range(30) for f in ("content", "answer")} | {(f"s{i}", "answer", "phone") for i in range(6)} | {(f"r{i}", "content", "id_number") for i in range(10, 30)} <= found
+    assert {("0", "content", "name"), ("v", "content", "email"), ("v", "answer", "address")} <= found and not any(i in ("t", "u") for i, *_ in found)
+    alone = {(r.id, f, k, a, b) for r in corpus.collect() for f in ("content", "answer") for a, b, k in who.find(r[f])}
+    assert alone == rows  # one text at a time or all by joins
+    out = {r.id: (r.content, r.answer) for r in pii.redacted(corpus, "id", ["content", "answer"], who).collect()}
+    assert out["0"][0] == "제 이름은 [name]입니다. 확인 부탁드려요." and out["u"] == (None, None) and out["v"] == ("메일은 [email] 입니다", "[address] 앞에")
+
+
+def test_empty_tables_have_no_personal_data(spark, corpus):
+    persons = _persons(spark).limit(0)
+    contexts, seeds = pii.Contexts(pii.family_names(persons, "who")), pii.seed_table(persons, "who", "phone", "mail", "address")
+    assert pii.found_rows(corpus.limit(0), "id", ["content", "answer"], contexts, seeds).count() == 0
 
 
 def test_patterns_are_learned_whatever_the_size(spark):
-    given = [a + b for a in "리채람소미별" for b in "온현솔해담"]
-    people = [f + g for f in "김표육맹" for g in given]
-    rows = [f"제 이름은 {n}입니다. 확인 부탁드려요." for n in people[:60]] + [f"어제 오신 {n} 씨께 전했습니다." for n in people[50:90]]
+    rows = [f"제 이름은 {n}입니다. 확인 부탁드려요." for n in PEOPLE[:60]] + [f"어제 오신 {n} 씨께 전했습니다." for n in PEOPLE[50:90]]
     df = spark.createDataFrame([(f"{k}-{i}", t) for k in range(12) for i, t in enumerate(rows)], "id string, content string")
-    persons = spark.createDataFrame([(n,) for n in people[:20]], "who string")
-    once = pii.finder(df.filter(F.col("id").startswith("0-")), ["content"], persons, "who")
-    often = pii.finder(df, ["content"], persons, "who")
-    assert any("씨께" in p for p in often.trusted) and once.trusted == often.trusted
+    once, often = (_bootstrapped(spark, d, ["content"])[2] for d in (df.filter(F.col("id").startswith("0-")), df))
+    assert pii.pattern_id(pii.SHORT, "name", "|씨께") in often.trusted and once.trusted == often.trusted
+
+
+def test_shapes_alone_are_not_enough(spark):
+    """A value of a form that no seed has, in a place that nothing trusted shares, isn't found."""
+    df = spark.createDataFrame([("a", "부품 코드 1588-1234 참고")], "id string, content string")
+    assert _bootstrapped(spark, df, ["content"])[2].find("부품 코드 1588-1234 참고") == []
+
+
+NAMES = [
+    ("제 이름은 김구입니다.", ["김구"]), ("제 이름은 남궁민수입니다.", ["남궁민수"]), ("제 이름은 김민수입니다.", ["김민수"]), ("성함:김민수", ["김민수"]), ("수령인 허준 님", ["허준"]), ("김민수고객님께서 오셨어요", ["김민수"]), ("임 주은님께서 문의하신 건", ["임 주은"]), ("(신청인 신 새새)", ["신 새새"]),
+    ("My name is Mary Ann Smith.", ["Mary Ann Smith"]), ("Dear Madonna, hello", ["Madonna"]), ("Regards, John F. Kennedy", ["John F. Kennedy"]), ("Dear Brannock Vaskell, We have it", ["Brannock Vaskell"]), ("名前は露木蒼太朗です。", ["露木蒼太朗"]), ("고객님 이름으로 된 쿠폰", []), ("주문은 됩니다", []),
+]
+
+
+@pytest.mark.parametrize("text, want", NAMES)
+def test_names_of_any_length_are_whole(text, want):
+    contexts = pii.Contexts(set(pii.FAMILY_NAMES) | {x[0] for x in pii.LONG_FAMILY_NAMES})
+    seeds = {pii.pattern_id(pii.SEED, "name", str(i)) for i in range(len(pii.SEED_NAMES))}
+    assert [text[a:b] for a, b, k in pii.Finder(contexts, seeds).find(text)] == want
 
 
 def test_sentence_table(spark, small):
