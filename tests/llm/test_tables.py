@@ -3,6 +3,7 @@
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,13 +37,67 @@ def test_neighbours_of_many_copies_and_blocks(spark):
     rng = np.random.default_rng(5)
     rows = [(i, "a", [1.0] * 8) for i in range(40)] + [(i, "a", rng.normal(size=8).tolist()) for i in range(40, 100)]
     v = neighbours.usable_vectors(spark.createDataFrame(rows, "id long, grp string, v array<double>"), "id", "v", "grp", 8)
-    small = {(r.id, r.other) for r in neighbours.neighbours(v, 3, block=8, files=40, reranked=99).collect()}
-    large = {(r.id, r.other) for r in neighbours.neighbours(v, 3, files=40, reranked=99).collect()}
-    assert small == large and len(large) == 300
+    small = {(r.id, r.other) for r in neighbours.neighbours(v, 3, block=8, files=40, length=40, reranked=99).collect()}
+    large = {(r.id, r.other) for r in neighbours.neighbours(v, 3, files=40, length=40, reranked=99).collect()}
+    assert len(large) == 300 and len(small & large) > 250
+    assert {x for x in small if x[0] < 40} == {x for x in large if x[0] < 40}
     assert {o for i, o in large if i == 30} == {0, 1, 2}
     assert neighbours.neighbours(v.limit(0), 3).count() == 0
 
 
+def test_classes_of_copies_in_parts(spark, monkeypatch):
+    """Classes larger than a task's part, hot ones, and ones of at most k members."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(30, 8))
+    rows = [(i, "a", base[0 if i < 200 else 1 if i < 203 else i % 28 + 2].tolist()) for i in range(231)]
+    v = neighbours.usable_vectors(spark.createDataFrame(rows, "id long, grp string, v array<double>"), "id", "v", "grp", 8)
+    plain = {(r.id, r.other, round(r.sim, 5)) for r in neighbours.neighbours(v, 4, files=8, reranked=99).collect()}
+    monkeypatch.setattr(neighbours, "MEMBERS", 7)
+    assert {(r.id, r.other, round(r.sim, 5)) for r in neighbours.neighbours(v, 4, files=8, reranked=99).collect()} == plain
+    assert {o for i, o, _ in plain if i == 150} == {0, 1, 2, 3} and {o for i, o, s in plain if i == 2} == {0, 1, 3, 4}
+    assert {200, 201} <= {o for i, o, _ in plain if i == 202} and sum(i == 202 for i, _, _ in plain) == 4
+
+
+def test_directions_that_differ_by_less_than_the_stored_bits_are_no_copies(spark):
+    near = [1.0, 0.5, 0.25]
+    rows = [(1, "a", near), (2, "a", [1.0, 0.5, 0.2500001]), (3, "a", near), (4, "a", [2.0, 1.0, 0.5])]
+    v = neighbours.usable_vectors(spark.createDataFrame(rows, "id long, grp string, v array<double>"), "id", "v", "grp", 3)
+    same = {r.id: bytes(r.same) for r in v.collect()}
+    assert same[1] == same[3] == same[4] != same[2]
+
+
+def test_footrule_is_its_definition():
+    rng = np.random.default_rng(1)
+    lists = np.stack([rng.permutation(30)[:6] for _ in range(40)]).astype("<i2")
+    got = neighbours._footrule(lists[:10], lists, 30)
+    place = lambda row, p: int(np.flatnonzero(row == p)[0]) if p in row else 6  # noqa: E731  # right after the end where it is missing
+    want = np.array([[sum(abs(place(a, p) - place(b, p)) for p in set(a) | set(b)) for b in lists] for a in lists[:10]])
+    assert len(set((got - want).ravel().tolist())) == 1
+
+
+def test_recall_with_default_parameters(spark):
+    """100,000 vectors in clusters of all sizes; files are larger than what is reranked, so ranking by footrule decides."""
+    rng = np.random.default_rng(11)
+    n, d = 100_000, 24
+    centres = rng.normal(size=(400, d))
+    around = rng.normal(size=(400, 5, d))  # a cluster spreads in five directions of its own
+    which = rng.zipf(1.3, n) % 400
+    m = (centres[which] + 0.3 * np.einsum("nk,nkd->nd", rng.normal(size=(n, 5)), around[which])).astype(np.float32)
+    table = pa.table({"id": pa.array(np.arange(n)), "grp": pa.array(["a"] * n), "v": pa.array(list(m), pa.list_(pa.float32()))})
+    df = spark.createDataFrame(table)
+    got = neighbours.neighbours(neighbours.usable_vectors(df, "id", "v", "grp", d), 5).filter("id % 500 = 0")
+    rows = {}
+    for r in got.collect():
+        rows.setdefault(r.id, set()).add(r.other)
+    unit = m / np.linalg.norm(m, axis=1)[:, None]
+    asked = np.arange(0, n, 500)
+    s = unit[asked] @ unit.T
+    s[np.arange(len(asked)), asked] = -2
+    best = np.argpartition(-s, 5, axis=1)[:, :5]
+    assert all(len(rows[int(i)]) == 5 for i in asked)
+    assert np.mean([int(b) in rows[int(i)] for i, row in zip(asked, best) for b in row]) > 0.9
+
+
 def test_pieces_table(spark):
     rows = [(1, "1-1", "x" * 601, "p"), (2, None, "짧음", "p"), (3, None, None, "p"), (4, None, "가. " * 400, "p"), (5, "5-1", "\n" * 700, "p")]
     df = spark.createDataFrame(rows, "id long, article string, content string, piece string")
