@@ -111,102 +111,134 @@ def typed_triples(df: DataFrame, record_id: str, column: str, wanted: list[str]
 _TOKEN = re.compile(r'[ \t\n\r]*(?:([\[\]{}:,])|("(?:[^"\\\x00-\x1f]|\\.)*")|(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?)|(true|false|null))', re.ASCII)
 
 
-def _parse_deep(text: str):
-    """A JSON value of any depth, without recursion; ValueError when the text is none."""
-    at, stack, done, value = 0, [], False, None
-    # A frame is [container, key or None, state]; states: "first" (may close), "item" (needs one), "next" (comma or close).
-    def put(v):
-        nonlocal value, done
-        if not stack:
-            value, done = v, True
-        else:
-            top = stack[-1]
-            if isinstance(top[0], list):
-                top[0].append(v)
-            else:
-                top[0][top[1]] = v
-                top[1] = None
-            top[2] = "next"
-
+def events(text: str) -> Iterator[tuple[str, object]]:
+    """The parts of a JSON text in order: open and close with their bracket, key, string, number, boolean and null
+    with their value. ValueError where it isn't JSON (also for NaN and Infinity); depth isn't limited, and
+    nothing is kept but the open brackets."""
+    at, stack, state, key = 0, [], "item", False
+    # States: "first" (an item or the end), "item" (an item), "next" (a comma or the end).
     while True:
         m = _TOKEN.match(text, at)
         if not m:
             break
         at = m.end()
         mark, string, number, word = m.groups()
-        if done:
+        if state == "done":
             raise ValueError("more after the value")
-        top = stack[-1] if stack else None
         if mark in ("]", "}"):
-            if not top or isinstance(top[0], list) != (mark == "]") or top[2] not in ("first", "next") or (mark == "}" and top[1] is not None):
+            if not stack or stack.pop() != mark or state == "item" or key:
                 raise ValueError("unbalanced")
-            stack.pop()
-            put(top[0])
-            continue
-        if mark == ",":
-            if not top or top[2] != "next":
+            yield "close", mark
+            state = "next" if stack else "done"
+        elif mark == ",":
+            if state != "next":
                 raise ValueError("comma")
-            top[2] = "item"
-            continue
-        if top and isinstance(top[0], dict) and top[1] is None:
-            if string is None or top[2] == "next":
+            state = "item"
+        elif state == "next" or mark == ":":
+            raise ValueError("order")
+        elif stack and stack[-1] == "}" and not key:
+            if string is None:
                 raise ValueError("key")
-            top[1] = json.loads(string)
             colon = _TOKEN.match(text, at)
             if not colon or colon.group(1) != ":":
                 raise ValueError("colon")
-            at, top[2] = colon.end(), "item"
-            continue
-        if mark == ":" or top and top[2] == "next":
-            raise ValueError("order")
-        if mark:
-            stack.append([[] if mark == "[" else {}, None, "first"])
+            at, key, state = colon.end(), True, "item"
+            yield "key", json.loads(string)
+        elif mark:
+            stack.append("]" if mark == "[" else "}")
+            yield "open", mark
+            state, key = "first", False
         else:
-            put(json.loads(string if string is not None else number if number is not None else word))
-    if not done or text[at:].strip(" \t\n\r"):
+            if string is not None:
+                yield STRING, json.loads(string)
+            elif number is not None:
+                yield NUMBER, json.dumps(json.loads(number))
+            else:
+                yield (NULL, None) if word == "null" else (BOOLEAN, word)
+            state, key = "next" if stack else "done", False
+    if state != "done" or text[at:].strip(" \t\n\r"):
         raise ValueError("no JSON")
-    return value
 
 
-def parse_json(text: str):
-    """The value of a JSON text; ValueError when it is none. Depth is not limited."""
-    try:
-        return json.loads(text)
-    except RecursionError:
-        return _parse_deep(text)
-
-
-def value_triples(root) -> Iterator[tuple[str, list[int], str, str | None]]:
-    """Triples of a parsed value in stored order, with an own stack instead of recursion."""
-    stack = [(root, "", [])]
-    while stack:
-        v, path, ords = stack.pop()
-        if isinstance(v, dict):
-            yield path, ords, OBJECT, None
-            stack.extend((x, child_path(path, k), ords) for k, x in reversed(v.items()))
-        elif isinstance(v, list):
-            yield path, ords, ARRAY, None
-            p = element_path(path)
-            stack.extend((v[i], p, [*ords, i]) for i in range(len(v) - 1, -1, -1))
-        elif v is None:
-            yield path, ords, NULL, None
-        elif isinstance(v, bool):
-            yield path, ords, BOOLEAN, "true" if v else "false"
-        elif isinstance(v, str):
-            yield path, ords, STRING, v
+def _overridden(text: str) -> set[int]:
+    """Numbers of the keys, counted through the text, that the same object has again later. Reads all of the text,
+    so ValueError comes before anything is made of it."""
+    hidden: set[int] = set()
+    keys: list[dict[str, int] | None] = []
+    n = 0
+    for event, value in events(text):
+        if event == "open":
+            keys.append({} if value == "{" else None)
+        elif event == "close":
+            keys.pop()
+        elif event == "key":
+            if value in keys[-1]:
+                hidden.add(keys[-1][value])
+            keys[-1][value] = n
+            n += 1
+    return hidden
+
+
+def stream_triples(text: str, keep: set[str] | None = None) -> Iterator[tuple[str, list[int], str, str | None]]:
+    """(path, ordinals, kind, value) of every value of a JSON text in stored order, without building it; ValueError
+    where it isn't JSON. Of repeated keys of an object the last counts. ``keep`` limits the paths given."""
+    hidden = _overridden(text)
+    paths, ordinals, counters = [""], [], []  # one path, and for lists one counter, per open bracket
+    n, skip = 0, 0
+    pending = ""
+    for event, value in events(text):
+        if event == "key":
+            if n in hidden and not skip:
+                skip = 1
+                depth = len(counters)
+            pending = value
+            n += 1
+            if skip and len(counters) > depth:
+                pending = ""
+            continue
+        if event == "close":
+            counters.pop()
+            if skip and len(counters) == depth:
+                skip = 0
+                continue
+            if not skip:
+                paths.pop()
+                if value == "]":
+                    ordinals.pop()
+            continue
+        if skip:
+            if event == "open":
+                counters.append(value)
+            elif len(counters) == depth:
+                skip = 0
+            continue
+        inside = counters[-1] if counters else None
+        if inside == "[":
+            ordinals[-1] += 1
+            path = element_path(paths[-1])
         else:
-            yield path, ords, NUMBER, json.dumps(v)
-
-
-def unwrap_text_object(root):
-    """If the value is a string that itself holds a JSON object, that object; else the value."""
-    if isinstance(root, str):
-        try:
-            inner = parse_json(root)
-        except ValueError:
-            return root
-        return inner if isinstance(inner, dict) else root
-    return root
+            path = child_path(paths[-1], pending) if inside else ""
+        if keep is None or path in keep:
+            yield path, list(ordinals), (OBJECT if value == "{" else ARRAY) if event == "open" else event, None if event == "open" else value
+        if event == "open":
+            counters.append(value)
+            paths.append(path)
+            if value == "[":
+                ordinals.append(-1)
+
+
+def text_object(text: str) -> str:
+    """If the text is a JSON string that itself holds a JSON object, the text of that object; else the text."""
+    if text.lstrip(" \t\n\r")[:1] != '"':
+        return text
+    try:
+        (event, inner), *more = events(text)
+        if next(events(inner)) == ("open", "{"):
+            _overridden(inner)
+            return inner
+    except (ValueError, StopIteration):
+        pass
+    return text
 
 
 def _valid(text: str) -> str:
@@ -214,6 +246,14 @@ def _valid(text: str) -> str:
     return text.encode("utf-8", "replace").decode("utf-8")
 
 
+def _triples_or_invalid(text: str, keep: set[str] | None) -> Iterator[tuple[str, list[int], str, str | None]]:
+    try:
+        yield from stream_triples(text, keep)
+    except ValueError:  # comes before the first triple
+        if keep is None or "" in keep:
+            yield "", [], INVALID, text
+
+
 def json_triples(df: DataFrame, record_id: str, column: str, unwrap_text: bool = False, wanted: list[str] | None = None) -> DataFrame:
     """Triples of a column of JSON text of any shape and depth.
 
@@ -232,18 +272,12 @@ def json_triples(df: DataFrame, record_id: str, column: str, unwrap_text: bool =
             for rid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if text is None:
                     continue
-                try:
-                    root = parse_json(text)
-                    triples = value_triples(unwrap_text_object(root) if unwrap_text else root)
-                except ValueError:
-                    triples = iter([("", [], INVALID, text)])
-                for path, ords, kind, value in triples:
-                    if keep is None or path in keep:
-                        for to, x in zip(out, (rid, path, ords, kind, value if value is None else _valid(value))):
-                            to.append(x)
-                if len(out[0]) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, arrow)], schema=arrow)
-                    out = ([], [], [], [], [])
+                for path, ords, kind, value in _triples_or_invalid(text_object(text) if unwrap_text else text, keep):
+                    for to, x in zip(out, (rid, path, ords, kind, value if value is None else _valid(value))):
+                        to.append(x)
+                    if len(out[0]) > 50_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, arrow)], schema=arrow)
+                        out = ([], [], [], [], [])
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, arrow)], schema=arrow)
 

@@ -9,35 +9,54 @@ from gneiss.operators import nested
 VALUES = st.recursive(st.none() | st.booleans() | st.integers(-1000, 1000) | st.text(max_size=6), lambda c: st.lists(c, max_size=4) | st.dictionaries(st.text(max_size=5), c, max_size=4), max_leaves=20)
 
 
-@given(VALUES)
-@settings(max_examples=150, deadline=None)
-def test_triples_have_each_value_once_in_order(value):
-    flat = list(nested.value_triples(value))
-
-    def count(v):
-        return 1 + sum(map(count, v.values() if isinstance(v, dict) else v if isinstance(v, list) else []))
-
-    assert len(flat) == count(value)
-    assert len({(p, tuple(o)) for p, o, _, _ in flat}) == len(flat)
+def tree_triples(v, path="", ords=()):
+    """Triples by recursion over a parsed value: what the stream must equal."""
+    if isinstance(v, dict):
+        yield path, list(ords), nested.OBJECT, None
+        for k, x in v.items():
+            yield from tree_triples(x, nested.child_path(path, k), ords)
+    elif isinstance(v, list):
+        yield path, list(ords), nested.ARRAY, None
+        for i, x in enumerate(v):
+            yield from tree_triples(x, nested.element_path(path), (*ords, i))
+    else:
+        kind = nested.NULL if v is None else nested.BOOLEAN if isinstance(v, bool) else nested.STRING if isinstance(v, str) else nested.NUMBER
+        yield path, list(ords), kind, None if v is None else v if isinstance(v, str) else json.dumps(v)
 
 
 @given(VALUES)
-@settings(max_examples=150, deadline=None)
-def test_deep_parser_equals_json(value):
+@settings(max_examples=300, deadline=None)
+def test_stream_equals_the_parsed_tree(value):
     for text in (json.dumps(value), json.dumps(value, indent=2, ensure_ascii=False)):
-        assert nested._parse_deep(text) == value
+        assert list(nested.stream_triples(text)) == list(tree_triples(value))
+
 
+@given(st.lists(st.tuples(st.sampled_from("abc"), VALUES), max_size=6))
+@settings(max_examples=200, deadline=None)
+def test_of_repeated_keys_the_last_counts(pairs):
+    text = '{"o": {' + ", ".join(f'"{k}": {json.dumps(v)}' for k, v in pairs) + '}, "x": [1, {"a": 2, "a": [3]}]}'
+    order = lambda ts: sorted(map(repr, ts))
+    assert order(nested.stream_triples(text)) == order(tree_triples(json.loads(text)))
 
-@pytest.mark.parametrize("text", ["", "{", "[1,]", "[1 2]", '{"a" 1}', '{"a":1,}', "nul", "1 2", '"a', "{1:2}", "[,1]", "01", "]", '{"a":}'])
-def test_deep_parser_rejects(text):
+
+@pytest.mark.parametrize("text", ["", "{", "[1,]", "[1 2]", '{"a" 1}', '{"a":1,}', "nul", "1 2", '"a', "{1:2}", "[,1]", "01", "]", '{"a":}', "NaN", '{"a": Infinity}', "[-Infinity]", '{"a":1 "b":2}', "{:1}", '{"a":1]', '{"a"}', "[}"])
+def test_stream_rejects(text):
     with pytest.raises(ValueError):
-        nested._parse_deep(text)
+        list(nested.stream_triples(text))
 
 
 def test_very_deep_text():
     deep = "[" * 50_000 + "]" * 50_000
-    value = nested.parse_json(deep)
-    assert sum(1 for _ in nested.value_triples(value)) == 50_000
+    assert sum(1 for _ in nested.stream_triples(deep, {"", "[]"})) == 2
+    with pytest.raises(ValueError):
+        next(nested.stream_triples("[" * 50_000 + "NaN" + "]" * 50_000))
+
+
+def test_text_objects():
+    inner = json.dumps({"a": [1]})
+    assert nested.text_object(json.dumps(inner)) == inner and nested.text_object(inner) == inner
+    for text in ('"x"', '"[1]"', json.dumps("{broken"), "7", '"', json.dumps(json.dumps(inner))):
+        assert nested.text_object(text) == text
 
 
 def test_json_tables(spark):
