@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.functions.text import strip_white
-from gneiss.operators import chunking, metrics, retrieval
-from gneiss.tables import one_per_key, table
+from gneiss.operators import chunking, metrics, retrieval, skew
+from gneiss.session import cut_lineage
+from gneiss.tables import records_of, table
 
 K, CUT, TAU = 5, 0.2, 0.08
 CUTS = metrics.axis("0.00", "0.60", "0.05")
@@ -63,7 +64,7 @@ def abstention_statistics(spark, folder):
 
 def abstention_gate(spark, folder):
     """What is adopted once queries of too small a spread abstain."""
-    hits = _hits(spark, folder)
+    hits = cut_lineage(_hits(spark, folder))  # read twice: the gate and what passes it
     kept = retrieval.adopted(hits, "similarity", CUT, retrieval.statistics(hits, "similarity", K), "spread", TAU)
     return kept.select("case_id", "evidence_id", "rank")
 
@@ -74,11 +75,11 @@ def merge_max_ranking(spark, folder):
 
 
 def _fused(spark, folder):
-    return retrieval.fuse(_hits(spark, folder, 20), _hits(spark, folder, 20, dimensions=32))
+    return cut_lineage(retrieval.fuse(_hits(spark, folder, 20), _hits(spark, folder, 20, dimensions=32)))
 
 
 def rrf_fusion(spark, folder):
-    """The two rankings fused by reciprocal ranks."""
+    """Two vector rankings fused by reciprocal ranks (``hybrid_fusion`` fuses one with BM25)."""
     return _round(_fused(spark, folder).filter(F.col("rank") <= POOL), "rrf").select("case_id", "evidence_id", "rank", "rrf")
 
 
@@ -91,9 +92,9 @@ def rerank_tail(spark, folder):
 
 def bm25_rank(spark, folder):
     """The 5 best clauses by BM25 over character bigrams for every golden question of a number divisible by 20."""
-    g = one_per_key(table(spark, folder, "golden_set").select("id", "content"), ["id"], None, ["content"])
+    g = records_of(spark, folder, "golden_set", ["id"], ["content"])
     q = g.filter(F.regexp_extract("id", r"(\d+)", 1).cast("bigint") % 20 == 0).select(F.col("id").alias("case_id"), F.col("content").alias("text"))
-    p = one_per_key(table(spark, folder, "policy_chunks").select("id", "article_title", "content"), ["id"], None, ["article_title", "content"])
+    p = records_of(spark, folder, "policy_chunks", ["id"], ["article_title", "content"])
     c = p.select(F.col("id").alias("evidence_id"), F.concat_ws("\n", "article_title", "content").alias("text"))
     return _round(retrieval.bm25(q, c, K), "score").select("case_id", "evidence_id", "rank", "score")
 
@@ -132,7 +133,7 @@ def separation_margin(spark, folder):
 
 def adoption_grid(spark, folder):
     """What each setting of floor, ratio and margin adopts."""
-    hits, _ = _labelled(spark, folder)
+    hits = cut_lineage(_labelled(spark, folder)[0])
     return metrics.adoption_grid(hits, hits, FLOORS, RATIOS, MARGINS)
 
 
@@ -146,7 +147,7 @@ def floor_bounds(spark, folder):
 
 
 def _clauses(spark, folder):
-    p = one_per_key(table(spark, folder, "policy_chunks").select("id", "document_slug", "article", "content"), ["id"], None, ["document_slug", "article", "content"])
+    p = records_of(spark, folder, "policy_chunks", ["id"], ["document_slug", "article", "content"])
     return p.filter(F.length("content") > 0).select(F.col("document_slug").alias("slug"), F.col("id").alias("clause"), F.length("content").alias("len"))
 
 
@@ -183,10 +184,11 @@ def chunk_corpus_stats(spark, folder):
 
 def clause_adjacency(spark, folder):
     """Do the policy clauses that an inquiry cites lie side by side in one policy?"""
-    p = one_per_key(table(spark, folder, "policy_chunks").select("id", "evidence_id", "document_slug"), ["id"], None, ["evidence_id", "document_slug"])
+    p = records_of(spark, folder, "policy_chunks", ["id"], ["evidence_id", "document_slug"])
     pos = _spans(spark, folder).select("slug", "clause", "position")
-    cited = table(spark, folder, "inquiries").select(F.col("id").alias("case_id"), F.explode(F.flatten(F.transform("claims", lambda c: F.coalesce(c["citation_ids"], F.expr("cast(array() as array<string>)"))))).alias("evidence_id")).distinct()
-    wanted = cited.join(p.select("evidence_id", F.col("document_slug").alias("slug"), F.col("id").alias("clause")), "evidence_id").select("case_id", "slug", "clause")
+    cited = records_of(spark, folder, "inquiries", ["id"], ["claims"]).select(F.col("id").alias("case_id"), F.explode(F.flatten(F.transform("claims", lambda c: F.coalesce(c["citation_ids"], F.expr("cast(array() as array<string>)"))))).alias("evidence_id")).distinct()
+    # A clause may be cited by a large part of the inquiries.
+    wanted = skew.lookup(cited, p.groupBy(F.col("evidence_id").alias("known")).agg(F.min(F.struct("id", "document_slug")).alias("r")), "evidence_id", "known", "inner").select("case_id", F.col("r.document_slug").alias("slug"), F.col("r.id").alias("clause"))
     return chunking.adjacent(wanted, pos, "slug")
 
 
@@ -245,7 +247,7 @@ fused AS (
   SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY round(rrf, 12) DESC, evidence_id) AS rank FROM (
     SELECT case_id, evidence_id, coalesce(1.0 / (60 + a.rank), 0) + coalesce(1.0 / (60 + b.rank), 0) AS rrf FROM a FULL JOIN b USING (case_id, evidence_id)))"""
 _CLAUSES = """
-WITH clauses AS (SELECT DISTINCT ON (id) document_slug AS slug, id AS clause, length(content) AS len FROM policy_chunks WHERE length(content) > 0),
+WITH clauses AS (SELECT document_slug AS slug, id AS clause, length(content) AS len FROM (SELECT DISTINCT ON (id) * FROM (SELECT * FROM policy_chunks ORDER BY id, loaded_at)) WHERE length(content) > 0),
 spans AS (
   SELECT slug, clause, row_number() OVER w - 1 AS position, (coalesce(sum(len + 1) OVER (PARTITION BY slug ORDER BY clause ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start_pos, len
   FROM clauses WINDOW w AS (PARTITION BY slug ORDER BY clause)),
@@ -281,7 +283,7 @@ ORACLE = {
     "rerank_tail": _FUSED + f" SELECT case_id, evidence_id, rank, CASE WHEN rank <= {POOL} THEN row_number() OVER (PARTITION BY case_id, rank <= {POOL} ORDER BY evidence_id DESC) ELSE rank END AS final_rank FROM fused",
     "bm25_rank": f"""
 WITH q AS (SELECT DISTINCT id AS case_id, {_grams('content')} AS terms FROM golden_set WHERE regexp_extract(id, '([0-9]+)', 1)::BIGINT % 20 = 0),
-d AS (SELECT evidence_id, {_grams('text')} AS terms FROM (SELECT DISTINCT ON (id) id AS evidence_id, concat_ws(chr(10), article_title, content) AS text FROM policy_chunks)),
+d AS (SELECT evidence_id, {_grams('text')} AS terms FROM (SELECT DISTINCT ON (id) id AS evidence_id, concat_ws(chr(10), article_title, content) AS text FROM (SELECT * FROM policy_chunks ORDER BY id, loaded_at))),
 qt AS (SELECT DISTINCT case_id, unnest(terms) AS term FROM q), dt AS (SELECT evidence_id, len(terms) AS dl, unnest(terms) AS term FROM d),
 tf AS (SELECT evidence_id, dl, term, count(*) AS tf FROM dt GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 st AS (SELECT count(*) AS n, avg(len(terms)) AS avgdl FROM d),
@@ -309,8 +311,8 @@ FROM g LEFT JOIN b ON score >= floor AND score >= best * ratio AND score >= best
 n AS (SELECT u.slug, u.unit, any_value(u.end_pos - u.start_pos) AS len, count(h.clause) AS n FROM units u LEFT JOIN held h USING (slug, unit) GROUP BY u.slug, u.unit)
 SELECT count(*) AS units, sum(len)::BIGINT AS characters, round(avg(len), 6) AS mean_length, round(avg(n), 6) AS mean_clauses, max(n) AS most_clauses, (SELECT count(*) FROM sp WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.slug = sp.slug AND h.clause = sp.clause)) AS unreachable FROM n""",
     "clause_adjacency": _CLAUSES + """,
-p AS (SELECT DISTINCT ON (id) id, evidence_id, document_slug AS slug FROM policy_chunks),
-cited AS (SELECT DISTINCT case_id, unnest(c.citation_ids) AS evidence_id FROM (SELECT id AS case_id, unnest(claims) AS c FROM inquiries)),
+p AS (SELECT DISTINCT ON (evidence_id) id, evidence_id, document_slug AS slug FROM (SELECT * FROM (SELECT DISTINCT ON (id) * FROM (SELECT * FROM policy_chunks ORDER BY id, loaded_at)) ORDER BY evidence_id, id, document_slug)),
+cited AS (SELECT DISTINCT case_id, unnest(c.citation_ids) AS evidence_id FROM (SELECT id AS case_id, unnest(claims) AS c FROM (SELECT DISTINCT ON (id) * FROM (SELECT * FROM inquiries ORDER BY id, loaded_at)))),
 w AS (SELECT case_id, sp.slug, sp.position, sp.position - lag(sp.position) OVER (PARTITION BY case_id, sp.slug ORDER BY sp.position) AS step FROM cited JOIN p USING (evidence_id) JOIN sp ON sp.slug = p.slug AND sp.clause = p.id)
 SELECT case_id, count(DISTINCT slug) = 1 AND coalesce(bool_and(step = 1), true) AS adjacent FROM w GROUP BY case_id""",
 }
