@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gneiss.functions.text import null_if_blank, order_key
 from gneiss.operators import nested, references
+from gneiss.session import cut_lineage
 from gneiss.tables import one_per_key, table
 
 #: Leaf paths of the three nested columns, and the columns of the tables that they are turned into.
@@ -82,7 +83,8 @@ def _inquiry_refs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFram
         F.col("loaded_at").alias("ref_arrived"),
     )
     # One row per inquiry before the explode: fewer, narrower rows to shuffle than per reference.
-    one = one_per_key(raw, ["inquiry_id"], "ref_arrived", ["ref_arrived", "ref_created", "order_key", "cited"])
+    # Kept: counting hot keys and both merges read it, and the scan, the parsing and the dedup happen once.
+    one = cut_lineage(one_per_key(raw, ["inquiry_id"], "ref_arrived", ["ref_arrived", "ref_created", "order_key", "cited"]))
     orders = one.select("inquiry_id", F.col("order_key").alias("ref_key"), "ref_created", "ref_arrived")
     cited = one.select("inquiry_id", F.explode("cited").alias("ref_key"), "ref_created", "ref_arrived")
     return orders, cited
