@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gneiss.functions.text import null_if_blank, order_key
+
 
 def violations(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
     """(constraint, key): rows that break a named rule. A rule that is unknown (null) holds, as in SQL checks.
@@ -117,3 +119,41 @@ def validate_order_no(c: Column) -> Column:
     shape = c.rlike(r"\AORD-[0-9]{8}-[0-9]{4}\z")
     day = F.try_to_date(F.when(shape, F.substring(c, 5, 8)), "yyyyMMdd")
     return F.when(c.isNull(), None).otherwise(F.coalesce(shape & day.isNotNull() & (F.date_format(day, "yyyyMMdd") == F.substring(c, 5, 8)) & (F.substring(c, 14, 4) != "0000"), F.lit(False)))
+
+
+def receive(inquiries: DataFrame, content: str = "content", order_no: str = "order_no") -> DataFrame:
+    """``inquiries`` with accepted_content, accepted_order_no and error: what is taken in, or why not.
+
+    Blank content is an error (no_content); a blank order number counts as none, another is compared in its
+    normal form and must be a right one (bad_order_no).
+    """
+    text, key = null_if_blank(F.col(content)), order_key(F.col(order_no))
+    error = F.when(text.isNull(), "no_content").when(key.isNotNull() & ~validate_order_no(key), "bad_order_no")
+    ok = error.isNull()
+    return inquiries.withColumns({"accepted_content": F.when(ok, text), "accepted_order_no": F.when(ok, key), "error": error})
+
+
+def write_records(folder: str, batch: str, inquiries: DataFrame, **children: DataFrame) -> None:
+    """Append inquiries and their child tables (each with inquiry_id) to one folder per table, under one batch id.
+
+    The children are written first and the inquiries last: a batch whose inquiries aren't there isn't finished,
+    and ``read_records`` leaves it out. Writing a batch again replaces it.
+    """
+    for name, df in [*children.items(), ("inquiries", inquiries)]:
+        df.write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch}")
+
+
+def read_records(spark, folder: str, **children: tuple[str, list[str]]) -> DataFrame:
+    """Inquiries with their children nested, in order; children: name to (order column, fields). Children of batches
+    whose inquiries were never written are left out, and so are those of other batches' inquiries."""
+    out = spark.read.parquet(f"{folder}/inquiries")
+    for name, (order, fields) in children.items():
+        child = spark.read.parquet(f"{folder}/{name}")
+        mine = child.join(out.select(F.col("id").alias("inquiry_id"), "batch"), ["inquiry_id", "batch"], "left_semi").withColumnRenamed("inquiry_id", "id")
+        out = nest(out, mine.select("id", order, *[f for f in fields if f != order]), "id", order, fields, name)
+    return out
+
+
+def response_json(columns: dict[str, Column]) -> Column:
+    """One JSON text with all keys always there; null lists are empty ones, other nulls are null."""
+    return F.to_json(F.struct(*[c.alias(n) for n, c in columns.items()]), {"ignoreNullFields": "false"})

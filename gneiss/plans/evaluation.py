@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.functions.text import order_key
-from gneiss.operators import evaluation, skew
+from gneiss.operators import constraints, evaluation, records, skew
 from gneiss.plans import gate
 from gneiss.tables import records_of, table
 
@@ -35,6 +35,13 @@ def layer_combine(spark, folder):
     return c.select("case_id", "attempt_no", "l1_verdict", "l2_verdict", "verdict", F.array_join("reasons", ",").alias("reasons"))
 
 
+def attempt_constraints(spark, folder):
+    """Attempts that break a structural rule of their table."""
+    a = evaluation.combine_layers(_attempts(spark, folder)).withColumnsRenamed({"l1_reasons": "l1_reject_reasons", "l2_reasons": "l2_reject_reasons", "reasons": "reject_reasons"})
+    a = a.withColumns({"claim_verdicts": F.lit(None).cast("string"), "evidence_contradictions": F.lit(None).cast("string"), "key": F.concat_ws(":", "case_id", "attempt_no")})
+    return records.violations(a, "key", constraints.attempts())
+
+
 def attempt_outcomes(spark, folder):
     """What the attempts of every case come to."""
     return evaluation.fold_attempts(evaluation.combine_layers(_attempts(spark, folder)))
@@ -155,7 +162,7 @@ def token_ratios(spark, folder):
     return rows.select("family", "tokens", F.round(F.col("tokens") / F.nullif(F.col("inquiries"), F.lit(0)), 6).alias("per_inquiry"))
 
 
-QUERIES = {f.__name__: f for f in (layer_combine, attempt_outcomes, collection_outcomes, judgment_problems, judge_accuracy, unsupported_numbers, golden_mismatches, agreement_rollup, failure_attribution, attribution_counts, metric_targets, token_ratios)}
+QUERIES = {f.__name__: f for f in (layer_combine, attempt_constraints, attempt_outcomes, collection_outcomes, judgment_problems, judge_accuracy, unsupported_numbers, golden_mismatches, agreement_rollup, failure_attribution, attribution_counts, metric_targets, token_ratios)}
 
 # --- SQL twins -------------------------------------------------------------------------------------
 
@@ -202,6 +209,10 @@ _FAMILIES = {"generation": ("input_tokens", "output_tokens"), "embedding": ("emb
 
 ORACLE = {
     "layer_combine": _ATT + " SELECT case_id, attempt_no, l1_verdict, l2_verdict, verdict, array_to_string(reasons, ',') AS reasons FROM co",
+    "attempt_constraints": _ATT + ", ac AS (SELECT n // 2 || ':' || (n % 2 + 1) AS key, l1v, l1r, CASE WHEN l1v = 'pass' THEN l2v END AS v2, CASE WHEN l1v = 'pass' AND jx.n IS NOT NULL THEN l2raw END AS r2, CASE WHEN l1v = 'reject' THEN 'reject' ELSE l2v END AS v, (SELECT reasons FROM co WHERE co.case_id = att.n // 2 AND co.attempt_no = att.n % 2 + 1) AS r FROM att LEFT JOIN (SELECT jx.*, (SELECT any_value(expected.reject_reasons) FROM judge_fixtures f WHERE regexp_extract(f.id, '([0-9]+)', 1)::BIGINT = jx.n) AS l2raw FROM jx) jx USING (n)) " + gate._VIOLATION("ac", "key", {
+        "attempts_verdict_enum": "v IN ('pass', 'reject')", "attempts_reasons_match_verdict": "(v = 'pass' AND len(r) = 0) OR (v = 'reject' AND len(r) > 0)", "attempts_l1_reasons_match_verdict": "(l1v = 'pass' AND len(l1r) = 0) OR (l1v = 'reject' AND len(l1r) > 0)",
+        "attempts_l2_reject_reasons_enum": "len(list_filter(r2, lambda x: x NOT IN ('unsupported_claim', 'contradictory_evidence'))) = 0", "attempts_l2_reasons_match_verdict": "CASE WHEN v2 IS NULL THEN r2 IS NULL ELSE r2 IS NOT NULL AND ((v2 = 'pass' AND len(r2) = 0) OR (v2 = 'reject' AND len(r2) > 0)) END",
+        "attempts_l2_null_means_no_artifacts": "v2 IS NOT NULL OR r2 IS NULL", "attempts_pass_needs_no_layer_reject": "v <> 'pass' OR (l1v IS DISTINCT FROM 'reject' AND v2 IS DISTINCT FROM 'reject')", "attempts_reasons_compose_layers": "r = l1r || coalesce(r2, [])"}),
     "attempt_outcomes": _ATT + " SELECT * FROM fo",
     "collection_outcomes": f"""SELECT id AS inquiry_id, CASE WHEN failed_stage IN ('intent', 'text_to_sql') OR intent_source IS NULL THEN 'llm_call_failed' WHEN intent_source IN ('order', 'both') AND k IS NULL THEN 'missing_order_ref' WHEN intent_source IN ('order', 'both') AND k NOT IN (SELECT order_no FROM shop_orders) THEN 'order_not_found'
       WHEN NOT EXISTS (SELECT 1 FROM inquiry_evidence e WHERE e.inquiry_id = i.id) THEN 'no_evidence' END AS reason FROM (SELECT id, {gate._key('order_no')} AS k, intent_source, failed_stage FROM {gate._INQ}) i""",

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gneiss.functions import pii
-from gneiss.functions.text import collapse_white, order_key
+from gneiss.functions.text import collapse_white, digest, order_key, order_no, policy_evidence, shortened
 from gneiss.guard import provenance
-from gneiss.operators import gate, metrics, nested, records, regression, skew
+from gneiss.operators import constraints, gate, metrics, nested, records, regression, skew
 from gneiss.session import cut_lineage
 from gneiss.tables import records_of, table
 
@@ -124,28 +124,43 @@ def outcome_mismatches(spark, folder):
 
 
 def constraint_violations(spark, folder):
-    """Records of orders, inquiries and snapshots that break a structural rule; a record counts once however often it was loaded."""
-    o = records_of(spark, folder, "shop_orders", ["order_no"], ["quantity", "unit_price_krw", "total_price_krw", "ordered_at", "shipped_at", "delivered_at"])
-    a = records.violations(o, "order_no", {
-        "orders_order_no_form": records.validate_order_no(F.col("order_no")),
-        "orders_quantity_positive": F.col("quantity") > 0,
-        "orders_shipped_after_ordered": F.col("shipped_at") >= F.col("ordered_at"),
-        "orders_delivered_after_shipped": F.col("delivered_at") >= F.col("shipped_at"),
-        "orders_delivered_needs_shipped": F.col("delivered_at").isNull() | F.col("shipped_at").isNotNull(),
-        "orders_total_is_product": F.col("total_price_krw").cast("bigint") == F.col("quantity").cast("bigint") * F.col("unit_price_krw"),
-    })
+    """Records of orders, clauses, inquiries and snapshots that break a structural rule; a record counts once however often it was loaded."""
+    read = lambda name, keys, cols: records_of(spark, folder, name, keys, cols)
     counters = ["latency_ms", "input_tokens", "output_tokens", "embedding_tokens", "judge_input_tokens", "judge_output_tokens", "retrieval_input_tokens", "retrieval_output_tokens"]
-    b = records.violations(records_of(spark, folder, "inquiries", ["id"], ["status", "answer", "escalation_reason", "failed_stage", *counters]), "id", {
-        "inquiries_answered_has_answer": (F.col("status") != "answered") | (F.col("answer").isNotNull() & F.col("escalation_reason").isNull()),
-        "inquiries_escalated_has_reason": (F.col("status") != "escalated") | F.col("escalation_reason").isNotNull(),
-        "inquiries_counters_not_negative": reduce(lambda x, y: x & y, [F.coalesce(F.col(c) >= 0, F.lit(True)) for c in counters]),
-    })
-    e = records_of(spark, folder, "inquiry_evidence", ["inquiry_id", "evidence_id"], ["source", "query_sql", "result_rows", "sequence"])
-    c = records.violations(e, "evidence_id", {
-        "evidence_sql_has_query": (F.col("source") != "sql") | (F.col("query_sql").isNotNull() & F.col("result_rows").isNotNull()),
-        "evidence_sequence_positive": F.col("sequence") >= 1,
-    })
-    return a.unionByName(b).unionByName(c)
+    parts = [
+        records.violations(read("shop_orders", ["order_no"], ["quantity", "unit_price_krw", "total_price_krw", "ordered_at", "shipped_at", "delivered_at"]), "order_no", constraints.orders() | {"orders_total_is_product": F.col("total_price_krw").cast("bigint") == F.col("quantity").cast("bigint") * F.col("unit_price_krw")}),
+        records.violations(read("policy_chunks", ["id"], ["evidence_id", "document_slug", "article", "embedding_model", "embedding_dimensions"]), "id", constraints.policy_chunks()),
+        records.violations(read("inquiries", ["id"], ["order_no", "intent_source", "status", "answer", "escalation_reason", *counters]), "id", constraints.inquiries()),
+        records.violations(read("inquiry_evidence", ["inquiry_id", "evidence_id"], ["source", "sequence", "query_sql", "result_rows"]), "evidence_id", constraints.evidence()),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def receipt_validation(spark, folder):
+    """What of every inquiry is taken in, or why it isn't."""
+    i = records_of(spark, folder, "inquiries", ["id"], ["content", "order_no"])
+    return records.receive(i).select("id", F.length("accepted_content").alias("letters"), F.col("accepted_order_no").alias("order_no"), "error")
+
+
+def day_sequence(spark, folder):
+    """Orders numbered anew within each day, in the order of their times."""
+    o = records_of(spark, folder, "shop_orders", ["order_no"], ["ordered_at"]).filter("ordered_at is not null")
+    day = F.to_date("ordered_at")
+    return o.withColumn("n", F.row_number().over(Window.partitionBy(day).orderBy("ordered_at", "order_no"))).select(F.col("order_no").alias("old"), order_no(day, F.col("n")).alias("new"))
+
+
+def policy_evidence_text(spark, folder):
+    """Clauses as evidence: their digest, the length of the text, and its shortened form."""
+    p = records_of(spark, folder, "policy_chunks", ["id"], ["document_title", "article", "article_title", "content"])
+    t = policy_evidence(F.col("document_title"), F.col("article"), F.col("article_title"), F.col("content"))
+    return p.select("id", digest(t, "p:").alias("digest"), F.length(t).alias("letters"), shortened(t).alias("short"))
+
+
+def response_objects(spark, folder):
+    """Every inquiry as the object that is answered with: all keys are there, lists are never null."""
+    i = records_of(spark, folder, "inquiries", ["id"], ["status", "escalation_reason", "failed_stage", "claims", "latency_ms"])
+    none = F.expr("cast(array() as array<struct<text:string,citation_ids:array<string>>>)")
+    return i.select("id", records.response_json({"id": F.col("id"), "status": F.col("status"), "escalation_reason": F.col("escalation_reason"), "failed_stage": F.col("failed_stage"), "claims": F.coalesce("claims", none), "latency_ms": F.col("latency_ms")}).alias("body"))
 
 
 def order_no_validate(spark, folder):
@@ -317,7 +332,7 @@ def fingerprint_diff(spark, folder):
     return regression.fingerprint_diff(cond(True), cond(False), DECLARED, PAIRED)
 
 
-QUERIES = {f.__name__: f for f in (gate_schema, gate_citations, pii_unsourced, gate_verdict, gate_accuracy, gate_reason_counts, claim_multiset, contradiction_pairs, judge_consistency, outcome_mismatches, constraint_violations, order_no_validate, order_exists, phone_normalise, pii_email_extract, row_render, sql_evidence_filter, sync_plan, cache_plan, index_provenance, nested_children, record_roundtrip, outcome_histogram, latency_percentiles, token_totals, claim_overview, regression_cases, evidence_loss, guard_verdict, runset_pick, fingerprint_diff)}
+QUERIES = {f.__name__: f for f in (gate_schema, gate_citations, pii_unsourced, gate_verdict, gate_accuracy, gate_reason_counts, claim_multiset, contradiction_pairs, judge_consistency, outcome_mismatches, constraint_violations, receipt_validation, day_sequence, policy_evidence_text, response_objects, order_no_validate, order_exists, phone_normalise, pii_email_extract, row_render, sql_evidence_filter, sync_plan, cache_plan, index_provenance, nested_children, record_roundtrip, outcome_histogram, latency_percentiles, token_totals, claim_overview, regression_cases, evidence_loss, guard_verdict, runset_pick, fingerprint_diff)}
 
 # --- SQL twins -------------------------------------------------------------------------------------
 
@@ -416,9 +431,14 @@ ORACLE = {
     "outcome_mismatches": f"""WITH g AS (SELECT DISTINCT ON (id) id, {_key('order_no')} AS k, expected FROM golden_set), i AS (SELECT {_key('order_no')} AS k, status, escalation_reason FROM {_INQ}), b AS (SELECT g.id, expected, status, escalation_reason FROM g JOIN i USING (k))
       SELECT id, 'status' AS mismatch, count(*) AS n FROM b WHERE NOT list_contains(expected.statuses, status) GROUP BY id
       UNION ALL SELECT id, 'reason', count(*) FROM b WHERE status = 'escalated' AND NOT list_contains(expected.escalation_reasons, escalation_reason) GROUP BY id""",
-    "constraint_violations": _VIOLATION(_ORD, "order_no", {"orders_order_no_form": _VALID.format("order_no"), "orders_quantity_positive": "quantity > 0", "orders_shipped_after_ordered": "shipped_at >= ordered_at", "orders_delivered_after_shipped": "delivered_at >= shipped_at", "orders_delivered_needs_shipped": "delivered_at IS NULL OR shipped_at IS NOT NULL", "orders_total_is_product": "total_price_krw::BIGINT = quantity::BIGINT * unit_price_krw"})
-    + " UNION ALL " + _VIOLATION(_INQ, "id", {"inquiries_answered_has_answer": "status <> 'answered' OR (answer IS NOT NULL AND escalation_reason IS NULL)", "inquiries_escalated_has_reason": "status <> 'escalated' OR escalation_reason IS NOT NULL", "inquiries_counters_not_negative": _COUNTERS})
-    + " UNION ALL " + _VIOLATION(_EVI, "evidence_id", {"evidence_sql_has_query": "source <> 'sql' OR (query_sql IS NOT NULL AND result_rows IS NOT NULL)", "evidence_sequence_positive": "sequence >= 1"}),
+    "constraint_violations": _VIOLATION(_ORD, "order_no", {"orders_order_no_format": "regexp_full_match(order_no, 'ORD-[0-9]{8}-[0-9]{4}')", "orders_quantity_positive": "quantity > 0", "orders_unit_price_nonneg": "unit_price_krw >= 0", "orders_total_price_nonneg": "total_price_krw >= 0", "orders_shipped_after_ordered": "shipped_at IS NULL OR shipped_at >= ordered_at", "orders_delivered_after_shipped": "delivered_at IS NULL OR (shipped_at IS NOT NULL AND delivered_at >= shipped_at)", "orders_total_is_product": "total_price_krw::BIGINT = quantity::BIGINT * unit_price_krw"})
+    + " UNION ALL " + _VIOLATION(_CHU, "id::VARCHAR", {"policy_chunks_embedding_model_nonempty": "embedding_model <> ''", "policy_chunks_embedding_dimensions_positive": "embedding_dimensions > 0", "policy_chunks_evidence_id_shape": "evidence_id = 'policy:' || document_slug || ':' || article"})
+    + " UNION ALL " + _VIOLATION(_INQ, "id", {"inquiries_order_no_format": "order_no IS NULL OR regexp_full_match(order_no, 'ORD-[0-9]{8}-[0-9]{4}')", "inquiries_intent_source_enum": "intent_source IS NULL OR intent_source IN ('policy', 'order', 'both')", "inquiries_status_enum": "status IN ('answered', 'escalated')", "inquiries_escalation_reason_enum": "escalation_reason IS NULL OR escalation_reason IN ('no_evidence', 'missing_order_ref', 'order_not_found', 'sql_failed', 'llm_call_failed', 'rejected_twice')", "inquiries_terminal_shape": "(status = 'answered' AND answer IS NOT NULL AND escalation_reason IS NULL) OR (status = 'escalated' AND answer IS NULL AND escalation_reason IS NOT NULL)", "inquiries_latency_nonneg": "latency_ms >= 0", "inquiries_tokens_nonneg": "input_tokens >= 0 AND output_tokens >= 0 AND embedding_tokens >= 0", "inquiries_judge_tokens_nonneg": "judge_input_tokens >= 0 AND judge_output_tokens >= 0", "inquiries_retrieval_tokens_nonneg": "retrieval_input_tokens >= 0 AND retrieval_output_tokens >= 0"})
+    + " UNION ALL " + _VIOLATION(_EVI, "evidence_id", {"evidence_source_enum": "source IN ('policy', 'sql')", "evidence_snapshot_shape": "coalesce(source = 'sql' AND sequence IS NOT NULL AND query_sql IS NOT NULL AND result_rows IS NOT NULL AND evidence_id = 'sql:' || inquiry_id || ':' || sequence, false) OR coalesce(source = 'policy' AND sequence IS NULL AND query_sql IS NULL AND result_rows IS NULL AND evidence_id LIKE 'policy:%:%', false)"}),
+    "receipt_validation": f"SELECT id, CASE WHEN e IS NULL THEN length(c) END AS letters, CASE WHEN e IS NULL THEN k END AS order_no, e AS error FROM (SELECT *, CASE WHEN c IS NULL THEN 'no_content' WHEN k IS NOT NULL AND NOT coalesce({_VALID.format('k')}, false) THEN 'bad_order_no' END AS e FROM (SELECT id, nullif(regexp_replace(content, '^{_WHITE}+|{_WHITE}+$', '', 'g'), '') AS c, {_key('order_no')} AS k FROM {_INQ}))",
+    "day_sequence": f"SELECT order_no AS old, 'ORD-' || strftime(d, '%Y%m%d') || '-' || lpad((row_number() OVER (PARTITION BY d ORDER BY ordered_at, order_no))::VARCHAR, 4, '0') AS new FROM (SELECT *, (ordered_at AT TIME ZONE 'UTC')::DATE AS d FROM {_ORD} WHERE ordered_at IS NOT NULL)",
+    "policy_evidence_text": f"SELECT id, 'p:' || substring(sha256(t), 1, 12) AS digest, length(t)::INT AS letters, CASE WHEN length(s) > 200 THEN left(s, 200) || '…' ELSE s END AS short FROM (SELECT id, t, regexp_replace(regexp_replace(t, '{_WHITE}+', ' ', 'g'), '^ | $', '', 'g') AS s FROM (SELECT id, '[' || concat_ws(' ', document_title, article, article_title) || '] ' || coalesce(content, '') AS t FROM {_CHU}))",
+    "response_objects": f"SELECT id, to_json(struct_pack(id := id, status := status, escalation_reason := escalation_reason, failed_stage := failed_stage, claims := coalesce(claims, []), latency_ms := latency_ms))::VARCHAR AS body FROM {_INQ}",
     "order_no_validate": f"SELECT order_no, coalesce({_VALID.format('order_no')}, false) AS valid FROM (SELECT DISTINCT {_key('order_no')} AS order_no FROM inquiries) WHERE order_no IS NOT NULL",
     "order_exists": f"SELECT * FROM (SELECT id AS inquiry_id, {_key('order_no')} AS order_no FROM {_INQ}) WHERE order_no IN (SELECT order_no FROM shop_orders)",
     "phone_normalise": "SELECT DISTINCT customer_phone, CASE WHEN starts_with(d, '0082') THEN '0' || d[5:] WHEN starts_with(d, '82') THEN '0' || d[3:] ELSE d END AS phone FROM (SELECT customer_phone, regexp_replace(customer_phone, '[^0-9]', '', 'g') AS d FROM shop_orders WHERE customer_phone IS NOT NULL)",
