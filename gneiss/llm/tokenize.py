@@ -12,11 +12,12 @@ from __future__ import annotations
 
 import base64
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,6 +66,7 @@ class ForcedBoundaryEncoder:
 
         ranks = read_ranks(folder, name)
         self.pairs = joinable_pairs(list(ranks))
+        self.ranks = ranks
         self.bpe = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.known: dict[str, list[int]] = {}
         self.white = np.array(WHITE, dtype=np.uint32)
@@ -106,11 +108,30 @@ class ForcedBoundaryEncoder:
         return out
 
 
+    def sizes(self) -> np.ndarray:
+        """The number of bytes of every token, by its id."""
+        out = np.zeros(max(self.ranks.values()) + 1, dtype=np.int64)
+        for token, i in self.ranks.items():
+            out[i] = len(token)
+        return out
+
+
 @lru_cache(maxsize=4)
 def encoder(folder: str = VOCABULARIES, name: str = VOCABULARY) -> ForcedBoundaryEncoder:
     return ForcedBoundaryEncoder(folder, name)
 
 
+def _shipped(df: DataFrame, folder: str, name: str) -> Callable[[], ForcedBoundaryEncoder]:
+    """An encoder as tasks get it: the vocabulary is read where the driver runs and shipped to every executor once."""
+    file = f"{name}.tiktoken"
+    df.sparkSession.sparkContext.addFile(os.path.join(folder, file))
+
+    def opened() -> ForcedBoundaryEncoder:
+        return encoder(os.path.dirname(SparkFiles.get(file)), name)
+
+    return opened
+
+
 def _slices(batch: pa.RecordBatch, column: int, most_chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """A batch in slices of bounded text, so very long texts don't add up in memory."""
     import pyarrow.compute as pc
@@ -129,8 +150,10 @@ def encode(df: DataFrame, key: str, text: str, folder: str = VOCABULARIES, name:
     kind = dict(df.dtypes)[key]
     schema = f"`{key}` {kind}, ids array<int>"
 
+    opened = _shipped(df, folder, name)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(folder, name)
+        e = opened()
         for whole in batches:
             for b in _slices(whole, 1):
                 ids = e.encode(b.column(1).to_pylist())
@@ -145,11 +168,28 @@ def count_tokens(df: DataFrame, key: str, text: str, folder: str = VOCABULARIES,
     """(key, n_tokens): the number of tokens per row, without shipping the ids back to the JVM."""
     schema = f"`{key}` {dict(df.dtypes)[key]}, n_tokens int"
 
+    opened = _shipped(df, folder, name)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(folder, name)
+        e = opened()
         for whole in batches:
             for b in _slices(whole, 1):
                 n = pa.array([len(x) for x in e.encode(b.column(1).to_pylist())], pa.int32())
                 yield pa.RecordBatch.from_arrays([b.column(0), n], names=[key, "n_tokens"])
 
     return df.select(F.col(f"`{key}`"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, schema)
+
+
+def byte_lengths(encoded: DataFrame, key: str, folder: str = VOCABULARIES, name: str = VOCABULARY) -> DataFrame:
+    """(key, n_bytes): how many bytes the ids of ``encode`` stand for, which are those of the text in UTF-8."""
+    opened = _shipped(encoded, folder, name)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = opened().sizes()
+        for b in batches:
+            ids = b.column(1)
+            upto = np.concatenate([[0], np.cumsum(sizes[ids.flatten().to_numpy()])])
+            at = ids.offsets.to_numpy()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(upto[at[1:] - at[0]] - upto[at[:-1] - at[0]], pa.int64())], names=[key, "n_bytes"])
+
+    return encoded.select(key, "ids").mapInArrow(run, f"`{key}` {dict(encoded.dtypes)[key]}, n_bytes bigint")

@@ -365,3 +365,16 @@ def test_rest_of_the_library_does_not_need_this_package():
     for p in root.rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert "gneiss.llm" not in p.read_text(encoding="utf-8")
+
+
+def test_ids_stand_for_the_bytes_of_the_text(spark):
+    if not __import__("os").path.isdir(tokenize.VOCABULARIES):
+        pytest.skip("no vocabularies here")
+    texts = ["plain", "한국어 🙂", "", None, "é" * 3000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_bytes for r in tokenize.byte_lengths(tokenize.encode(df, "doc_id", "text"), "doc_id").collect()}
+    assert got == {i: len((t or "").encode()) for i, t in enumerate(texts)}
+
+
+def test_twins_name_queries():
+    assert set(queries.ORACLE) <= set(queries.QUERIES)
