@@ -10,9 +10,9 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent / "tools"))
 
 from verify import norm  # noqa: E402
 
-from gneiss.plans import gate, guard, records, retrieval  # noqa: E402
+from gneiss.plans import evaluation, gate, grids, guard, guard_rules, records, retrieval  # noqa: E402
 
-MODULES = (records, retrieval, gate, guard)
+MODULES = (records, retrieval, grids, gate, evaluation, guard, guard_rules)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}
 
