@@ -157,3 +157,38 @@ def read_records(spark, folder: str, **children: tuple[str, list[str]]) -> DataF
 def response_json(columns: dict[str, Column]) -> Column:
     """One JSON text with all keys always there; null lists are empty ones, other nulls are null."""
     return F.to_json(F.struct(*[c.alias(n) for n, c in columns.items()]), {"ignoreNullFields": "false"})
+
+
+def cache_misses(texts: DataFrame, text: str, cached: DataFrame, digest: str) -> DataFrame:
+    """(digest, text): each different text that the cache doesn't hold, once; nulls are left out."""
+    keyed = texts.filter(F.col(text).isNotNull()).select(F.sha2(text, 256).alias("digest"), F.col(text).alias("text"))
+    return keyed.join(cached.select(F.col(digest).alias("digest")).distinct(), "digest", "left_anti").groupBy("digest").agg(F.first("text").alias("text"))
+
+
+def cached(texts: DataFrame, text: str, folder: str, make, kind: str) -> DataFrame:
+    """``texts`` with a column ``made``: what ``make`` (a column of the text to a column of ``kind``) gives, computed once
+    per different text and kept in a folder of Parquet, keyed by the text's SHA-256.
+
+    New entries are added under a name of their own, so a lost job leaves what was there; an entry that two jobs
+    made is taken once. Null texts have null.
+    """
+    spark = texts.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    schema = f"digest string, made {kind}"
+    known = spark.read.schema(schema).parquet(folder) if there else spark.createDataFrame([], schema)
+    new = cache_misses(texts, text, known, "digest")
+    new.select("digest", make(F.col("text")).cast(kind).alias("made")).write.mode("append").parquet(folder)
+    every = spark.read.schema(schema).parquet(folder).groupBy("digest").agg(F.first("made", ignorenulls=True).alias("made"))
+    return texts.withColumn("__digest", F.sha2(text, 256)).join(every.withColumnRenamed("digest", "__digest"), "__digest", "left").drop("__digest")
+
+
+def lowered(df: DataFrame) -> DataFrame:
+    """``df`` with values as JSON can hold them: times and dates as ISO text, decimals as text; others stay."""
+    def low(name: str, kind: str) -> Column:
+        c = F.col(f"`{name}`")
+        if kind in ("timestamp", "timestamp_ntz"):
+            return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX" if kind == "timestamp" else "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias(name)
+        return c.cast("string").alias(name) if kind == "date" or kind.startswith("decimal") else c.alias(name)
+
+    return df.select(*[low(n, k) for n, k in df.dtypes])

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gneiss.functions.text import effort, model_id, rewrite_flag
+
 
 def newest(runs: DataFrame, by: list[str], order: str, tie: str, most: int) -> DataFrame:
     """The newest runs of each condition, ``most`` of them, with their place."""
@@ -118,3 +120,74 @@ def verdict(changes: DataFrame, conditions: DataFrame, losses: DataFrame | None
     held = (F.col("compared") == 0) | F.lit(runs < wanted or not evidence_known)
     v = F.when(F.col("differing") > 0, "incomparable").when((F.col("worse") + F.col("gone") + F.lit(moved)) > 0, "fail").when(held, "held").otherwise("pass")
     return s.join(F.broadcast(c), "one").join(F.broadcast(gone), "one").select("differing", (F.col("worse") + F.col("gone")).alias("worse"), "compared", v.alias("verdict"))
+
+
+def derive_conditions(runs: DataFrame) -> DataFrame:
+    """(run_id, name, value): the conditions of runs, from what their reports state and from descriptions of their parts.
+
+    runs: run_id, generation, embedding, judge (descriptions), strategy, explicit (map of names to values, may be
+    null). A description names a model between backticks and may give an effort; what is stated explicitly wins,
+    and what neither tells has no row.
+    """
+    derived = F.map_from_entries(F.array(*[F.struct(F.lit(n).alias("key"), v.alias("value")) for n, v in (
+        ("generation_model", model_id(F.col("generation"))), ("generation_effort", effort(F.col("generation"))), ("embedding_model", model_id(F.col("embedding"))), ("judge_model", model_id(F.col("judge"))), ("judge_effort", effort(F.col("judge"))), ("query_rewrite", rewrite_flag(F.col("strategy"))),
+    )]))
+    known = F.map_filter(derived, lambda k, v: v.isNotNull())
+    explicit = F.coalesce(F.col("explicit"), F.expr("cast(map() as map<string,string>)"))
+    kept = F.map_filter(known, lambda k, v: ~F.map_contains_key(explicit, k))
+    return runs.select("run_id", F.explode(F.map_concat(kept, F.map_filter(explicit, lambda k, v: v.isNotNull()))).alias("name", "value"))
+
+
+def same_conditions(conditions: DataFrame, current: DataFrame, fields: list[str] = ()) -> DataFrame:
+    """(run_id, differing, unknown): how many conditions of each run differ from the current run's, and how many aren't
+    known on both sides.
+
+    conditions: run_id, name, value; current: name, value. ``fields`` are names that count even if neither side
+    has them. Runs are grouped under one condition only if both counts are 0: what isn't known isn't the same.
+    """
+    runs = conditions.select("run_id").distinct()
+    mine = current.select("name", F.col("value").alias("now"))
+    names = mine.select("name")
+    if fields:
+        names = names.unionByName(conditions.sparkSession.createDataFrame([(f,) for f in fields], "name string")).distinct()
+    asked = runs.withColumn("one", F.lit(1)).join(F.broadcast(names.withColumn("one", F.lit(1))), "one").drop("one")  # the names of one run's conditions
+    every = asked.unionByName(conditions.select("run_id", "name")).distinct()
+    both = every.join(conditions.select("run_id", "name", "value"), ["run_id", "name"], "left").join(mine, "name", "left")
+    n = lambda c: F.sum(c.cast("int"))
+    missing = F.col("value").isNull() | F.col("now").isNull()
+    return both.groupBy("run_id").agg(n(~missing & (F.col("value") != F.col("now"))).alias("differing"), n(missing).alias("unknown"))
+
+
+def assemble(runs: DataFrame, conditions: DataFrame, current: str, size: int = 3, exclude: list[str] = (), fields: list[str] = ()) -> DataFrame:
+    """(run_id, place, reason): the set of the current run and the newest runs of its confirmed conditions, ``size`` in all.
+
+    runs: run_id, started_at. Place 1 is the current run. Runs that were passed over before the set was full have
+    no place but a reason: differs, or unknown. A set that isn't full stays so.
+    """
+    mine = conditions.filter(F.col("run_id") == current).select("name", "value")
+    others = runs.filter((F.col("run_id") != current) & ~F.col("run_id").isin(list(exclude)))
+    state = same_conditions(conditions, mine, fields)
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    judged = others.join(state, "run_id", "left").withColumn("reason", F.when(zero("differing") > 0, "differs").when(F.col("differing").isNull() | (zero("unknown") > 0), "unknown"))
+    same = judged.filter("reason is null")
+    first = Window.partitionBy(F.lit(1)).orderBy(F.desc("started_at"), F.desc("run_id"))
+    taken = same.orderBy(F.desc("started_at"), F.desc("run_id")).limit(size - 1).withColumn("place", F.row_number().over(first) + 1)  # at most size - 1 rows
+    # Once the set is full, older runs weren't looked at.
+    last = taken.agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("started_at", "run_id")).alias("last"))
+    passed = judged.filter("reason is not null").join(F.broadcast(last), (F.col("n") < size - 1) | (F.struct("started_at", "run_id") > F.col("last")))
+    none = F.lit(None).cast("string")
+    head = runs.filter(F.col("run_id") == current).select("run_id", F.lit(1).alias("place"), none.alias("reason"))
+    return head.unionByName(taken.select("run_id", "place", none.alias("reason"))).unionByName(passed.select("run_id", F.lit(None).cast("int").alias("place"), "reason"))
+
+
+def promotion_drift(promoted: DataFrame, conditions: DataFrame, head: str) -> DataFrame:
+    """(run_id, name, registered, found): where registered runs don't have one condition, or what was registered isn't theirs.
+
+    promoted: name, value, as registered; conditions: run_id, name, value of the registered runs. Rows with the
+    head's run_id compare it with what was registered, others compare their run with the head. What a side
+    doesn't state is no drift.
+    """
+    mine = conditions.filter(F.col("run_id") == head).select("name", F.col("value").alias("registered"))
+    among = conditions.filter(F.col("run_id") != head).join(mine, "name")
+    stated = conditions.filter(F.col("run_id") == head).join(promoted.select("name", F.col("value").alias("registered")), "name")
+    return among.unionByName(stated).filter(F.col("value") != F.col("registered")).select("run_id", "name", "registered", F.col("value").alias("found"))

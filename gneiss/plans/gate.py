@@ -316,6 +316,27 @@ def runset_pick(spark, folder):
     return regression.newest(e, ["user_id", "event_type"], "ts", "event_id", 3).select("user_id", "event_type", "event_id", "place")
 
 
+def _conditions(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """Runs (every fortieth user) with the time of their last event, and per event type whether most of their events passed."""
+    e = table(spark, folder, "events").withColumn("run_id", (F.col("user_id") % 40).cast("string"))
+    share = F.avg((F.col("value") >= 30).cast("int"))
+    c = e.groupBy("run_id", F.col("event_type").alias("name")).agg(F.when(share >= 0.6, "most").when(share >= 0.5, "half").when(share >= 0.4, "few").alias("value")).filter("value is not null")
+    return e.groupBy("run_id").agg(F.max("ts").alias("started_at")), c
+
+
+def runset_assembly(spark, folder):
+    """The set of runs under the conditions of run 7, and what was passed over."""
+    runs, c = _conditions(spark, folder)
+    return regression.assemble(runs, c, "7", 3, ["9"])
+
+
+def promotion_drift(spark, folder):
+    """Where runs 1 to 5 aren't under one condition, and where run 1 isn't what was registered."""
+    _, c = _conditions(spark, folder)
+    promoted = spark.createDataFrame([("view", "most"), ("click", "few"), ("other", "x")], "name string, value string")
+    return regression.promotion_drift(promoted, c.filter(F.col("run_id").isin("1", "2", "3", "4", "5")), "1")
+
+
 #: A condition that is compared together with another one.
 PAIRED = {"purchase:3": "purchase:5"}
 DECLARED = ["click:1", "view:2"]
@@ -332,7 +353,7 @@ def fingerprint_diff(spark, folder):
     return regression.fingerprint_diff(cond(True), cond(False), DECLARED, PAIRED)
 
 
-QUERIES = {f.__name__: f for f in (gate_schema, gate_citations, pii_unsourced, gate_verdict, gate_accuracy, gate_reason_counts, claim_multiset, contradiction_pairs, judge_consistency, outcome_mismatches, constraint_violations, receipt_validation, day_sequence, policy_evidence_text, response_objects, order_no_validate, order_exists, phone_normalise, pii_email_extract, row_render, sql_evidence_filter, sync_plan, cache_plan, index_provenance, nested_children, record_roundtrip, outcome_histogram, latency_percentiles, token_totals, claim_overview, regression_cases, evidence_loss, guard_verdict, runset_pick, fingerprint_diff)}
+QUERIES = {f.__name__: f for f in (gate_schema, gate_citations, pii_unsourced, gate_verdict, gate_accuracy, gate_reason_counts, claim_multiset, contradiction_pairs, judge_consistency, outcome_mismatches, constraint_violations, receipt_validation, day_sequence, policy_evidence_text, response_objects, order_no_validate, order_exists, phone_normalise, pii_email_extract, row_render, sql_evidence_filter, sync_plan, cache_plan, index_provenance, nested_children, record_roundtrip, outcome_histogram, latency_percentiles, token_totals, claim_overview, regression_cases, evidence_loss, guard_verdict, runset_pick, runset_assembly, promotion_drift, fingerprint_diff)}
 
 # --- SQL twins -------------------------------------------------------------------------------------
 
@@ -413,6 +434,9 @@ vot AS (SELECT first, case_id, evidence_id, count(DISTINCT run_id) AS v FROM (SE
 acc AS (SELECT first, case_id, evidence_id FROM vot JOIN tot USING (first, case_id) WHERE v >= n // 2 + 1),
 lost AS (SELECT case_id, evidence_id, 'lost' AS outcome FROM acc WHERE first AND (case_id, evidence_id) NOT IN (SELECT (case_id, evidence_id) FROM acc WHERE NOT first))"""
 
+_COND = """WITH ev AS (SELECT (user_id % 40)::VARCHAR AS run_id, event_type AS name, ts, (value >= 30)::INT AS ok FROM events), runs AS (SELECT run_id, max(ts) AS started_at FROM ev GROUP BY 1),
+cond AS (SELECT * FROM (SELECT run_id, name, CASE WHEN avg(ok) >= 0.6 THEN 'most' WHEN avg(ok) >= 0.5 THEN 'half' WHEN avg(ok) >= 0.4 THEN 'few' END AS value FROM ev GROUP BY 1, 2) WHERE value IS NOT NULL)"""
+
 ORACLE = {
     "gate_schema": _G + " SELECT id AS record_id, valid FROM st",
     "gate_citations": _G + " SELECT id AS record_id, missing, invalid FROM cs",
@@ -466,6 +490,13 @@ ORACLE = {
       SELECT 0 AS differing, w + l AS worse, n AS compared, CASE WHEN w + l > 0 THEN 'fail' WHEN n = 0 THEN 'held' ELSE 'pass' END AS verdict
       FROM (SELECT count(*) AS n, count(*) FILTER (bp = bn AND cp < cn // 2 + 1 OR bp > 0 AND cp = 0) AS w FROM k), (SELECT count(*) AS l FROM lost)""",
     "runset_pick": "SELECT * FROM (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS place FROM events) WHERE place <= 3",
+    "runset_assembly": _COND + """, st AS (SELECT r.run_id, started_at, CASE WHEN sum((v.value IS NOT NULL AND m.value IS NOT NULL AND v.value <> m.value)::INT) > 0 THEN 'differs' WHEN sum((v.value IS NULL OR m.value IS NULL)::INT) > 0 THEN 'unknown' END AS reason
+        FROM runs r, (SELECT DISTINCT name FROM cond) n LEFT JOIN cond v ON v.run_id = r.run_id AND v.name = n.name LEFT JOIN cond m ON m.run_id = '7' AND m.name = n.name WHERE r.run_id NOT IN ('7', '9') AND (v.value IS NOT NULL OR m.value IS NOT NULL) GROUP BY ALL),
+      tk AS (SELECT run_id, started_at, row_number() OVER (ORDER BY started_at DESC, run_id DESC) AS p FROM st WHERE reason IS NULL), ls AS (SELECT count(*) AS n, max(p) AS p FROM tk WHERE p <= 2)
+      SELECT '7' AS run_id, 1 AS place, NULL AS reason UNION ALL SELECT run_id, (p + 1)::INT, NULL FROM tk WHERE p <= 2 UNION ALL SELECT run_id, NULL, reason FROM st WHERE reason IS NOT NULL AND ((SELECT n FROM ls) < 2 OR (started_at, run_id) > (SELECT (started_at, run_id) FROM tk WHERE p = (SELECT p FROM ls)))""",
+    "promotion_drift": _COND + """, five AS (SELECT * FROM cond WHERE run_id IN ('1', '2', '3', '4', '5'))
+      SELECT v.run_id, v.name, h.value AS registered, v.value AS found FROM five v JOIN five h ON h.run_id = '1' AND h.name = v.name WHERE v.run_id <> '1' AND v.value <> h.value
+      UNION ALL SELECT run_id, name, p.value, five.value FROM five JOIN (VALUES ('view', 'most'), ('click', 'few'), ('other', 'x')) p(name, value) USING (name) WHERE run_id = '1' AND five.value <> p.value""",
     "fingerprint_diff": f"""WITH r AS ({_HALF}), c AS (SELECT first, case_id AS name, avg(passed::INT) AS s FROM r GROUP BY 1, 2), v AS (SELECT first, name, CASE WHEN s > 0 AND s < 1 THEN CASE WHEN s > 0.5 THEN 'on' ELSE 'off' END END AS value FROM c),
       x AS (SELECT name, a.value AS a, b.value AS b FROM (SELECT * FROM v WHERE first) a FULL JOIN (SELECT * FROM v WHERE NOT first) b USING (name)), y AS (SELECT x.*, x.name = 'purchase:3' AS has, o.a AS oa, o.b AS ob FROM x LEFT JOIN x o ON x.name = 'purchase:3' AND o.name = 'purchase:5')
       SELECT name, a AS a_value, b AS b_value, CASE WHEN a IS NULL OR b IS NULL OR has AND (oa IS NULL OR ob IS NULL) THEN 'unknown' WHEN a = b AND (NOT has OR oa = ob) THEN 'same' WHEN name IN ('click:1', 'view:2') THEN 'declared' ELSE 'differs' END AS relation FROM y""",

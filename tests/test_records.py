@@ -197,3 +197,35 @@ def test_gate_folds_texts_and_searches_drafts_without_claims(spark):
     evidence = spark.createDataFrame([("echo", "010\u200b-1234-5678")], "record_id string, text string")
     got = {r.record_id: r["values"] for r in gate.unsourced(nested.json_triples(drafts, "record_id", "raw_draft"), evidence).collect()}
     assert got == dict.fromkeys(("wide", "hidden", "bare", "plain", "other"), ["01012345678"])
+
+
+def test_sets_of_runs_are_assembled_from_confirmed_conditions(spark):
+    runs = spark.createDataFrame([(r, i) for i, r in enumerate(["e", "d", "old", "c", "u", "b", "x", "a"])], "run_id string, started_at int")
+    rows = [(r, n, "1") for r in ("a", "c", "d", "e", "old") for n in ("k", "m")] + [("b", "k", "1"), ("b", "m", "2"), ("u", "k", "1"), ("x", "k", "1"), ("x", "m", "1")]
+    c = spark.createDataFrame(rows, "run_id string, name string, value string")
+    got = lambda **k: {r.run_id: (r.place, r.reason) for r in regression.assemble(runs, c, "a", 3, ["x"], **k).collect()}
+    assert got() == {"a": (1, None), "b": (None, "differs"), "u": (None, "unknown"), "c": (2, None), "old": (3, None)}
+    assert got(fields=["never"])["c"] == (None, "unknown")
+    drift = regression.promotion_drift(spark.createDataFrame([("k", "9"), ("z", "0")], "name string, value string"), c.filter("run_id in ('a', 'b', 'u')"), "a")
+    assert sorted(tuple(r) for r in drift.collect()) == [("a", "k", "9", "1"), ("b", "m", "1", "2")]
+
+
+def test_conditions_derived(spark):
+    rows = [("r", "X `g-1` (effort=low)", "`e-1`", None, "vector_rewrite", {"embedding_model": "e-2", "top_k": "5", "none": None}), ("old", None, None, None, "vector", None)]
+    df = spark.createDataFrame(rows, "run_id string, generation string, embedding string, judge string, strategy string, explicit map<string,string>")
+    got = {(r.run_id, r.name): r.value for r in regression.derive_conditions(df).collect()}
+    assert got == {("r", "generation_model"): "g-1", ("r", "generation_effort"): "low", ("r", "query_rewrite"): "on", ("r", "embedding_model"): "e-2", ("r", "top_k"): "5", ("old", "query_rewrite"): "off"}
+
+
+def test_cache_makes_each_text_once(spark, tmp_path):
+    folder = str(tmp_path / "cache")
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (4, "b")], "i int, t string")
+    made = lambda d: {r.i: r.made for r in records.cached(d, "t", folder, F.length, "int").collect()}
+    assert made(df) == {1: 1, 2: 1, 3: None, 4: 1} and spark.read.parquet(folder).count() == 2
+    assert made(df.unionByName(spark.createDataFrame([(5, "ccc")], "i int, t string")))[5] == 3 and spark.read.parquet(folder).count() == 3
+    assert records.cache_misses(df, "t", spark.read.parquet(folder), "digest").count() == 0
+
+
+def test_values_lowered_for_json(spark):
+    df = spark.sql("SELECT TIMESTAMP '2024-01-02 03:04:05.5' AS t, DATE '2024-01-02' AS d, CAST(1.50 AS DECIMAL(5, 2)) AS n, 1 AS i, CAST(NULL AS DATE) AS z")
+    assert tuple(records.lowered(df).first()) == ("2024-01-02T03:04:05.500000Z", "2024-01-02", "1.50", 1, None)
