@@ -60,12 +60,19 @@ class ChainCRF:
                 total = best[:live, :, None] + self.transitions
                 back[t, :live] = total.argmax(1)
                 best[:live] = total.max(1) + scores[b[:live] + t]
-            last = best.argmax(1)
-            for i, (length, begin) in enumerate(zip(n.tolist(), b.tolist())):
-                k = int(last[i])
-                for t in range(length - 1, -1, -1):
-                    out[begin + t] = k
+            now = best.argmax(1)
+            few = int(n[min(len(n), 16) - 1])  # beyond this length only a few sequences go on: those one by one
+            for i in range(min(len(n), 16) - 1):
+                k = int(now[i])
+                for t in range(int(n[i]) - 1, few - 1, -1):
+                    out[b[i] + t] = k
                     k = int(back[t, i, k])
+                now[i] = k
+            for t in range(few - 1, -1, -1):  # the others at once; each joins in at its own end
+                live = int(np.searchsorted(-n, -t, side="left"))
+                out[b[:live] + t] = now[:live]
+                if t:
+                    now[:live] = back[t, np.arange(live), now[:live]]
         return out
 
     def decode(self, rows: list[list[int]], lengths: list[int]) -> list[str]:

@@ -388,6 +388,7 @@ class Decoder:
 
 
 _SCRIPTS = (("hangul", re.compile("[가-힣ᄀ-ᇿ]")), ("han", re.compile("[一-鿿]")), ("thai", _THAI), ("deva", re.compile("[ऀ-ॿ]")), ("cyrillic", re.compile("[Ѐ-ӿ]")), ("arabic", re.compile("[؀-ۿ]")))
+_OF_KIND = {name: (name, p) for name, p in _SCRIPTS}
 _KANA = re.compile("[\u3040-\u30ff]")
 _LATIN = re.compile("[A-Za-z\u00c0-\u024f]")
 
@@ -398,11 +399,10 @@ def _script(text: str) -> str:
         return "latin"
     if _KANA.search(text):
         return "kana"
-    counts = []
-    for name, p in _SCRIPTS:
-        counts.append((len(p.findall(text)), name))
-        if counts[-1][0] * 2 > len(text):
-            return name
+    likely = _OF_KIND.get(_kind(text[len(text) // 2]))
+    if likely and len(likely[1].findall(text)) * 2 > len(text):
+        return likely[0]  # more than half of all characters: no other can have more letters
+    counts = [(len(p.findall(text)), name) for name, p in _SCRIPTS]
     most, name = max(counts, key=lambda x: x[0])
     return name if most * 2 > len(_LATIN.findall(text)) else "latin"
 
@@ -493,7 +493,7 @@ def _key(text: str, at: int) -> str:
 
 #: A word after a single white space that no end mark precedes.
 _MIDDLE = re.compile(r"(?<=[^\s.!?…。！？｡।])[^\S\n](\S+)")
-_AFTER_WORD = re.compile(r"[^\s.!?…。！？｡।][^\S\n]$")
+_NO_WORD_END = frozenset(".!?…。！？｡।")
 
 
 class StartCounts:
@@ -533,7 +533,7 @@ class StartCounts:
             words = self.words[script] = Counter()
         words.update(_MIDDLE.findall(text))
         for p in begins | at_open:
-            if _AFTER_WORD.search(text, max(0, p - 2), p):
+            if p > 1 and text[p - 1] != "\n" and text[p - 1].isspace() and text[p - 2] not in _NO_WORD_END and not text[p - 2].isspace():
                 self._add(self.middle, f"{script}:{_word_key(_WORD.match(text, p).group())}", -1)
         if len(words) > 200_000:
             self.flush()
@@ -674,8 +674,8 @@ def sentence_starts(df: DataFrame, key: str, text: str, with_text: bool = False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                b = whole.slice(lo, 256)
+            for lo in range(0, whole.num_rows, 1024):
+                b = whole.slice(lo, 1024)
                 texts = b.column(1).to_pylist()
                 found = starts_of(shared.value, texts)
                 take = pa.array([i for i, s in enumerate(found) for _ in s], pa.int64())

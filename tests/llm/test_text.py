@@ -257,3 +257,16 @@ def test_long_lines_without_headings_are_quick():
     began = time.time()
     assert splitting.headings(("6-15. " + "word " * 20_000 + ".\n") * 5) == []
     assert time.time() - began < 5
+
+
+def test_viterbi_of_many_lengths_equals_one_at_a_time():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    m = crf.ChainCRF(["A", "B", "C"], {}, np.zeros((0, 3)), rng.normal(size=(3, 3)), rng.normal(size=3))
+    for many in (1, 5, 60):
+        lengths = np.concatenate([rng.integers(0, 6, many), rng.integers(20, 90, 3), [7] * 4])
+        scores = rng.normal(size=(int(lengths.sum()), 3))
+        at = np.concatenate([[0], np.cumsum(lengths)])
+        alone = np.concatenate([m.viterbi(scores[a:b], np.array([b - a])) for a, b in zip(at, at[1:])])
+        assert (m.viterbi(scores, lengths) == alone).all()
