@@ -18,11 +18,28 @@ def test_topk_equals_brute_force_in_any_blocks(spark):
     n = np.where((x := np.linalg.norm(m, axis=1)) == 0, 1, x)
     sims = (m @ m.T) / n[:, None] / n[None, :]
     want = {(i, j, k + 1) for i in (0, 20, 40) for k, j in enumerate(sorted((j for j in range(60) if j != i), key=lambda j: (-round(sims[i, j], 12), j))[:5])}
-    for qb, cb in ((2048, 16384), (2, 7)):
-        got = {(r.case_id, r.evidence_id, r.rank) for r in retrieval.exact_topk(q, c, 5, exclude_same=True, query_block=qb, corpus_block=cb).collect()}
+    for most, qb, cb in ((1 << 20, 1, 1), (0, 2048, 16384), (0, 2, 7)):
+        got = {(r.case_id, r.evidence_id, r.rank) for r in retrieval.exact_topk(q, c, 5, exclude_same=True, query_block=qb, corpus_block=cb, most_bytes=most).collect()}
         assert got == want
 
 
+def test_topk_of_text_ids_in_many_small_batches(spark):
+    """Ties across batches of one partition are broken by id as everywhere."""
+    rng = np.random.default_rng(3)
+    m = rng.integers(-1, 2, (90, 3)).astype(float)
+    df = spark.createDataFrame([(f"v{i % 7}{i:03}", m[i].tolist()) for i in range(90)], "id string, v array<double>").coalesce(2)
+    q = df.filter("id like '%5'").select(F.col("id").alias("case_id"), F.col("v").alias("vector"))
+    c = df.select(F.col("id").alias("evidence_id"), F.col("v").alias("vector"))
+    rows = lambda **k: {(r.case_id, r.evidence_id, r.rank, round(r.similarity, 9)) for r in retrieval.exact_topk(q, c, 4, **k).collect()}
+    want = rows(most_bytes=0)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
+    try:
+        assert rows() == want and len(want) == 4 * q.count()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert retrieval.exact_topk(q.limit(0), c, 4).count() == 0 and retrieval.exact_topk(q, c.limit(0), 4).count() == 0
+
+
 def test_fusion_and_rerank(spark):
     a = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (1, "c", 3)], "case_id int, evidence_id string, rank int")
     b = spark.createDataFrame([(1, "b", 1), (1, "d", 2)], "case_id int, evidence_id string, rank int")
