@@ -1,5 +1,5 @@
 """The guard of user SQL: a lexer, a parser, the rules, and rendering for Spark."""
 
-from gneiss.guard.rules import Rejected, ValidatedQuery, execute, validate_sql
+from gneiss.guard.rules import Rejected, ValidatedQuery, describe, execute, validate_sql
 
-__all__ = ["Rejected", "ValidatedQuery", "execute", "validate_sql"]
+__all__ = ["Rejected", "ValidatedQuery", "describe", "execute", "validate_sql"]

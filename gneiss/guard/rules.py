@@ -520,6 +520,11 @@ class _Writer:
         return f"{o(n.args[0])} {n.op}" + (f" {o(n.args[1])}" if len(n.args) == 2 else "")
 
 
+def describe(whitelist: dict[str, tuple[str, ...]]) -> tuple[str, str]:
+    """What a writer of queries is told: the tables with their columns, a line each, and the functions."""
+    return "\n".join(f"- {name}({', '.join(columns)})" for name, columns in whitelist.items()), ", ".join(sorted(FUNCTIONS))
+
+
 def execute(tables: dict[str, DataFrame], sql: str, *, order_no: str, max_rows: int, scope_column: str = "order_no", tag: str = "guard") -> DataFrame:
     """Check the query, then run what was checked over exactly these tables, as temporary views."""
     some = next(iter(tables.values()))

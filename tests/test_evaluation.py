@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from gneiss.functions import hashing, text
 from gneiss.operators import chunking, constraints, evaluation, grids, records, retrieval
-from gneiss.sources import fixtures
+from gneiss.operators import regression
+from gneiss.sources import fixtures, reports
 
 
 def test_layers_and_attempts(spark):
@@ -236,3 +237,42 @@ def test_small_functions(spark):
     assert one(text.policy_evidence(F.lit("T"), F.lit("1-1"), F.lit(None).cast("string"), F.lit("c"))) == "[T 1-1] c"
     v = one(hashing.hash_embedding(F.lit("환불 규정"), 16))
     assert abs(sum(x * x for x in v) - 1) < 1e-9 and v == one(hashing.hash_embedding(F.lit("환불규정"), 16)) and hashing.hash_vector("", 4) != [0.0] * 4
+
+
+def test_report_names_fit_their_runs(tmp_path):
+    name = lambda paid, judged, requested=None: reports.report_name(str(tmp_path), paid, judged, requested)
+    assert (name(False, False), name(True, False), name(True, True), name(True, True, "evaluation-live-l2-9"), name(False, True, "mine")) == ("evaluation", "evaluation-live", "evaluation-live-l2-1", "evaluation-live-l2-9", "mine")
+    (tmp_path / "evaluation-live-l2-1.md").write_text("x")
+    assert name(True, True) == "evaluation-live-l2-2"
+    for args in ((False, False, "evaluation-live-2"), (False, False, "Evaluation-LIVE"), (True, False, "mine"), (True, True, "evaluation-live-2"), (True, False, "evaluation-live-l2-3"), (True, True, "evaluation-live-l2-1"), (False, False, "../x"), (False, False, ""), (False, False, ".x")):
+        with pytest.raises(ValueError):
+            name(*args)
+
+
+def test_reports_are_written_once(spark, tmp_path):
+    df = spark.createDataFrame([("b|c", 2.0), ("a", None)], "k string, v double")
+    md, js = reports.write_report(str(tmp_path), "r", "Title", {"rows": df})
+    assert open(md, encoding="utf-8").read() == "# Title\n\n## rows\n\n| k | v |\n|---|---|\n| a |  |\n| b\\|c | 2.0 |\n" and json.load(open(js, encoding="utf-8"))["rows"][0] == {"k": "a", "v": None}
+    with pytest.raises(FileExistsError):
+        reports.write_report(str(tmp_path), "r", "Title", {"rows": df})
+
+
+def test_reports_read_as_runs(spark, tmp_path):
+    case = lambda i, ok: {"case_id": i, "matched": ok}
+    full = lambda missing: {"conditions": {"started_at": "2", "billed": True, "l2_enabled": True, "generation": "X `g-1`", "condition_fingerprint": {"top_k": "5"}}, "measurement_2_pipeline_agreement": {"match_rate": 0.5, "outcomes": [case("a", True), case("b", False)]}, "failure_attribution": {"computed": True, "cases": [{"case_id": "b", "relevant_evidence_ids": ["p1", "p2"], "missing_relevant_evidence_ids": missing}]}}
+    for n, r in (("one", full(["p2"])), ("two", full(None)), ("old", {"conditions": {"measurement2_is_real": True}})):
+        (tmp_path / f"{n}.json").write_text(json.dumps(r, indent=1))
+    df = reports.read_reports(spark, str(tmp_path))
+    assert {r.run_id: (r.paid, r.judged, r.attributed, r.match_rate) for r in df.collect()} == {"one": (True, True, True, 0.5), "two": (True, True, True, 0.5), "old": (True, False, False, None)}
+    assert {tuple(r) for r in reports.run_cases(df).collect()} == {(c, r, c == "a") for c in "ab" for r in ("one", "two")}
+    assert {tuple(r) for r in reports.run_evidence(df).collect()} == {("b", "one", "p1", True), ("b", "one", "p2", False)}
+    derived = regression.derive_conditions(df.select("run_id", "conditions.*"))
+    assert {(r.name, r.value) for r in derived.filter("run_id = 'one'").collect()} == {("generation_model", "g-1"), ("top_k", "5")}
+
+
+def test_rankings_are_checked(spark):
+    ok = spark.createDataFrame([("a", 1, 0.9), ("a", 2, 0.9), ("b", 1, None)], "case_id string, rank int, score double")
+    retrieval.require_ranking(ok, "score")
+    for rows in ([("a", 1, 0.1), ("a", 2, 0.9)], [("a", 2, 0.1)], [("a", 1, 0.3), ("a", 1, 0.2)]):
+        with pytest.raises(ValueError, match="a"):
+            retrieval.require_ranking(spark.createDataFrame(rows, "case_id string, rank int, score double"), "score")

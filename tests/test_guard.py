@@ -2,7 +2,7 @@
 
 import pytest
 
-from gneiss.guard import Rejected, execute, validate_sql
+from gneiss.guard import Rejected, describe, execute, validate_sql
 
 W = {"orders": ("order_no", "status", "quantity", "phone", "ordered_at")}
 S = "WHERE order_no = 'K'"
@@ -129,3 +129,8 @@ def test_division_through_subqueries(two_orders):
 @pytest.mark.parametrize("sql", [f"SELECT to_char(ordered_at, 'Day') AS d FROM orders {S}", f"SELECT extract(epoch_x FROM ordered_at) AS d FROM orders {S}", f"SELECT quantity::xid AS d FROM orders {S}"])
 def test_unknown_parts_and_types(sql):
     assert rule(sql) == "parse_error"
+
+
+def test_description():
+    tables, functions = describe({"orders": ("a", "b"), "x": ("c",)})
+    assert tables == "- orders(a, b)\n- x(c)" and "count, current_date" in functions
