@@ -95,10 +95,11 @@ def keyed(df: DataFrame, record_id: str, text: str, labels: list[str], arrived:
     came = F.col(arrived) if arrived else F.lit(None).cast("timestamp")
     t = F.col(text)
     listed = F.array(*[F.lit(x) for x in labels]) if labels else F.array().cast("array<string>")
-    canon = df.filter(F.col(record_id).isNotNull()).select(F.col(record_id).cast("string").alias("record_id"), came.alias("arrived"), canonical(t, labels).alias("c"), F.when(opens_labelled(t), F.size(F.array_except(own_labels(t), listed)) > 0).alias("rare")).filter("c <> ''")
+    canon = df.filter(F.col(record_id).isNotNull()).select(F.col(record_id).cast("string").alias("record_id"), came.alias("arrived"), canonical(t, labels).alias("c"), F.when(opens_labelled(t), F.size(F.array_except(own_labels(t), listed)) > 0).alias("rare"))
     row = F.min(F.struct("arrived", F.unhex(F.md5("c")).alias("key"), F.coalesce("rare", F.lit(False)).alias("rare"), F.length(F.replace("c", F.lit(MARK), F.lit(""))).alias("letters")))
     # Checkpointed: the canonical text is the costly part, and counting hot keys, the ledger and the copies all read it.
-    keys = cut_lineage(canon.groupBy("record_id").agg(row.alias("r")).select("record_id", "r.*"))
+    # What is empty is left out after the aggregation: a filter before it would be computed from the text once more.
+    keys = cut_lineage(canon.groupBy("record_id").agg(row.alias("r")).select("record_id", "r.*").filter("letters > 0"))
     lengths = keys.filter("rare").select("letters").distinct()
     if lengths.isEmpty():
         return keys.select("record_id", "key", "arrived")
