@@ -63,8 +63,8 @@ def known_labels(df: DataFrame, text: str, share: float = LABEL_SHARE) -> list[s
 
     Counts cover all rows; only the labels themselves come to the driver.
     """
-    forms = df.filter(opens_labelled(F.col(text))).select(own_labels(F.col(text)).alias("labels")).filter(F.col("labels").isNotNull())
-    # One row counts the forms: every form holds the empty label once.
+    forms = df.filter(opens_labelled(F.col(text))).select(own_labels(F.col(text)).alias("labels"))
+    # One row counts the forms: every form holds the empty label once, and other texts, whose list is null, give no row.
     counted = forms.select(F.explode(F.array_union(F.array(F.lit("")), "labels")).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     total = counted.filter("label = ''").select((F.col("n") * F.lit(share)).alias("least"))
     return sorted((r[0] for r in counted.filter("label <> ''").join(F.broadcast(total), F.col("n") >= F.col("least")).select("label").collect()), key=lambda x: (-len(x), x))
