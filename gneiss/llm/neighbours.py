@@ -5,10 +5,11 @@ represented by the ordered list of its nearest pivots and posted in the inverted
 first few. Vectors of one file are ranked for each other by the footrule distance of their lists; the
 best are compared exactly (cosine), and the results of a vector's files are merged.
 
-A file that grew larger than a block is divided by the next pivot of its vectors' lists, so work and
-shuffle grow with the vectors and not with the square of a file. What is still larger is cut into blocks
-that meet in pairs, so every task holds two blocks at most. Exact copies are collapsed before the search
-(a file full of copies would be all ties) and given their neighbours afterwards.
+A file is never divided: every vector in it meets every other, whatever its size, so what is found doesn't
+hang on how many vectors there are. The vectors of a file larger than a block ask in blocks and answer in
+turn, so a task holds two blocks at most. Files grow as the square root of the vectors, and with them the
+ranking of a vector, but not what is posted. Exact copies are collapsed before the search (a file full of
+copies would be all ties) and given their neighbours afterwards.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,10 +35,15 @@ MOST_PIVOTS = 32_767
 #: Pivots in a vector's list, and the files it is posted in.
 LIST_LENGTH = 16
 FILES = 4
-#: The candidates of a block that are compared exactly, per vector.
+#: The candidates of a file that are compared exactly, per vector.
 RERANKED = 96
-#: Vectors in a block.
-BLOCK = 2_048
+#: Vectors in a block: what asks, and what answers at a time, in one task. It bounds memory; results don't depend on it.
+BLOCK = 32_768
+#: Answering lists that are ranked at a time, which fit a core's cache.
+STRETCH = 2_048
+#: A candidate is its footrule and, in so many bits, its place.
+INDEX_BITS = 20
+PLACES = (1 << INDEX_BITS) - 1
 #: Members of a class of copies that one task sorts.
 MEMBERS = 65_536
 
@@ -139,97 +146,139 @@ def _posted(listed: DataFrame, files: int) -> DataFrame:
     return listed.select("grp", "id", "q", "list", F.explode(F.transform(at, lambda i: F.col("list").substr(2 * i + 1, F.lit(2)))).alias("file"))
 
 
-def _divided(posted: DataFrame, block: int) -> DataFrame:
-    """Postings whose file, if it has more than a block of them, is divided by the first other pivot in their lists."""
-    large = posted.groupBy("grp", "file").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block).select(F.col("grp").alias("g"), F.col("file").alias("f"))
-    met = posted.join(F.broadcast(large), F.col("grp").eqNullSafe(F.col("g")) & (F.col("file") == F.col("f")), "left")  # at most one row per pivot
-    first, second = F.col("list").substr(1, 2), F.col("list").substr(3, 2)
-    part = F.concat("file", F.when(first == F.col("file"), second).otherwise(first))
-    return met.select("grp", "id", "q", "list", F.when(F.col("f").isNull(), F.col("file")).otherwise(part).alias("file"))
-
-
 def _blocked(posted: DataFrame, block: int) -> DataFrame:
-    """Postings with the pair of blocks they take part in: role 0 asks and answers, 1 asks, 2 answers.
+    """Postings with the block ``qb`` that they meet: role 0 asks and answers, 1 asks, 2 answers.
 
-    A divided file is larger than a block only if many vectors share two pivots; those few are listed.
+    A file of at most a block is whole. In a larger one each block of asking vectors meets all vectors of the file.
     """
     sizes = posted.groupBy("grp", "file").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block)
     blocks = sizes.select(F.col("grp").alias("g"), F.col("file").alias("f"), F.ceil(F.col("n") / block).cast("int").alias("many"))
-    own = posted.join(F.broadcast(blocks), F.col("grp").eqNullSafe(F.col("g")) & (F.col("file") == F.col("f")), "left").withColumn("blocks", F.coalesce("many", F.lit(1))).drop("g", "f", "many")  # at most 4 n / block rows
-    own = own.withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    others = F.sequence(F.lit(0), F.col("blocks") - 1)
-    asks = F.transform(others, lambda o: F.struct(F.col("b").alias("qb"), o.alias("pb"), F.when(o == F.col("b"), 0).otherwise(1).alias("role")))
-    answers = F.transform(F.filter(others, lambda o: o != F.col("b")), lambda o: F.struct(o.alias("qb"), F.col("b").alias("pb"), F.lit(2).alias("role")))
-    return own.select("grp", "id", "q", "list", "file", F.explode(F.concat(asks, answers)).alias("x")).select("grp", "id", "q", "list", "file", "x.*")
+    own = posted.join(F.broadcast(blocks), F.col("grp").eqNullSafe(F.col("g")) & (F.col("file") == F.col("f")), "left")  # at most a row per pivot
+    at = lambda qb, role: F.struct(qb.cast("int").alias("qb"), F.lit(role).alias("role"))
+    asks = F.array(at(F.pmod(F.xxhash64("id"), F.col("many")), 1))
+    answers = F.transform(F.sequence(F.lit(0), F.col("many") - 1), lambda o: at(o, 2))
+    roles = F.when(F.col("many").isNull(), F.array(at(F.lit(0), 0))).otherwise(F.concat(asks, answers))
+    return own.select("grp", "id", "q", "list", "file", F.explode(roles).alias("x")).select("grp", "id", "q", "list", "file", "x.*")
 
 
 def _footrule(q: np.ndarray, p: np.ndarray, pivots: int) -> np.ndarray:
     """The footrule distance of each list in ``q`` to each in ``p``, but for a constant.
 
-    A pivot missing from a list counts as if it stood right after its end: the sum runs over the
-    pivots of q, and each that p shares takes back what it would add as missing from q.
+    A pivot missing from a list counts as if it stood right after its end. Against lists that share nothing, a
+    pivot at places i and j takes twice what the later of them lacks to the end: only shared pivots are summed.
     """
     length = q.shape[1]
-    rank = np.full((p.shape[0], pivots), length, dtype=np.uint8)
-    np.put_along_axis(rank, p, np.arange(length, dtype=np.uint8)[None, :], 1)
-    rank = np.ascontiguousarray(rank.T)
-    r = np.arange(length + 1)
-    total = np.zeros((q.shape[0], p.shape[0]), dtype=np.int16)
+    left = np.zeros((pivots, p.shape[0]), dtype=np.uint8)  # from a pivot's place to the end, 0 where it is missing
     for j in range(length):
-        cost = (np.abs(r - j) - (length - r)).astype(np.int16)
-        total += cost[rank][q[:, j]]
-    return total
-
-
-def _search(blocks: DataFrame, k: int, reranked: int) -> DataFrame:
-    """(grp, id, other, sim): the k best of each block pair for every asking vector."""
+        left[p[:, j], np.arange(p.shape[0])] = length - j
+    most = np.arange(length, 0, -1, dtype=np.uint8)[:, None]
+    total = np.empty((q.shape[0], p.shape[0]), dtype=np.uint8 if length * (length + 1) < 512 else np.uint16)
+    for i, row in enumerate(q):
+        both = left[row]
+        np.minimum(both, most, out=both)
+        np.add.reduce(both, axis=0, dtype=total.dtype, out=total[i])
+    return length * (length + 1) - 2 * total.astype(np.uint16)
+
+
+def _candidates(asking: np.ndarray, answering: np.ndarray, most: int) -> np.ndarray:
+    """For each asking list the ``most`` answering ones of least footrule, of equal ones the first: footrule << INDEX_BITS | place."""
+    local, lists = np.unique(np.concatenate([asking, answering]), return_inverse=True)  # pivots by their place among those that occur
+    lists = lists.reshape(-1, asking.shape[1])
+    asking, answering = lists[: len(asking)], lists[len(asking) :]
+    top = np.empty((len(asking), 0), np.uint32)
+    for start in range(0, len(answering), STRETCH):
+        part = answering[start : start + STRETCH]
+        apart = _footrule(asking, part, len(local))
+        place = np.arange(start, start + len(part), dtype=np.uint32)
+        width = min(most, start + len(part))
+        kept = np.empty((len(asking), width), np.uint32)
+        for lo in range(0, len(asking), 256):
+            keys = np.concatenate([top[lo : lo + 256], apart[lo : lo + 256].astype(np.uint32) << INDEX_BITS | place], axis=1)
+            kept[lo : lo + 256] = np.partition(keys, width - 1, axis=1)[:, :width]
+        top = kept
+    return top
+
+
+def _search(blocks: DataFrame, k: int, reranked: int, block: int) -> DataFrame:
+    """(grp, id, other, sim): the k best of a file for every vector in it, of the ``reranked`` nearest by footrule.
+
+    Rows come by role and id, so those that ask are there before those that only answer, of which a block at a time is held.
+    """
     kinds = dict(blocks.dtypes)
     schema = f"grp {kinds['grp']}, id {kinds['id']}, other {kinds['id']}, sim float"
     names = ["grp", "id", "other", "sim"]
 
-    def run(t: pa.Table) -> pa.Table:
-        role = t.column("role").to_numpy()
-        ids = t.column("id").combine_chunks()
-        v = _unit(t.column("q").combine_chunks())
-        lists = _rows(t.column("list").combine_chunks(), "<i2")
-        local, lists = np.unique(lists, return_inverse=True)  # pivots by their place among those of the block
-        lists = lists.reshape(len(v), -1)
-        asking, answering = np.flatnonzero(role != 2), np.flatnonzero(role != 1)
-        qs, os, sims = [], [], []
-        for start in range(0, len(asking), 256):
-            q = asking[start : start + 256]
-            most = min(reranked + 1, len(answering))  # one is the vector itself
-            apart = _footrule(lists[q], lists[answering], len(local))
-            cand = answering[np.argpartition(apart, most - 1, axis=1)[:, :most]]
-            s = np.einsum("qd,qcd->qc", v[q], v[cand], optimize=True)
-            s = np.where(cand == q[:, None], -np.inf, s)
-            m = min(k, s.shape[1])
-            top = np.argpartition(-s, m - 1, axis=1)[:, :m]
-            best = np.take_along_axis(s, top, 1)
-            keep = np.isfinite(best)
-            qs.append(np.broadcast_to(q[:, None], top.shape)[keep])
-            os.append(np.take_along_axis(cand, top, 1)[keep])
-            sims.append(best[keep])
-        a = np.concatenate(qs) if qs else np.zeros(0, int)
-        b = np.concatenate(os) if os else np.zeros(0, int)
-        s = np.concatenate(sims) if sims else np.zeros(0, np.float32)
-        return pa.table([t.column("grp").take(a), ids.take(a), ids.take(b), pa.array(s.astype(np.float32))], names=names)
-
-    return blocks.groupBy("grp", "file", "qb", "pb").applyInArrow(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asking: list[pa.RecordBatch] = []
+        answering: list[pa.RecordBatch] = []
+        others: list[pa.Array] = []  # the ids of all that answered
+        keys = np.empty((0, 0), np.int64)  # of the candidates so far: footrule, then place among all that answered
+        sims = np.empty((0, 0), np.float32)
+        grp = ids = v = lists = None
+
+        def meet() -> None:
+            nonlocal keys, sims, ids, v, lists
+            if v is None:
+                t = pa.Table.from_batches(asking)
+                ids, v, lists = t.column("id").combine_chunks(), _unit(t.column("q").combine_chunks()), _rows(t.column("list").combine_chunks(), "<i2")
+                keys, sims = np.empty((len(v), 0), np.int64), np.empty((len(v), 0), np.float32)
+            t = pa.Table.from_batches(answering)
+            mine, w = t.column("id").combine_chunks(), _unit(t.column("q").combine_chunks())
+            own = pc.fill_null(pc.index_in(ids, value_set=mine), -1).to_numpy(zero_copy_only=False)
+            before = sum(map(len, others))
+            others.append(mine)
+            found = np.sort(_candidates(lists, _rows(t.column("list").combine_chunks(), "<i2"), reranked + 1), axis=1)  # one is the vector itself
+            place = (found & PLACES).astype(np.int64)
+            s = np.empty(found.shape, np.float32)
+            for lo in range(0, len(v), 64):
+                s[lo : lo + 64] = np.matmul(w[place[lo : lo + 64]], v[lo : lo + 64, :, None])[..., 0]
+            s[place == own[:, None]] = -np.inf
+            keys = np.concatenate([keys, (found >> INDEX_BITS).astype(np.int64) << 40 | place + before], axis=1)
+            sims = np.concatenate([sims, s], axis=1)
+            if keys.shape[1] > reranked + 1:
+                near = np.argsort(keys, axis=1)[:, : reranked + 1]
+                keys, sims = np.take_along_axis(keys, near, 1), np.take_along_axis(sims, near, 1)
+
+        held = 0
+        for b in batches:
+            grp = b.column(0).slice(0, 1) if grp is None else grp
+            role = b.column(b.schema.get_field_index("role")).to_numpy()
+            for rows, part in ((asking, b.filter(pa.array(role < 2))), (answering, b.filter(pa.array(role != 1)))):
+                if part.num_rows:
+                    rows.append(part)
+            held += int((role != 1).sum())
+            if held >= block:
+                meet()
+                answering, held = [], 0
+        if answering and asking:
+            meet()
+        if v is None:
+            return
+        place = keys & ((1 << 40) - 1)
+        order = np.lexsort((place, -sims), axis=1)[:, :k]
+        best, place = np.take_along_axis(sims, order, 1), np.take_along_axis(place, order, 1)
+        keep = np.isfinite(best)
+        asked = np.broadcast_to(np.arange(len(v))[:, None], best.shape)[keep]
+        yield pa.RecordBatch.from_arrays([grp.take(pa.array(np.zeros(len(asked), np.int64))), ids.take(pa.array(asked)), pa.concat_arrays(others).take(pa.array(place[keep])), pa.array(best[keep])], names=names)
+
+    by = ["grp", "file", "qb"]
+    return blocks.repartition(*by).sortWithinPartitions(*by, "role", "id").groupBy(*by).applyInArrow(run, schema)
 
 
 def neighbours(vectors: DataFrame, k: int, per_root: float = PIVOTS_PER_ROOT, most_pivots: int = MOST_PIVOTS, length: int = LIST_LENGTH, files: int = FILES, reranked: int = RERANKED, block: int = BLOCK) -> DataFrame:
     """(grp, id, other, sim): up to k neighbours of every vector within its group, most similar first.
 
     ``vectors`` as ``usable_vectors`` gives them. Ties are broken by the smaller id. A vector that is
-    alone in its group has no row.
+    alone in its group has no row. ``block`` bounds what a task holds and doesn't change the result.
     """
+    if length * (length + 1) >= 1 << (32 - INDEX_BITS) or block > PLACES // 2:
+        raise ValueError(f"lists of {length} or blocks of {block} are too large")
     distinct = cut_lineage(vectors.groupBy("grp", "same").agg(F.min(F.struct("id", "q")).alias("r"), F.count(F.lit(1)).alias("copies")).select("grp", "same", "r.id", "r.q", "copies"))
     if distinct.isEmpty():
         return vectors.select("grp", "id", F.col("id").alias("other"), F.lit(0.0).cast("float").alias("sim")).limit(0)
     # Read twice: the sizes of the files, and the files.
     listed = cut_lineage(_listed(distinct, _pivots(distinct, per_root, most_pivots), length))
-    found = _search(_blocked(_divided(_posted(listed, files), block), block), k, reranked)
+    found = _search(_blocked(_posted(listed, files), block), k, reranked, block)
     # One shuffle by id serves the merging of a vector's files and the ranking.
     merged = found.repartition("id").groupBy("id", "other").agg(F.first("grp").alias("grp"), F.max("sim").alias("sim"))
     best = Window.partitionBy("id").orderBy(F.desc("sim"), "other")

@@ -98,6 +98,20 @@ def test_recall_with_default_parameters(spark):
     assert np.mean([int(b) in rows[int(i)] for i, row in zip(asked, best) for b in row]) > 0.9
 
 
+def test_recall_in_files_of_thousands(spark):
+    """So few pivots that files hold as many vectors as those of millions: neighbours whose second pivots differ still meet."""
+    rng = np.random.default_rng(12)
+    m = np.repeat(rng.normal(size=(500, 48)), 20, axis=0) + 0.3 * rng.normal(size=(10_000, 48))
+    df = spark.createDataFrame(pa.table({"id": pa.array(np.arange(len(m))), "grp": pa.array(["a"] * len(m)), "v": pa.array(list(m.astype(np.float32)), pa.list_(pa.float32()))}))
+    got = {(r.id, r.other) for r in neighbours.neighbours(neighbours.usable_vectors(df, "id", "v", "grp", 48), 5, per_root=0.16, reranked=400).filter("id % 20 = 0").collect()}
+    unit = m / np.linalg.norm(m, axis=1)[:, None]
+    asked = np.arange(0, len(m), 20)
+    s = unit[asked] @ unit.T
+    s[np.arange(len(asked)), asked] = -2
+    best = np.argpartition(-s, 5, axis=1)[:, :5]
+    assert np.mean([(int(i), int(b)) in got for i, row in zip(asked, best) for b in row]) > 0.98
+
+
 def test_pieces_table(spark):
     rows = [(1, "1-1", "x" * 601, "p"), (2, None, "짧음", "p"), (3, None, None, "p"), (4, None, "가. " * 400, "p"), (5, "5-1", "\n" * 700, "p")]
     df = spark.createDataFrame(rows, "id long, article string, content string, piece string")
