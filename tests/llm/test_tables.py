@@ -45,6 +45,17 @@ def test_neighbours_of_many_copies_and_blocks(spark):
     assert neighbours.neighbours(v.limit(0), 3).count() == 0
 
 
+def test_neighbours_do_not_depend_on_the_size_of_a_block(spark):
+    """Files many times a block, ranked by footrule: the same pairs as with whole files."""
+    rng = np.random.default_rng(8)
+    m = np.repeat(rng.normal(size=(100, 12)), 15, axis=0) + 0.25 * rng.normal(size=(1500, 12))
+    v = neighbours.usable_vectors(spark.createDataFrame([(i, "a" if i % 7 else None, x.tolist()) for i, x in enumerate(m)], "id long, grp string, v array<double>"), "id", "v", "grp", 12)
+    whole = {(r.id, r.other, round(r.sim, 5)) for r in neighbours.neighbours(v, 5, reranked=12).collect()}
+    assert len(whole) == 7500
+    for block in (16, 100):
+        assert {(r.id, r.other, round(r.sim, 5)) for r in neighbours.neighbours(v, 5, reranked=12, block=block).collect()} == whole
+
+
 def test_classes_of_copies_in_parts(spark, monkeypatch):
     """Classes larger than a task's part, hot ones, and ones of at most k members."""
     rng = np.random.default_rng(6)
