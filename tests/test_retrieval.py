@@ -1,4 +1,5 @@
 import math
+import re
 
 import numpy as np
 import pytest
@@ -73,6 +74,17 @@ def test_bm25_by_hand(spark):
     assert [got["none", i + 1] for i in range(3)] == [("d1", 0.0), ("d2", 0.0), ("d3", 0.0)]
 
 
+def test_bm25_moves_no_pairs(spark):
+    """Scores of pairs are not shuffled, and terms in parts give the same."""
+    c = spark.createDataFrame([(i, f"refund of order {i % 37}") for i in range(400)], "evidence_id long, text string")
+    q = spark.createDataFrame([(i, f"order {i % 3}") for i in range(60)], "case_id long, text string")
+    found = retrieval.bm25(q, c, 4)
+    assert not re.search(r"hashpartitioning\(case_id#\d+L?, evidence_id#", found._jdf.queryExecution().toString())
+    whole = sorted(map(tuple, found.collect()))
+    assert len(whole) == 240
+    assert sorted(map(tuple, retrieval.bm25(q, c, 4, most_bytes=700).collect())) == whole
+
+
 def test_bounded_join_salted_equals_broadcast(spark):
     a = spark.range(500).select((F.col("id") % 3).alias("k"), "id")
     b = spark.createDataFrame([(0, "x"), (1, "y"), (1, "z")], "k long, v string")
