@@ -8,7 +8,9 @@ best are compared exactly (cosine), and the results of a vector's files are merg
 A file is never divided: every vector in it meets every other, whatever its size, so what is found doesn't
 hang on how many vectors there are. The vectors of a file larger than a block ask in blocks and answer in
 turn, so a task holds two blocks at most. Files grow as the square root of the vectors, and with them the
-ranking of a vector, but not what is posted. Exact copies are collapsed before the search (a file full of
+ranking of a vector, but not what is posted. Products of directions are sums of whole numbers that 64 bits
+hold, so a similarity is the same wherever and in whatever company it is computed, and ties are ties: neither
+blocks nor batches decide them. Exact copies are collapsed before the search (a file full of
 copies would be all ties) and given their neighbours afterwards.
 """
 
@@ -41,6 +43,8 @@ RERANKED = 96
 BLOCK = 32_768
 #: Answering lists that are ranked at a time, which fit a core's cache.
 STRETCH = 2_048
+#: Pivots beside a list's that are compared exactly for it, as single precision may have misplaced them.
+SPARE = 16
 #: A candidate is its footrule and, in so many bits, its place.
 INDEX_BITS = 20
 PLACES = (1 << INDEX_BITS) - 1
@@ -97,10 +101,38 @@ def _rows(column: pa.Array, dtype: str) -> np.ndarray:
     return data.view(dtype).reshape(len(column), -1)
 
 
-def _unit(column: pa.Array) -> np.ndarray:
-    """The unit vectors of a column of directions."""
-    x = _rows(column, "<i2").astype(np.float32)
-    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+def _lengths(q: np.ndarray) -> np.ndarray:
+    """The lengths of the rows of a matrix of whole numbers, from exact sums."""
+    x = q.astype(np.float64)
+    return np.sqrt(np.einsum("ij,ij->i", x, x))
+
+
+def _unit(q: np.ndarray) -> np.ndarray:
+    """The rows of a matrix of whole numbers as unit vectors of single precision."""
+    return (q / _lengths(q)[:, None]).astype(np.float32)
+
+
+def _nearest_pivots(q: np.ndarray, p: np.ndarray, unit: np.ndarray, m: int) -> np.ndarray:
+    """The m nearest rows of ``p`` to each row of ``q``, nearest first, of equal ones the first; ``unit`` are those of ``p``.
+
+    Single precision, whose last bits depend on the rows computed together, only draws up the list; where
+    what it left out might be nearer than what is listed, all of ``p`` is compared exactly.
+    """
+    count, width = len(p), min(len(p), m + SPARE)
+    sims = _unit(q) @ unit.T
+    near = np.sort(np.argpartition(-sims, width - 1, axis=1)[:, :width], axis=1)
+    least = np.take_along_axis(sims, near, 1).min(axis=1)
+    lengths, mine = _lengths(p), _lengths(q)[:, None]
+    exact = np.matmul(p[near].astype(np.float64), q[:, :, None].astype(np.float64))[..., 0] / lengths[near] / mine
+    order = np.argsort(-exact, axis=1, kind="stable")[:, :m]
+    out = np.take_along_axis(near, order, 1)
+    if width < count:
+        error = (2 * p.shape[1] + 16) * np.finfo(np.float32).eps
+        unsure = np.flatnonzero(np.take_along_axis(exact, order[:, -1:], 1)[:, 0] <= least + error)
+        if len(unsure):
+            whole = q[unsure].astype(np.float64) @ p.astype(np.float64).T / lengths / mine[unsure]
+            out[unsure] = np.argsort(-whole, axis=1, kind="stable")[:, :m]
+    return out
 
 
 def _pivots(distinct: DataFrame, per_root: float, most: int) -> dict:
@@ -111,7 +143,7 @@ def _pivots(distinct: DataFrame, per_root: float, most: int) -> dict:
         count = min(n, most, max(8, math.ceil(per_root * math.sqrt(n))))
         mine = distinct.filter(F.col("grp").eqNullSafe(F.lit(g)))
         rows = mine.orderBy(F.xxhash64(F.col("id"), F.lit(17)), "id").select("q").limit(count).collect()
-        chosen[g] = _unit(pa.array([bytes(r[0]) for r in rows], pa.binary()))
+        chosen[g] = _rows(pa.array([bytes(r[0]) for r in rows], pa.binary()), "<i2")
     return chosen
 
 
@@ -122,19 +154,19 @@ def _listed(distinct: DataFrame, pivots: dict, length: int) -> DataFrame:
     schema = f"grp {kinds['grp']}, id {kinds['id']}, q binary, list binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units: dict = {}
         for b in batches:
             groups = b.column(0).to_pylist()
             for g in dict.fromkeys(groups):
                 part = b.take(pa.array([i for i, x in enumerate(groups) if x == g], pa.int64()))
                 p = shared.value[g]
                 m = min(length, p.shape[0])
-                unit = _unit(part.column(2))
-                lists = np.empty((len(unit), m), dtype="<i2")
-                for lo in range(0, len(unit), 512):
-                    sims = unit[lo : lo + 512] @ p.T
-                    near = np.argpartition(-sims, m - 1, axis=1)[:, :m]
-                    order = np.argsort(-np.take_along_axis(sims, near, 1), axis=1, kind="stable")
-                    lists[lo : lo + 512] = np.take_along_axis(near, order, 1)
+                if g not in units:
+                    units[g] = _unit(p)
+                q = _rows(part.column(2), "<i2")
+                lists = np.empty((len(q), m), dtype="<i2")
+                for lo in range(0, len(q), 512):
+                    lists[lo : lo + 512] = _nearest_pivots(q[lo : lo + 512], p, units[g], m)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), _binary(lists)], names=["grp", "id", "q", "list"])
 
     return distinct.select("grp", "id", "q").mapInArrow(run, schema)
@@ -214,16 +246,18 @@ def _search(blocks: DataFrame, k: int, reranked: int, block: int) -> DataFrame:
         others: list[pa.Array] = []  # the ids of all that answered
         keys = np.empty((0, 0), np.int64)  # of the candidates so far: footrule, then place among all that answered
         sims = np.empty((0, 0), np.float32)
-        grp = ids = v = lists = None
+        grp = ids = v = long = lists = None
 
         def meet() -> None:
-            nonlocal keys, sims, ids, v, lists
+            nonlocal keys, sims, ids, v, long, lists
             if v is None:
                 t = pa.Table.from_batches(asking)
-                ids, v, lists = t.column("id").combine_chunks(), _unit(t.column("q").combine_chunks()), _rows(t.column("list").combine_chunks(), "<i2")
+                ids, v, lists = t.column("id").combine_chunks(), _rows(t.column("q").combine_chunks(), "<i2"), _rows(t.column("list").combine_chunks(), "<i2")
+                long = _lengths(v)
                 keys, sims = np.empty((len(v), 0), np.int64), np.empty((len(v), 0), np.float32)
             t = pa.Table.from_batches(answering)
-            mine, w = t.column("id").combine_chunks(), _unit(t.column("q").combine_chunks())
+            mine, w = t.column("id").combine_chunks(), _rows(t.column("q").combine_chunks(), "<i2")
+            lengths = _lengths(w)
             own = pc.fill_null(pc.index_in(ids, value_set=mine), -1).to_numpy(zero_copy_only=False)
             before = sum(map(len, others))
             others.append(mine)
@@ -231,7 +265,9 @@ def _search(blocks: DataFrame, k: int, reranked: int, block: int) -> DataFrame:
             place = (found & PLACES).astype(np.int64)
             s = np.empty(found.shape, np.float32)
             for lo in range(0, len(v), 64):
-                s[lo : lo + 64] = np.matmul(w[place[lo : lo + 64]], v[lo : lo + 64, :, None])[..., 0]
+                at = place[lo : lo + 64]
+                dots = np.matmul(w[at].astype(np.float64), v[lo : lo + 64, :, None].astype(np.float64))[..., 0]
+                s[lo : lo + 64] = dots / (lengths[at] * long[lo : lo + 64, None])
             s[place == own[:, None]] = -np.inf
             keys = np.concatenate([keys, (found >> INDEX_BITS).astype(np.int64) << 40 | place + before], axis=1)
             sims = np.concatenate([sims, s], axis=1)
@@ -240,7 +276,7 @@ def _search(blocks: DataFrame, k: int, reranked: int, block: int) -> DataFrame:
                 keys, sims = np.take_along_axis(keys, near, 1), np.take_along_axis(sims, near, 1)
 
         held = 0
-        for b in batches:
+        for b in (b.slice(lo, block) for b in batches for lo in range(0, b.num_rows, block)):
             grp = b.column(0).slice(0, 1) if grp is None else grp
             role = b.column(b.schema.get_field_index("role")).to_numpy()
             for rows, part in ((asking, b.filter(pa.array(role < 2))), (answering, b.filter(pa.array(role != 1)))):
@@ -248,7 +284,8 @@ def _search(blocks: DataFrame, k: int, reranked: int, block: int) -> DataFrame:
                     rows.append(part)
             held += int((role != 1).sum())
             if held >= block:
-                meet()
+                if asking:
+                    meet()
                 answering, held = [], 0
         if answering and asking:
             meet()
@@ -294,7 +331,7 @@ def _with_copies(vectors: DataFrame, distinct: DataFrame, ranked: DataFrame, k:
     Of a class at most the k + 1 members of smallest id can be anyone's neighbours. A class may hold a third
     of all rows: its members are never gathered. They are sorted in parts of bounded size for the class's
     heads, and meet what belongs to their class, one row of it, as ``lookup`` has it: hot classes by a
-    broadcast of bounded size.
+    broadcast of bounded size. A member's copies come before everything else, however many they are.
     """
     several = distinct.filter("copies > 1").select(F.struct("grp", "same").alias("of"), F.col("id").alias("rep"), F.ceil(F.col("copies") / MEMBERS).cast("int").alias("parts"))
     mine = vectors.select("grp", "id", F.struct("grp", "same").alias("class"))
@@ -307,13 +344,14 @@ def _with_copies(vectors: DataFrame, distinct: DataFrame, ranked: DataFrame, k:
     answers = answers.select("grp", F.col("id").alias("rep"), F.explode(F.coalesce("heads", F.array("other"))).alias("other"), "sim")
     top = Window.partitionBy("rep").orderBy(F.desc("sim"), "other")
     answers = answers.withColumn("place", F.row_number().over(top)).filter(F.col("place") <= k).drop("place")
-    rest = answers.join(several.select("rep"), "rep", "left_anti").select("grp", F.col("rep").alias("id"), "other", "sim")
+    rest = answers.join(several.select("rep"), "rep", "left_anti").select("grp", F.col("rep").alias("id"), "other", "sim", F.lit(False).alias("copy"))
     # What every member of a class gets: its heads at 1, and where they are few the class's answers.
-    far = answers.groupBy("rep").agg(F.collect_list(F.struct("other", "sim")).alias("far"))  # at most k
-    given = heads.join(far, "rep", "left").select(F.col("rep").alias("of"), F.concat(F.transform("heads", lambda h: F.struct(h.alias("other"), F.lit(1.0).cast("float").alias("sim"))), F.when(F.size("heads") > k, F.slice(F.coalesce("far", F.expr("array()").cast(dict(far.dtypes)["far"])), 1, 0)).otherwise(F.coalesce("far", F.expr("array()").cast(dict(far.dtypes)["far"])))).alias("given"))
-    near = lookup(members, given, "rep", "of", "inner").select("grp", "id", F.explode("given").alias("x")).select("grp", "id", "x.other", "x.sim").filter("id <> other")
-    best = Window.partitionBy("id").orderBy(F.desc("sim"), "other")
-    return near.unionByName(rest).withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k).drop("place")
+    far = answers.groupBy("rep").agg(F.collect_list(F.struct("other", "sim", F.lit(False).alias("copy"))).alias("far"))  # at most k
+    own = F.transform("heads", lambda h: F.struct(h.alias("other"), F.lit(1.0).cast("float").alias("sim"), F.lit(True).alias("copy")))
+    given = heads.join(far, "rep", "left").select(F.col("rep").alias("of"), F.when((F.size("heads") > k) | F.col("far").isNull(), own).otherwise(F.concat(own, "far")).alias("given"))
+    near = lookup(members, given, "rep", "of", "inner").select("grp", "id", F.explode("given").alias("x")).select("grp", "id", "x.*").filter("id <> other")
+    best = Window.partitionBy("id").orderBy(F.desc("copy"), F.desc("sim"), "other")
+    return near.unionByName(rest).withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k).drop("place", "copy")
 
 
 def pairs(found: DataFrame) -> DataFrame:

@@ -56,6 +56,54 @@ def test_neighbours_do_not_depend_on_the_size_of_a_block(spark):
         assert {(r.id, r.other, round(r.sim, 5)) for r in neighbours.neighbours(v, 5, reranked=12, block=block).collect()} == whole
 
 
+def test_ties_of_neighbours_are_decided_by_ids_alone(spark):
+    """Vectors that are equal once stored in 16 bits but aren't copies: neither blocks nor batches nor the order of the rows choose among them."""
+    rng = np.random.default_rng(9)
+    m = np.repeat(rng.normal(size=(40, 24)), 30, axis=0)
+    m += np.abs(m).max(axis=1)[:, None] * 1e-6 * rng.uniform(-1, 1, size=m.shape)
+    q = np.rint(m / np.abs(m).max(axis=1)[:, None] * 32767)
+    unit = q / np.linalg.norm(q, axis=1)[:, None]
+    s = np.round(unit @ unit.T, 9)
+    s[np.arange(1200), np.arange(1200)] = -2
+    want = {(i, int(o)) for i in range(1200) for o in np.argsort(-s[i], kind="stable")[:5]}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for block, batch, order in ((32_768, "10000", 1), (50, "10000", -1), (50, "7", 1), (9, "64", -1)):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            df = spark.createDataFrame([(i, "a", m[i].tolist()) for i in range(1200)[::order]], "id long, grp string, v array<double>")
+            found = neighbours.neighbours(neighbours.usable_vectors(df, "id", "v", "grp", 24), 5, block=block)
+            assert {(r.id, r.other) for r in found.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_blocks_in_which_nobody_asks(spark):
+    rng = np.random.default_rng(13)
+    v = neighbours.usable_vectors(spark.createDataFrame([(i, "a", rng.normal(size=6).tolist()) for i in range(12)], "id long, grp string, v array<double>"), "id", "v", "grp", 6)
+    assert set(neighbours.neighbours(v, 3, block=1).collect()) == set(neighbours.neighbours(v, 3).collect())
+
+
+def test_copies_come_before_near_copies_in_classes_of_any_size(spark):
+    near = [1.0, 0.5, 0.25]
+    rows = [(i, "a", [1.0, 0.5, 0.25 + 1e-6 * (i + 1)]) for i in range(5)]
+    for copies in (2, 3, 4, 5):
+        df = spark.createDataFrame(rows + [(10 + i, "a", near) for i in range(copies)], "id long, grp string, v array<double>")
+        found = neighbours.neighbours(neighbours.usable_vectors(df, "id", "v", "grp", 3), 3).filter("id = 10").collect()
+        assert {r.other for r in found} == {11, *range(12, 9 + min(copies, 4) + 1), *range(4 - min(copies, 4))}
+
+
+def test_nearest_pivots_are_exact():
+    """Pivots that single precision can't tell apart: all are compared, and of equal ones the first count."""
+    rng = np.random.default_rng(10)
+    q = np.rint(rng.normal(size=(70, 24)) * 8000).astype("<i2")
+    p = np.concatenate([np.repeat(q[:20], 10, axis=0), np.rint(rng.normal(size=(300, 24)) * 8000).astype("<i2")])
+    p[:200:3, 0] += 1
+    got = neighbours._nearest_pivots(q, p, neighbours._unit(p), 6)
+    sims = (q.astype(object) @ p.T.astype(object)).astype(float) / np.linalg.norm(p.astype(float), axis=1)
+    assert (got == np.argsort(-sims, axis=1, kind="stable")[:, :6]).all()
+    assert (got[13:29] == np.concatenate([neighbours._nearest_pivots(q[i : i + 1], p, neighbours._unit(p), 6) for i in range(13, 29)])).all()
+
+
 def test_classes_of_copies_in_parts(spark, monkeypatch):
     """Classes larger than a task's part, hot ones, and ones of at most k members."""
     rng = np.random.default_rng(6)
